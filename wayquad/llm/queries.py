@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayquad.llm import sharding
+from wayquad.llm import bpe, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_bpe_pair_index": bpe.op2,
     "op4_rendezvous_sharding": sharding.op4,
 }
 
