@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayquad.llm import bpe, sharding
+from wayquad.llm import bpe, decontaminate, minhash, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_pair_index": bpe.op2,
+    "op3_minhash_near_dedup": minhash.op3,
     "op4_rendezvous_sharding": sharding.op4,
+    "op5_aho_corasick_decontamination": decontaminate.op5,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": minhash.ORACLE,
     "op4_rendezvous_sharding": sharding.ORACLE,
+    "op5_aho_corasick_decontamination": decontaminate.ORACLE,
 }
