@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayquad.llm import bpe, decontaminate, minhash, sharding
+from wayquad.llm import binary, bpe, decontaminate, html, minhash, sharding, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": urls.op1,
     "op2_bpe_pair_index": bpe.op2,
     "op3_minhash_near_dedup": minhash.op3,
     "op4_rendezvous_sharding": sharding.op4,
     "op5_aho_corasick_decontamination": decontaminate.op5,
+    "op7_wrapper_induction": html.op7,
+    "op8_token_files": binary.op8,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": urls.ORACLE,
     "op3_minhash_near_dedup": minhash.ORACLE,
     "op4_rendezvous_sharding": sharding.ORACLE,
     "op5_aho_corasick_decontamination": decontaminate.ORACLE,
