@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,10 +13,19 @@ from pyspark.sql import functions as F
 
 from wayquad.session import pin, shared_dir
 
-__all__ = ["crc_of_id", "pin", "python_crc_of_id", "shared_dir", "slices", "table", "texts"]
+__all__ = ["crc_of_id", "pin", "python_crc_of_id", "shared_dir", "ship", "slices", "table", "texts"]
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they cannot by themselves."""
+    root = str(Path(__file__).resolve().parents[2])
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayquad.llm import binary, bpe, decontaminate, html, minhash, sharding, urls
+from wayquad.llm import binary, bpe, decontaminate, html, minhash, quality, sharding, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1,
@@ -14,8 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": minhash.op3,
     "op4_rendezvous_sharding": sharding.op4,
     "op5_aho_corasick_decontamination": decontaminate.op5,
+    "op6_kneser_ney_toxicity": toxicity.op6,
     "op7_wrapper_induction": html.op7,
     "op8_token_files": binary.op8,
+    "op9_neighbour_quality": quality.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {
