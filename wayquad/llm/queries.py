@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayquad.llm import binary, bpe, decontaminate, html, minhash, quality, sharding, toxicity, urls
+from wayquad.llm import binary, bpe, decontaminate, html, minhash, quality, sharding, toxicity, urls, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": urls.op1,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_wrapper_induction": html.op7,
     "op8_token_files": binary.op8,
     "op9_neighbour_quality": quality.op9,
+    "op10_kmeans_tree_search": vectors.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
