@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 
 from wayquad.llm.common import slices, table, texts
 
-MEMO_PIECES = 400_000
+MEMO_PIECES = 250_000
 #: Bytes of text whose new pieces are encoded together.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: The published byte-level pre-tokenizer pattern (fixed value).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.int64(1) << 40
@@ -220,23 +220,33 @@ def memo(path: str) -> PieceMemo:
     return PieceMemo(model(path).whole, list(model(path).added))
 
 
-def _with(batch: pa.RecordBatch, column: str, values: pa.Array) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, column])
+def _strings(bpe: PairIndexBpe, ids: list[bytes]) -> pa.Array:
+    return pa.array([bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in ids], pa.string())
 
 
-def encode(rows: DataFrame, path: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """Add ``into``, the array of token ids of ``text``.  Raises ValueError if that column exists."""
-    if into in rows.columns:
-        raise ValueError(f"column {into} exists")
+def encode(rows: DataFrame, path: str, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add ``into``, the array of token ids of ``text``, and the text decoded from them where ``decoded`` names a column.
+
+    Raises ValueError if such a column exists.
+    """
+    new = [into] if decoded is None else [into, decoded]
+    if clash := [c for c in new if c in rows.columns]:
+        raise ValueError(f"columns exist: {clash}")
+    # Batches of texts, not of numbers: ten thousand rows a batch are too many.
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = memo(path)
+        encoder, bpe = memo(path), model(path)
         for batch in slices(batches, text, BLOCK_BYTES):
             ids = encoder.encode(texts(batch.column(batch.schema.get_field_index(text))))
             offsets = np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)).astype(np.int32)
-            yield _with(batch, into, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))))
+            columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))]
+            if decoded is not None:
+                columns.append(_strings(bpe, ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *new])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    kinds = [T.StructField(into, T.ArrayType(T.IntegerType())), T.StructField(decoded or "", T.StringType())]
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *kinds[: len(new)]]))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -248,10 +258,8 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded")
         bpe = model(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            for start in range(0, batch.num_rows, 256):
-                part = column.slice(start, 256)
-                decoded = [bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else []) for x in part]
-                yield _with(batch.slice(start, 256), into, pa.array(decoded, pa.string()))
+            found = [x.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes() if x.is_valid else b"" for x in column]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _strings(bpe, found)], names=[*batch.schema.names, into])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
 
@@ -275,4 +283,4 @@ def vocabulary() -> str:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary()
-    return digests(decode(encode(docs, path).drop("text"), path))
+    return digests(encode(docs, path, decoded="decoded"))
