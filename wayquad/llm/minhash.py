@@ -15,8 +15,8 @@
    the union sketch from above; pairs whose estimate is below the least count that a link shows (see
    ``needed``) fall out, and exact set sizes confirm the rest: ``scale_den * shared >= scale_num * union``.
    Only a spanning forest of the confirmed links leaves the task.
-5. Components of the links are found by label propagation with pointer jumping, written to the shared
-   folder each round.
+5. Components of the links: tasks of ``EDGES`` edges connect what they hold; label propagation with pointer
+   jumping, written to the shared folder each round, connects the rest.
 
 Hashes are 64 bits wide; two different shingles of the corpus collide with a chance of n^2 / 2^65 for
 n compared shingles, which is the only approximation besides ``MISS``.
@@ -43,6 +43,8 @@ K = 64
 #: Chance that a link shows fewer common retained values than asked for.
 MISS = 1e-9
 BLOCK = 256
+#: Edges that one task connects.
+EDGES = 400_000
 #: Shingles in a block, about.
 VOLUME = 1 << 20
 ROUNDS = 60
@@ -130,9 +132,30 @@ def candidate_edges(classes: DataFrame, k: int, share: float) -> DataFrame:
     return lists.join(hubs, "value").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def contract(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges dealt to ``parts`` tasks, each of which returns (a, b): its vertices with the smallest vertex it connects them to."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1) for b in batches if b.num_rows]
+        found = np.array(forest(np.concatenate(got)) if got else [], np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    return edges.select("a", "b").repartition(parts).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(v, root) for every vertex of the undirected edges (a, b); root is the smallest vertex reached."""
-    both = pin(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    """(v, root) for every vertex of the undirected edges (a, b); root is the smallest vertex reached.
+
+    Tasks of about ``EDGES`` edges first connect what they hold; what is left between tasks is settled by
+    propagating the smallest label, with pointer jumping.
+    """
+    edges = pin(edges)
+    parts = -(-edges.count() // EDGES)
+    stars = pin(contract(edges, max(1, parts)))
+    roots = stars.select(F.col("b").alias("v"), F.col("b").alias("root")).distinct()
+    if parts <= 1:
+        return stars.select(F.col("a").alias("v"), F.col("b").alias("root")).union(roots)
+    both = pin(stars.union(stars.select(F.col("b"), F.col("a"))).distinct())
     labels = pin(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
     for _ in range(ROUNDS):
         near = both.join(labels.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("v")).agg(F.min("r").alias("r"))
@@ -142,11 +165,9 @@ def components(edges: DataFrame) -> DataFrame:
         for _ in range(2):  # pointer jumping: four steps towards the smallest
             further = lowest.select(F.col("at").alias("low"), F.col("low").alias("next"))
             lowest = lowest.join(further, "low", "left").select("at", F.coalesce("next", "low").alias("low"))
-        jumped = hooked.join(lowest.withColumnRenamed("at", "old"), "old").select("v", "old", F.least("root", "low").alias("root"))
-        step = pin(jumped)
-        changed = step.where("root <> old").limit(1).count()
+        step = pin(hooked.join(lowest.withColumnRenamed("at", "old"), "old").select("v", "old", F.least("root", "low").alias("root")))
         labels = step.select("v", "root")
-        if not changed:
+        if not step.where("root <> old").limit(1).count():
             return labels
     raise RuntimeError("components did not settle")
 
