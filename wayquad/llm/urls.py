@@ -3,14 +3,14 @@
 A rule fits its host and all subdomains if the url's path starts with the rule's path; the longest fitting
 rule wins.  Urls without a rule are judged by the classifier.  Its features are the character trigrams of
 ``^host$`` and of ``^path$``, hashed by a polynomial of their code points to ``BUCKETS`` buckets for each of
-the two; a url's score is the bias and the sum of the weights of its trigrams.  Weights are whole numbers
+the two; a url's score is the sum of the weights of its trigrams, so a url without any gets 0 and passes.  Weights are whole numbers
 (millionths), so a score does not depend on the order of summation.
 
 The weights are trained at the first use from ``LABELLED``, a small table of invented urls, by full-batch
 gradient descent; the table and the number of steps are fixed, so the weights are always the same.
 
 Defined results: null urls and urls without ``://`` have an empty host and path and no rule, and get the
-verdict of the bias; repeated rows are judged each; other columns stay as they are.
+verdict allow; repeated rows are judged each; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -92,18 +92,17 @@ def buckets(host: str, path: str) -> np.ndarray:
 
 
 @lru_cache(maxsize=1)
-def weights(steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> tuple[int, np.ndarray]:
-    """Bias and weights in millionths."""
+def weights(steps: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> np.ndarray:
+    """Weights in millionths."""
     x = np.zeros((len(LABELLED), 2 * BUCKETS))
     for row, (url, _) in enumerate(LABELLED):
         np.add.at(x[row], buckets(*split(url)), 1)
     y = np.array([label for _, label in LABELLED], float)
-    w, bias = np.zeros(2 * BUCKETS), 0.0
+    w = np.zeros(2 * BUCKETS)
     for _ in range(steps):
-        gap = 1 / (1 + np.exp(-(x @ w + bias))) - y
+        gap = 1 / (1 + np.exp(-(x @ w))) - y
         w -= rate * (x.T @ gap / len(y) + ridge * w)
-        bias -= rate * gap.mean()
-    return round(bias * SCALE), np.rint(w * SCALE).astype(np.int64)
+    return np.rint(w * SCALE).astype(np.int64)
 
 
 def rule_of(host: str, path: str, rules: Sequence[tuple[str, bool]]) -> tuple[str, bool] | None:
@@ -121,17 +120,16 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, bool]] = RULES, url: str
     """Add ``into``: host, path, rule, verdict and the classifier's score (millionths of a log-odds)."""
     if into in pages.columns:
         raise ValueError(f"column {into} exists")
-    bias, w = weights()
-    model = pages.sparkSession.sparkContext.broadcast((bias, w, tuple(rules)))
+    model = pages.sparkSession.sparkContext.broadcast((weights(), tuple(rules)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, w, rules = model.value
+        w, rules = model.value
         kind = pa.struct([(c, pa.int64() if c == "score" else pa.string()) for c in ("host", "path", "rule", "verdict", "score")])
         for batch in batches:
             out = []
             for value in batch.column(batch.schema.get_field_index(url)).to_pylist():
                 host, path = split(value)
-                score = bias + int(w[buckets(host, path)].sum())
+                score = int(w[buckets(host, path)].sum())
                 rule = rule_of(host, path, rules)
                 block = rule[1] if rule else score > 0
                 out.append({"host": host, "path": path, "rule": rule and rule[0], "verdict": "block" if block else "allow", "score": score})
@@ -146,7 +144,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    bias, w = weights()
+    w = weights()
     listed = ", ".join(f"({b}, {int(v)})" for b, v in enumerate(w) if v)
     rules = ", ".join(f"('{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{r}', '{'block' if b else 'allow'}')" for r, b in RULES)
     return f"""
@@ -167,8 +165,8 @@ best AS (
   SELECT r, arg_max(rule, length(rule)) AS rule, arg_max(rules.verdict, length(rule)) AS verdict
   FROM p JOIN rules ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start) GROUP BY r)
 SELECT page_id, host, path, rule,
-  coalesce(verdict, CASE WHEN coalesce(score, 0) + {bias} > 0 THEN 'block' ELSE 'allow' END) AS verdict,
-  (coalesce(score, 0) + {bias})::BIGINT AS score
+  coalesce(verdict, CASE WHEN coalesce(score, 0) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(score, 0)::BIGINT AS score
 FROM p LEFT JOIN best USING (r) LEFT JOIN scores USING (r)
 """
 
