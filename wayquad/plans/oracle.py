@@ -181,7 +181,21 @@ c AS (SELECT level, ix, iy, size, {code(levels=levels)} AS quad_code FROM n)
 SELECT quad_code, level, ix, iy, quad_code AS again, (quad_code + {levels} - level)::BIGINT AS leaf_lo, (quad_code + size)::BIGINT AS leaf_hi FROM c"""
 
 
+def clipped(a: str, b: str, low: str, high: str) -> tuple[str, str]:
+    """The range of a segment's parameter in which one axis lies between two bounds; (2, -1) if none."""
+    t0, t1 = f"({low} - {a}) / ({b} - {a})", f"({high} - {a}) / ({b} - {a})"
+    inside = f"{a} BETWEEN {low} AND {high}"
+    return f"CASE WHEN {a} <> {b} THEN least({t0}, {t1}) WHEN {inside} THEN 0 ELSE 2 END", f"CASE WHEN {a} <> {b} THEN greatest({t0}, {t1}) WHEN {inside} THEN 1 ELSE -1 END"
+
+
+def segments_sql() -> str:
+    (x_in, x_out), (y_in, y_out) = clipped("x", "nx", "q.min_x", "q.max_x"), clipped("y", "ny", "q.min_y", "q.max_y")
+    return f"""WITH {PTS}, {BOXES}, s AS (SELECT tid, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM pts WINDOW w AS (PARTITION BY tid ORDER BY seq))
+SELECT DISTINCT query_id, tid FROM s, q WHERE nx IS NOT NULL AND greatest(0, {x_in}, {y_in}) <= least(1, {x_out}, {y_out})"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "range_exact_segments": segments_sql(),
     "traj_mbr": f"WITH {MBR} SELECT tid, k::INT AS n_points, min_x, min_y, max_x, max_y FROM mbr",
     "traj_level_cell": f"WITH {ASG} SELECT tid, level, ix, iy, quad_code FROM asg",
     "quad_code_roundtrip": decoded(6),
