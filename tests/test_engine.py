@@ -233,3 +233,40 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.select("tid", "quad_code", "sig").exceptAll(assign_stream(t, SQUARE).select("tid", "quad_code", "sig")).count() == 0
     assert got.count() == 40
+
+
+def test_learning_helpers():
+    from wayquad.operators import learn
+
+    assert learn.checkpoints(8, 4, 2) == [1, 2, 5, 8]
+    assert learn.returns([1, 2], [0.5, 0.25], [False, True]) == pytest.approx([2.893375, 2.0])
+    assert learn.weight(0.2, 1, 10) == pytest.approx(0.2)
+    assert learn.weight(0.2, 11, 10) == pytest.approx(1.0)
+    assert learn.action_limit(0, 2, 1, 1, 5) is None
+    assert [learn.action_limit(4, 2, 0.5, e, 4) for e in (1, 5, 9)] == [8, 2, 2]
+    stop = learn.EarlyStop(patience=2, min_delta=0.1, max_negative=3)
+    assert [stop.update(s) for s in (1.0, 1.05, 2.0, 2.0, 2.05)] == [False, False, False, False, True]
+
+
+def test_store_and_prefix_rewards(spark, tmp_path):
+    from wayquad.operators import learn
+    from wayquad.sources import store
+
+    grid = Grid(0, 0, 100, 100, levels=4, alpha=2, beta=2)
+    own = index.signed(index.prune(index.assign(rows_of(spark, *walks(120)), grid), grid, 3), grid)
+    store.save_index(own, str(tmp_path / "i"), 3)
+    back = store.load_index(spark, str(tmp_path / "i"))
+    assert back.select("tid", "quad_code", "sig").exceptAll(own.select("tid", "quad_code", "sig")).count() == 0
+    assert store.lookup(back, [3, 999]).count() == 1
+    assert store.scan(back, 0, 10**9).count() == 120
+    cells = index.active_cells(back, grid).cache()
+    sims = similarity.jaccard(back, cells, grid)
+    store.save_similarity(sims, str(tmp_path / "s"))
+    assert store.load_similarity(spark, str(tmp_path / "s"), cells).count() == sims.count()
+    assert store.load_similarity(spark, str(tmp_path / "s"), cells.limit(1)) is None
+    queries = spark.createDataFrame([(1, 10.0, 10.0, 40.0, 60.0), (2, 0.0, 0.0, 5.0, 90.0)], "query_id int, min_x double, min_y double, max_x double, max_y double")
+    z = index.z_order(cells).select("quad_code", "ord")
+    flipped = z.select("quad_code", (F.lit(cells.count()) - 1 - F.col("ord")).alias("ord"))
+    same = learn.prefix_reward(queries, back, cells, z, 0, flipped, grid).first()
+    assert same["length"] == 0
+    assert math.isfinite(same["reward"])
