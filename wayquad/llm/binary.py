@@ -38,7 +38,11 @@ from wayquad.llm.bpe import PieceMemo, vocabulary
 from wayquad.llm.common import shared_dir, slices, table, texts
 
 BLOCK_BYTES = 4 << 20
-MEMO_PIECES = 500_000
+MEMO_PIECES = 1_000_000
+#: Pieces that go to the library as one text.
+JOINED = 256
+#: Sentence marks.
+MARKS = ".,;:!?"
 #: Bytes of text in a part, about.
 PART_BYTES = 64 << 20
 END = 2
@@ -56,14 +60,56 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo = PieceMemo(self.whole, added, MEMO_PIECES)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        # A character of a byte-level token stands for one byte.
+        self.bytes_of = np.zeros(1 + max(vocab.values()), np.int64)
+        self.bytes_of[list(vocab.values())] = list(map(len, vocab))
+        self.tails: dict[str, bytes] = {}
+        self.memo = PieceMemo(self.whole, self.added, MEMO_PIECES)
 
     def whole(self, parts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for k in range(0, len(parts), 4096):
-            out += [np.array(e.ids, "<i4").tobytes() for e in self.tokenizer.encode_batch_fast(parts[k : k + 4096], add_special_tokens=False)]
-        return out
+        """Ids of each part.
+
+        Parts that begin with a space and a character that is none are encoded many at a time: no token spans
+        such a beginning, so the ids of the joined parts are cut where their bytes end.  Sentence marks at the
+        end of a word are a pre-token of their own, so such parts take the ids of the word and of the marks.
+        """
+        stems: dict[str, bytes | None] = {}
+        cut: list[tuple[str, str] | None] = []
+        for p in parts:
+            if p[:1] != " " or not p[1:2] or p[1].isspace():
+                cut.append(None)
+                continue
+            stem = p.rstrip(MARKS)
+            if stem is p or len(stem) < 2 or not stem[-1].isalpha() or stem[-1] > "\u024f":
+                stem = p
+            stems[stem] = self.memo.pieces.get(stem[1:])
+            cut.append((stem, p[len(stem) :]))
+        new = [s for s, known in stems.items() if known is None]
+        for low in range(0, len(new), JOINED):
+            own = new[low : low + JOINED]
+            text = "".join(own)
+            if any(a in text for a in self.added):
+                stems.update((s, np.array(ids, "<i4").tobytes()) for s, ids in zip(own, self._encode(own), strict=True))
+                continue
+            ids = np.array(self._encode([text])[0], "<i4")
+            stops = (np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(s.encode()) for s in own])) + 1) * 4
+            raw = ids.tobytes()
+            stems.update(zip(own, (raw[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)), strict=True))
+        apart = [k for k, c in enumerate(cut) if c is None]
+        whole = dict(zip(apart, self._encode([parts[k] for k in apart]), strict=True))
+        return [np.array(whole[k], "<i4").tobytes() if c is None else stems[c[0]] + self._marks(c[1]) if c[1] else stems[c[0]] for k, c in enumerate(cut)]
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails.clear()
+            self.tails[marks] = np.array(self._encode([marks])[0], "<i4").tobytes()
+        return self.tails[marks]
+
+    def _encode(self, parts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
