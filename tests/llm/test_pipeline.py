@@ -102,6 +102,20 @@ def test_pipeline_against_a_version_without_spark(spark, tmp_path):
         assert r["decoded_sha256"] == hashlib.sha256((text[k] or "").encode()).hexdigest()
 
 
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    docs, labels, items = corpus()
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    names = ["_score", "_found", "body", "root", "digest", "cls", "kept"]
+    own = spark.createDataFrame([(k, t, *names) for k, t in docs[:60]], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    for _, f in corpus_pipeline.STAGES[:4]:
+        out = f(spark, own, str(tmp_path))
+        assert out.columns == own.columns
+        assert all(list(r[2:]) == names for r in out.collect())
+        assert f(spark, own.limit(0), str(tmp_path)).collect() == []
+    assert corpus_pipeline.STAGES[4][1](spark, own, str(tmp_path)).count() == 60
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)

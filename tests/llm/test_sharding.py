@@ -6,14 +6,14 @@ from wayquad.llm import sharding
 
 def test_law_slots_and_odd_rows(spark):
     rows = [(k, f"text {k % 7}") for k in range(4000)] + [(5, "again"), (5, "again"), (None, None), (9001, None), (9002, ""), (9003, "é" * 50_000)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, slot_of string").repartition(5)
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, slot_of string, _h string").repartition(5)
     got = sharding.place(df, "doc_id", [1.0] * 8, [1.0] * 9, ["text"]).collect()
     assert len(got) == len(rows)
     by_shard: dict = {}
     for r in got:
         by_shard.setdefault(r["shard"], []).append(r["slot"])
         assert r["grown_shard"] in (r["shard"], 8)
-        assert r["slot_of"] == "x"
+        assert (r["slot_of"], r["_h"]) == ("x", "y")
     assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
     assert set(by_shard) == set(range(8))
     moved = sum(r["grown_shard"] == 8 for r in got) / len(got)

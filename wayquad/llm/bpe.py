@@ -227,11 +227,10 @@ def _strings(bpe: PairIndexBpe, ids: list[bytes]) -> pa.Array:
 def encode(rows: DataFrame, path: str, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """Add ``into``, the array of token ids of ``text``, and the text decoded from them where ``decoded`` names a column.
 
-    Raises ValueError if such a column exists.
+    Columns of these names are replaced.
     """
     new = [into] if decoded is None else [into, decoded]
-    if clash := [c for c in new if c in rows.columns]:
-        raise ValueError(f"columns exist: {clash}")
+    rows = rows.drop(*new)
     # Batches of texts, not of numbers: ten thousand rows a batch are too many.
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
@@ -250,9 +249,8 @@ def encode(rows: DataFrame, path: str, text: str = "text", into: str = "ids", de
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """Add ``into``, the text of the token ids; null ids give the empty text."""
-    if into in rows.columns:
-        raise ValueError(f"column {into} exists")
+    """Add ``into``, the text of the token ids; null ids give the empty text; a column of that name is replaced."""
+    rows = rows.drop(into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from wayquad.session import pin, shared_dir
 
-__all__ = ["crc_of_id", "pin", "python_crc_of_id", "shared_dir", "ship", "slices", "table", "texts"]
+__all__ = ["crc_of_id", "fresh", "pin", "python_crc_of_id", "shared_dir", "ship", "slices", "table", "texts"]
 
 
 def ship(spark: SparkSession) -> None:
@@ -38,6 +38,14 @@ def python_crc_of_id(doc_id: int | None) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode())
 
 
+def fresh(rows: DataFrame, name: str) -> str:
+    """A column name that ``rows`` does not have."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Texts of an Arrow column, null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayquad.llm.common import slices, table, texts
+from wayquad.llm.common import fresh, slices, table, texts
 
 BLOCK_WORDS = 100_000
 WINDOW = 10
@@ -111,9 +111,8 @@ def matcher(run: str, k: int, block: Broadcast, window: int) -> Matcher:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", into: str = "found") -> DataFrame:
-    """Add ``into``: number of words, number of hit words, items (names as text, distinct) and hit spans."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists")
+    """Add ``into``: number of words, number of hit words, items (names as text, distinct) and hit spans; a column of that name is replaced."""
+    docs = docs.drop(into)
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("body"))
     # Words are at most half as many as bytes, and one more.
@@ -150,7 +149,8 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_word
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with their own columns."""
-    return find(docs, benchmark, window, into="_found").where(F.col("_found.n_hit") == 0).drop("_found")
+    name = fresh(docs, "_found")
+    return find(docs, benchmark, window, into=name).where(F.col(f"{name}.n_hit") == 0).drop(name)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

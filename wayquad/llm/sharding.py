@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayquad.llm.common import table
+from wayquad.llm.common import fresh, table
 
 #: Hash blocks in a shard: 16 ** BLOCK_DIGITS.
 BLOCK_DIGITS = 3
@@ -43,21 +43,19 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 def place(rows: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float], order: Sequence[str] = ()) -> DataFrame:
     """Add ``shard``, ``grown_shard`` (the shard under ``grown`` weights) and the gapless ``slot`` in the shard.
 
-    Slots follow a hash of the key, then ``key`` and ``order``.
+    Slots follow a hash of the key, then ``key`` and ``order``.  Columns of these three names are replaced.
     """
-    place_in = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":slot")).cast("binary"))
-    here = rows.withColumns({"shard": rendezvous(F.col(key), weights), "grown_shard": rendezvous(F.col(key), grown), "_h": place_in})
-    here = here.withColumn("_block", F.substring("_h", 1, BLOCK_DIGITS))
-    counts = here.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("shard", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("shard", "_block").orderBy("_h", key, *order)
-    return (
-        here.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(F.broadcast(bases), ["shard", "_block"])
-        .withColumn("slot", (F.col("_base") + F.col("_at")).cast("long"))
-        .drop("_h", "_block", "_at", "_base")
-    )
+    rows = rows.drop(*({"shard", "grown_shard", "slot"} - {key, *order}))
+    h, block, at, base = (fresh(rows, n) for n in ("_h", "_block", "_at", "_base"))
+    hashed = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":slot")).cast("binary"))
+    here = rows.withColumns({"shard": rendezvous(F.col(key), weights), "grown_shard": rendezvous(F.col(key), grown), h: hashed})
+    here = here.withColumn(block, F.substring(h, 1, BLOCK_DIGITS))
+    counts = here.groupBy("shard", block).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("shard", block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(base))
+    inside = Window.partitionBy("shard", block).orderBy(h, key, *order)
+    placed = here.withColumn(at, F.row_number().over(inside) - 1).join(F.broadcast(bases), ["shard", block])
+    return placed.withColumn("slot", (F.col(base) + F.col(at)).cast("long")).drop(h, block, at, base)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,9 +117,8 @@ def _fits(host: str, path: str, rule: str) -> bool:
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, bool]] = RULES, url: str = "url", into: str = "judged") -> DataFrame:
-    """Add ``into``: host, path, rule, verdict and the classifier's score (millionths of a log-odds)."""
-    if into in pages.columns:
-        raise ValueError(f"column {into} exists")
+    """Add ``into``: host, path, rule, verdict and the classifier's score (millionths of a log-odds); a column of that name is replaced."""
+    pages = pages.drop(into)
     model = pages.sparkSession.sparkContext.broadcast((weights(), tuple(rules)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
