@@ -270,3 +270,19 @@ def test_store_and_prefix_rewards(spark, tmp_path):
     same = learn.prefix_reward(queries, back, cells, z, 0, flipped, grid).first()
     assert same["length"] == 0
     assert math.isfinite(same["reward"])
+
+
+def test_command_line(spark, tmp_path):
+    from wayquad.__main__ import main
+
+    src.to_lines(rows_of(spark, *walks(60)), "wkt").write.text(str(tmp_path / "in.wkt"))
+    common = ["--box", "0", "0", "100", "100", "--levels", "4"]
+    main(["clean", str(tmp_path / "in.wkt"), str(tmp_path / "clean.csv"), "--least", "3", *common], spark)
+    kept = src.read_lines(spark, str(tmp_path / "clean.csv"))
+    assert 0 < kept.count() < 60
+    main(["export-order", str(tmp_path / "clean.csv"), str(tmp_path / "o.json"), "--adaptive", *common], spark)
+    assert len(json.loads((tmp_path / "o.json").read_text())["ordering"]) > 1
+    main(["queries", str(tmp_path / "clean.csv"), str(tmp_path / "q"), "--count", "20", *common], spark)
+    assert spark.read.json(str(tmp_path / "q")).count() == 60
+    main(["report", str(tmp_path / "clean.csv"), str(tmp_path / "r"), *common], spark)
+    assert spark.read.json(str(tmp_path / "r")).first()["trajectories"] == kept.count()
