@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayquad.llm.common import crc_of_id, slices, table, texts
+from wayquad.llm.common import crc_of_id, fresh, slices, table, texts
 from wayquad.llm.labelled import learn_rows, sample
 
-PER_CLASS = (1500, 2500)
+PER_CLASS = (1000, 2000)
 RANK, NEIGHBOURS, POWER = 32, 15, 8
 MODULUS, HELD = 5, 0
 THRESHOLD = 0.3
@@ -70,11 +70,14 @@ class Model:
         self.y = y.astype(np.float32)
         if not len(y):
             return
-        counts = np.array([terms(t) for t in bodies])
-        self.idf = (np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))) + 0.2).astype(np.float32)
+        weighted = np.empty((len(bodies), RUNS + 2), np.float32)
+        for k, t in enumerate(bodies):
+            weighted[k] = terms(t)
+        self.idf = (np.log((1 + len(y)) / (1 + (weighted > 0).sum(axis=0))) + 0.2).astype(np.float32)
         taken = np.array([(y == 0).sum(), (y == 1).sum()])
         self.stands = (totals / np.maximum(taken, 1))[y].astype(np.float32)
-        weighted = rates(counts) * self.idf
+        for low in range(0, len(weighted), 256):
+            weighted[low : low + 256] = rates(weighted[low : low + 256]) * self.idf
         self.base = directions(weighted, min(RANK, *weighted.shape))
         self.vectors = self._unit(weighted @ self.base)
 
@@ -101,9 +104,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: t
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """Add ``into``, a number from 0 to 1, from the text alone."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists")
+    """Add ``into``, a number from 0 to 1, from the text alone; a column of that name is replaced."""
+    docs = docs.drop(into)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -117,7 +119,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
 def good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are predicted good, with their own columns."""
-    return score(docs, model, into="_score").where(F.col("_score") >= THRESHOLD).drop("_score")
+    name = fresh(docs, "_score")
+    return score(docs, model, into=name).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

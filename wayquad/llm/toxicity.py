@@ -28,18 +28,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayquad.llm.common import crc_of_id, slices, table, texts
+from wayquad.llm.common import crc_of_id, fresh, slices, table, texts
 from wayquad.llm.labelled import learn_rows, logistic, sample
 
 ORDER, SHARED, DISCOUNT = 6, 1, 0.5
-PER_CLASS = (3000, 3000)
+PER_CLASS = (3000, 2000)
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
 MEMO_WORDS = 600_000
 #: Ratios of single words are kept in these limits before they are averaged.
 LIMITS = (-3.0, 10.0)
 #: The share of toxic words in a toxic text, for the mixture.
-MIXED = 0.1
+MIXED = 0.05
 SEPARATORS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -94,9 +94,9 @@ class KneserNey:
 
     def __init__(self, counts: tuple[Counter, Counter]):
         distinct = sorted({*counts[0], *counts[1]})
-        weight = np.array([[c[w] for c in counts] for w in distinct], float).reshape(-1, 2)
+        weight = np.array([[c[w] for c in counts] for w in distinct], np.float32).reshape(-1, 2)
         x, place, starts = spelled(distinct)
-        owner = np.repeat(np.arange(len(distinct)), np.diff(np.append(starts, len(x))))
+        owner = np.repeat(np.arange(len(distinct), dtype=np.int32), np.diff(np.append(starts, len(x))))
         self.kept, self.weight = [], []
         for length in range(1, ORDER + 1):
             if length > SHARED + 1:
@@ -143,30 +143,37 @@ class Model:
         self.memo: dict[bytes, float] = {}
         self.constant = float(totals[1] / totals.sum()) if totals.sum() else 0.0
         self.models = None
-        first = {t: k for k, t in enumerate(bodies)}
-        own = sorted(first.values())
-        cut, y = [set(words(bodies[k])) for k in own], y[own]
-        if min((y == 0).sum(), (y == 1).sum()) < 2:
+        labels = dict(zip(bodies, y.tolist(), strict=True))
+        by_class = [[t for t, label in labels.items() if label == c] for c in (0, 1)]
+        if min(map(len, by_class)) < 2:
             return
-        half = np.zeros(len(y), int)
-        for c in (0, 1):
-            half[np.flatnonzero(y == c)] = np.arange((y == c).sum()) % 2
-        x = np.zeros((len(y), 2))
+        # Words are counted class by class and half by half; only the counts stay.
+        counts = [(self._counted(by_class[0][h::2]), self._counted(by_class[1][h::2])) for h in (0, 1)]
+        x, target = [], []
         for h in (0, 1):
-            there = KneserNey(self._counts(cut, y, half == h))
-            here = np.flatnonzero(half != h)
-            known = self._known(there, {w for k in here for w in cut[k]})
-            for k in here:
-                x[k] = figures([known[w] for w in words(bodies[own[k]])])
-        self.weights = logistic(x, y)
-        self.weights[-1] += np.log(totals[1] / totals[0]) - np.log((y == 1).sum() / (y == 0).sum())
-        self.models = KneserNey(self._counts(cut, y, half >= 0))
+            there = KneserNey(counts[h])
+            for c in (0, 1):
+                others = by_class[c][1 - h :: 2]
+                for low in range(0, len(others), 200):
+                    cut = [words(t) for t in others[low : low + 200]]
+                    known = self._known(there, {w for ws in cut for w in ws})
+                    x += [figures([known[w] for w in ws]) for ws in cut]
+                    target += [c] * len(cut)
+            del there
+        self.weights = logistic(np.array(x), np.array(target))
+        self.weights[-1] += np.log(totals[1] / totals[0]) - np.log(len(by_class[1]) / len(by_class[0]))
+        for c in (0, 1):
+            counts[0][c].update(counts[1][c])
+        pooled = counts[0]
+        del counts
+        self.models = KneserNey(pooled)
 
     @staticmethod
-    def _counts(cut: list[set[bytes]], y: np.ndarray, use: np.ndarray) -> tuple[Counter, Counter]:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for k in np.flatnonzero(use):
-            counts[y[k]].update(cut[k])
+    def _counted(bodies: list[str]) -> Counter:
+        """In how many of the texts each word occurs."""
+        counts: Counter = Counter()
+        for t in bodies:
+            counts.update(set(words(t)))
         return counts
 
     @staticmethod
@@ -191,9 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tup
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
-    """Add ``into``, a number from 0 to 1, from the text alone."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} exists")
+    """Add ``into``, a number from 0 to 1, from the text alone; a column of that name is replaced."""
+    docs = docs.drop(into)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -207,7 +213,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
 def ordinary(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    return score(docs, model, into="_score").where(F.col("_score") < THRESHOLD).drop("_score")
+    name = fresh(docs, "_score")
+    return score(docs, model, into=name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
