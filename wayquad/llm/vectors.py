@@ -12,10 +12,10 @@ sampled queries are answered by brute force over the sample, and visits widen un
 true neighbours lie in visited leaves.
 
 Equal vectors are one point with its smallest ``k + 1`` ids, which are all that any answer can hold, so a
-vector that a third of the rows share costs one point; equal queries are answered once.  Points of a leaf
-are dealt in blocks of ``BLOCK``; queries meet the blocks of their leaves, scores are double-precision inner
-products of the original vectors, and each block returns its best ``k + 1`` points, which the final top-k
-merges.
+vector that a third of the rows share costs one point; equal queries are answered once.  Neighbouring
+leaves form bundles of about ``BUNDLE`` points, larger ones are dealt in blocks; queries meet the blocks of
+their bundles and look at the leaves they visit, scores are double-precision inner products of the original
+vectors, and each block returns its best ``k + 1`` points, which the final top-k merges.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither
 do rows with a null id; vectors of another length than the most common one take no part; ties go to the
@@ -37,9 +37,9 @@ from pyspark.sql.window import Window
 from wayquad.llm.common import pin, shared_dir, table
 
 SAMPLE, PROBES = 8192, 256
-BRANCH, LEAF, BLOCK = 16, 192, 2048
+BRANCH, LEAF, BUNDLE = 16, 192, 8192
 RECALL = 0.965
-#: Queries that meet one block in one task.
+#: Queries that meet one block of a bundle in one task.
 QUERY_BLOCK = 4096
 
 
@@ -171,19 +171,21 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
             leaves = [tree.visit(q, visits) for q in _matrix(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=[*batch.schema.names, "leaves"])
 
-    placed = points.mapInArrow(place, "point long, v array<double>, ids array<long>, leaf long")
-    size = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    size = pin(size)
-    placed = placed.join(size, "leaf").withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
+    # Neighbouring leaves form bundles of about BUNDLE points, so a query gets one list a bundle, not one a leaf.
+    together = max(1, int(BUNDLE * tree.n_leaves / total))
+    placed = points.mapInArrow(place, "point long, v array<double>, ids array<long>, leaf long").withColumn("bundle", F.expr(f"leaf div {together}"))
+    size = pin(placed.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / (2 * BUNDLE)).cast("int").alias("blocks")))
+    placed = placed.join(size, "bundle").withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     asked = own.where(is_query(F.col("id"))).groupBy("v").agg(F.min("id").alias("q")).select("q", "v")
-    routed = asked.mapInArrow(route, "q long, v array<double>, leaves array<long>").select("q", "v", F.explode("leaves").alias("leaf"))
-    crowd = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
-    crowd = pin(crowd.join(size, "leaf"))
-    # Every query block of a leaf meets every point block of it; both are spread by hash.
-    asking = routed.join(crowd, "leaf").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    offered = placed.join(crowd.select("leaf", "parts"), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sides = asking.select("leaf", "block", "part", F.col("q").alias("key"), "v", F.lit(None).cast("array<long>").alias("ids")).union(
-        offered.select("leaf", "block", "part", F.lit(None).cast("long").alias("key"), "v", "ids")
+    visited = asked.mapInArrow(route, "q long, v array<double>, leaves array<long>")
+    routed = visited.withColumn("bundle", F.explode(F.expr(f"array_distinct(transform(leaves, l -> l div {together}))")))
+    routed = routed.withColumn("leaves", F.expr(f"filter(leaves, l -> l div {together} = bundle)"))
+    crowd = pin(routed.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts")).join(size, "bundle"))
+    # Every block of queries of a bundle meets every block of its points; both are spread by hash.
+    asking = routed.join(crowd, "bundle").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    offered = placed.join(crowd.select("bundle", "parts"), "bundle").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    sides = asking.select("bundle", "block", "part", F.col("q").alias("key"), "v", "leaves", F.lit(None).cast("array<long>").alias("ids")).union(
+        offered.select("bundle", "block", "part", F.lit(None).cast("long").alias("key"), "v", F.array("leaf").alias("leaves"), "ids")
     )
 
     def meet(group: pa.Table) -> pa.Table:
@@ -196,15 +198,19 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
             ids = there.column("ids").to_pylist()
             first = np.array([i[0] for i in ids])
             names = queries.column("key").to_pylist()
+            leaves, leaf = np.unique(there.column("leaves").combine_chunks().flatten().to_numpy(), return_inverse=True)
+            wanted_leaves = queries.column("leaves").to_pylist()
             for low in range(0, len(q), 256):
-                for row, scores in enumerate(q[low : low + 256] @ v.T):
-                    best = _best(scores, first, k + 1)
+                near = q[low : low + 256] @ v.T
+                for row, scores in enumerate(near):
+                    seen = np.flatnonzero(np.isin(leaves, wanted_leaves[low + row])[leaf])
+                    best = seen[_best(scores[seen], first[seen], k + 1)]
                     out["q"] += [names[low + row]] * len(best)
                     out["ids"] += [ids[b] for b in best]
                     out["score"] += scores[best].tolist()
         return pa.table({"q": pa.array(out["q"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "score": pa.array(out["score"], pa.float64())})
 
-    found = sides.groupBy("leaf", "block", "part").applyInArrow(meet, "q long, ids array<long>, score double")
+    found = sides.groupBy("bundle", "block", "part").applyInArrow(meet, "q long, ids array<long>, score double")
     best = _first(found.withColumn("first", F.col("ids")[0]), ["q"], [F.desc("score"), "first"], k + 1)
     nearest = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("m"), i.alias("id")))
     listed = best.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(nearest))), 1, k + 1).alias("near"))
