@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from wayquad.llm import quality, toxicity
@@ -75,3 +76,25 @@ def test_kneser_ney_sums_to_one():
             p += q[-1]
         assert (p < 1 + 1e-6).all()
         assert (p > 0.9).all()
+
+
+def test_toxic_words_outside_the_calibration_sample_count(spark):
+    docs, labels, truth = corpus()
+    # A word of one toxic text that the bounded sample leaves out must be known to the models.
+    rare = [(9000 + k, "xyqqzwv " * 3 + "an ti or", "x") for k in range(1)] + [(9100 + k, f"or ti an el mu{k}", "x") for k in range(40)]
+    marks = [(9000, 1, 1)] + [(9100 + k, 1, 0) for k in range(40)]
+    keep = [(k, 1, t) for k, (_, t) in truth.items()]
+    d = spark.createDataFrame(docs[:900] + rare, DOCS).repartition(4)
+    lab = spark.createDataFrame(keep + marks, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(d, lab, per_class=(30, 30))
+    held = zlib.crc32(b"9000") % 4 == 2
+    assert not held
+    assert model.models.ratios([b"xyqqzwv"])[0] > 1
+    # With a sample of all rows, the counts in Spark are those of the texts themselves.
+    rows = sorted((r["doc_id"], r["text"]) for r in d.collect() if r["doc_id"] is not None)
+    y = {k: t for k, _, t in keep + marks if zlib.crc32(str(k).encode()) % 4 != 2}
+    bodies = [t for k, t in rows if k in y]
+    local = toxicity.Model(bodies, np.array([y[k] for k, _ in rows if k in y]), np.array([1, 1]))
+    for a, b in zip(local.models.kept[2:], model.models.kept[2:], strict=True):
+        assert np.array_equal(a.keys, b.keys)
+        assert np.allclose(a.values, b.values)

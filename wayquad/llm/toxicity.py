@@ -10,8 +10,11 @@ likelihood ratio, in which a few toxic words of a long text still count.
 Both go into a logistic function, fitted on ratios that each half of the sample gets from the other half's
 models, so the calibration sees words that its models have not learnt.
 
-The models are fitted on at most ``PER_CLASS`` labelled rows of each class (the bound of the sample, chosen
-by a hash of the id); class frequencies of all labelled rows set the bias.  Scoring reads every text whole.
+The counts of each class come from all labelled texts outside the held-out remainder, those that the classes
+share from all documents; both are summed in Spark, and only the distinct runs of up to ``ORDER`` bytes, with
+their counts, reach the driver.  The logistic function alone is fitted on a sample of at most ``PER_CLASS``
+rows of each class (chosen by a hash of the id); class frequencies of all labelled rows set the bias.  Equal
+texts count once, with the label of the largest id.  Scoring reads every text whole.
 
 Defined results: null, empty and wordless texts have ratio 0 and get the score of that; with labels of one
 class only, or none, every score is that class's share of the labels, or 0.
@@ -19,12 +22,13 @@ class only, or none, every score is that class's share of the labels, or 0.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +40,14 @@ PER_CLASS = (3000, 2000)
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
 MEMO_WORDS = 600_000
+#: A task that counts gives its counts away when it holds so many distinct words.
+COUNT_WORDS = 200_000
 #: Ratios of single words are kept in these limits before they are averaged.
 LIMITS = (-3.0, 10.0)
 #: The share of toxic words in a toxic text, for the mixture.
 MIXED = 0.05
+#: Keys, their counts (columns: both classes of one half of the texts, both of the other) and the shared runs.
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
 SEPARATORS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 
 
@@ -76,6 +84,45 @@ def suffix(key: np.ndarray, length: int) -> np.ndarray:
     return (np.uint64(length) << np.uint64(56)) | (key & np.uint64((1 << (8 * length)) - 1))
 
 
+def counted(counts: list[Counter]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed keys of the runs that each class counts for itself, and for each of ``counts`` how often they occur."""
+    distinct = sorted(set().union(*counts))
+    if not distinct:
+        return np.zeros(0, np.uint64), np.zeros((0, len(counts)))
+    weight = np.array([[c[w] for c in counts] for w in distinct], float)
+    x, place, starts = spelled(distinct)
+    owner = np.repeat(np.arange(len(distinct), dtype=np.int32), np.diff(np.append(starts, len(x))))
+    out, found = [], []
+    for length in range(SHARED + 2, ORDER + 1):
+        at, key = grams(x, place, length)
+        keys, back = np.unique(key, return_inverse=True)
+        out.append(keys)
+        found.append(np.stack([np.bincount(back, weight[owner[at], c], len(keys)) for c in range(len(counts))], axis=1))
+    return np.concatenate(out), np.concatenate(found)
+
+
+def shared_runs(bodies: Iterable[str], seen: np.ndarray | None = None) -> np.ndarray:
+    """Which runs of ``SHARED + 2`` bytes of words occur, as a mask over their bytes read as a number."""
+    seen = np.zeros(1 << (8 * (SHARED + 2)), bool) if seen is None else seen
+    for t in bodies:
+        cut = t.encode().translate(SEPARATORS).decode("utf-8", "replace").lower().encode().split()
+        x = np.frombuffer(b"\x01" + b"\x02\x01".join(cut) + b"\x02", np.uint8)
+        n = len(x) - SHARED - 1
+        key, inside = np.zeros(n, np.int32), np.ones(n, bool)
+        for k in range(SHARED + 2):
+            key = (key << 8) | x[k : n + k]
+            if k < SHARED + 1:
+                inside &= x[k : n + k] != 2
+        if cut:
+            seen[key[inside]] = True
+    return seen
+
+
+def packed(seen: np.ndarray) -> np.ndarray:
+    """Keys of the runs of a mask, packed as ``grams`` does."""
+    return (np.uint64(SHARED + 2) << np.uint64(56)) | np.flatnonzero(seen).astype(np.uint64)
+
+
 class Table:
     """Packed keys with two numbers each."""
 
@@ -94,18 +141,28 @@ class KneserNey:
 
     def __init__(self, counts: tuple[Counter, Counter]):
         distinct = sorted({*counts[0], *counts[1]})
-        weight = np.array([[c[w] for c in counts] for w in distinct], np.float32).reshape(-1, 2)
-        x, place, starts = spelled(distinct)
-        owner = np.repeat(np.arange(len(distinct), dtype=np.int32), np.diff(np.append(starts, len(x))))
+        self._build(*counted(list(counts)), packed(shared_runs(w.decode("utf-8", "replace") for w in distinct)))
+
+    @classmethod
+    def of(cls, keys: np.ndarray, n: np.ndarray, runs: np.ndarray) -> KneserNey:
+        """From the counts of both classes and the runs that they share."""
+        model = cls.__new__(cls)
+        model._build(keys, n, runs)
+        return model
+
+    def _build(self, own: np.ndarray, often: np.ndarray, runs: np.ndarray) -> None:
+        size = own >> np.uint64(56)
+        shared = {SHARED + 2: runs}
+        for length in range(SHARED + 1, 1, -1):  # every run of a word lies in a longer one, marks included
+            shared[length] = np.unique(np.concatenate((context(shared[length + 1]), suffix(shared[length + 1], length))))
         self.kept, self.weight = [], []
         for length in range(1, ORDER + 1):
             if length > SHARED + 1:
-                at, key = grams(x, place, length)
-                keys, back = np.unique(key, return_inverse=True)
-                n = np.stack([np.bincount(back, weight[owner[at], c], len(keys)) for c in (0, 1)], axis=1)
-            else:  # in how many different contexts, one byte longer, a run occurs in either class
-                longer = np.unique(grams(x, place, length + 1)[1])
-                keys, seen = np.unique(suffix(longer, length), return_counts=True)
+                there = (size == length) & (often.sum(axis=1) > 0)
+                order = np.argsort(own[there])
+                keys, n = own[there][order], often[there][order]
+            else:  # in how many different contexts, one byte longer, a run occurs in any text
+                keys, seen = np.unique(suffix(shared[length + 1], length), return_counts=True)
                 n = np.repeat(seen[:, None].astype(float), 2, axis=1)
             contexts, back = np.unique(context(keys), return_inverse=True)
             total = np.stack([np.bincount(back, n[:, c], len(contexts)) for c in (0, 1)], axis=1)
@@ -136,24 +193,31 @@ def figures(ratios: list[float]) -> tuple[float, float]:
     return float(np.log1p(MIXED * np.expm1(r)).mean()), float(top + np.log(np.exp(r - top).mean()))
 
 
+def split(bodies: list[str], y: np.ndarray) -> list[list[list[str]]]:
+    """The distinct texts by half and class; each class is dealt out in turn."""
+    labels = dict(zip(bodies, y.tolist(), strict=True))
+    by_class = [[t for t, label in labels.items() if label == c] for c in (0, 1)]
+    return [[own[h::2] for own in by_class] for h in (0, 1)]
+
+
 class Model:
     """Kneser-Ney models with their calibration; ``constant`` where the labels do not tell classes apart."""
 
-    def __init__(self, bodies: list[str], y: np.ndarray, totals: np.ndarray):
+    def __init__(self, bodies: list[str], y: np.ndarray, totals: np.ndarray, counts: Counts | None = None):
+        """``bodies`` and ``y`` calibrate; without ``counts`` they are all that is counted, too."""
         self.memo: dict[bytes, float] = {}
         self.constant = float(totals[1] / totals.sum()) if totals.sum() else 0.0
         self.models = None
-        labels = dict(zip(bodies, y.tolist(), strict=True))
-        by_class = [[t for t, label in labels.items() if label == c] for c in (0, 1)]
-        if min(map(len, by_class)) < 2:
+        halves = split(bodies, y)
+        taken = [len(halves[0][c]) + len(halves[1][c]) for c in (0, 1)]
+        if min(taken) < 2:
             return
-        # Words are counted class by class and half by half; only the counts stay.
-        counts = [(self._counted(by_class[0][h::2]), self._counted(by_class[1][h::2])) for h in (0, 1)]
+        keys, n, runs = counts or (*counted([self._counted(halves[h][c]) for h in (0, 1) for c in (0, 1)]), packed(shared_runs(bodies)))
         x, target = [], []
         for h in (0, 1):
-            there = KneserNey(counts[h])
+            there = KneserNey.of(keys, n[:, 2 * h : 2 * h + 2], runs)
             for c in (0, 1):
-                others = by_class[c][1 - h :: 2]
+                others = halves[1 - h][c]
                 for low in range(0, len(others), 200):
                     cut = [words(t) for t in others[low : low + 200]]
                     known = self._known(there, {w for ws in cut for w in ws})
@@ -161,15 +225,11 @@ class Model:
                     target += [c] * len(cut)
             del there
         self.weights = logistic(np.array(x), np.array(target))
-        self.weights[-1] += np.log(totals[1] / totals[0]) - np.log(len(by_class[1]) / len(by_class[0]))
-        for c in (0, 1):
-            counts[0][c].update(counts[1][c])
-        pooled = counts[0]
-        del counts
-        self.models = KneserNey(pooled)
+        self.weights[-1] += np.log(totals[1] / totals[0]) - np.log(taken[1] / taken[0])
+        self.models = KneserNey.of(keys, n[:, :2] + n[:, 2:], runs)
 
     @staticmethod
-    def _counted(bodies: list[str]) -> Counter:
+    def _counted(bodies: Iterable[str]) -> Counter:
         """In how many of the texts each word occurs."""
         counts: Counter = Counter()
         for t in bodies:
@@ -194,7 +254,53 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model:
     """Learn from the labelled rows outside the held-out remainder."""
-    return Model(*sample(docs, labels, label, learn_rows(MODULUS, HELD), per_class))
+    learn = learn_rows(MODULUS, HELD)
+    calibration = sample(docs, labels, label, learn, per_class)
+    # A text of the sample is counted in its own half of it, any other in one by its digest.
+    halves = {hashlib.md5(t.encode()).hexdigest(): h for h, own in enumerate(split(*calibration[:2])) for part in own for t in part}
+    return Model(*calibration, count(docs, labels, label, learn, halves) if halves else None)
+
+
+def count(docs: DataFrame, labels: DataFrame, label: str, learn: Column, halves: dict[str, int]) -> Counts:
+    """The runs of all labelled texts, and how often both classes have them in both halves; the runs of all texts."""
+    sent = docs.sparkSession.sparkContext.broadcast(halves)
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).select("doc_id", F.col(label).alias("y"))
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL")
+    learnt = rows.where(learn).withColumn("digest", F.md5(F.col("text").cast("binary")))
+    # Which row stands for each text is settled without the texts, so these are shuffled once.
+    stands = learnt.select("doc_id", "digest").join(usable, "doc_id").groupBy("digest").agg(F.max(F.struct("doc_id", "y")).alias("last"))
+    chosen = learnt.join(stands.select("digest", "last.doc_id", "last.y"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    names = ["n00", "n01", "n10", "n11"]
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[Counter] = [Counter() for _ in names]
+
+        def given() -> pa.RecordBatch:
+            keys, n = counted(held)
+            for c in held:
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array(n[:, k].astype(np.int64)) for k in range(len(names)))], names=["key", *names])
+
+        for batch in slices(batches, "text"):
+            for t, y, digest in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held[2 * sent.value.get(digest, int(digest[-1], 16) & 1) + y].update(set(words(t)))
+                if sum(map(len, held)) > COUNT_WORDS:
+                    yield given()
+        yield given()
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = shared_runs(())
+        for batch in slices(batches, "text"):
+            shared_runs(texts(batch.column(0)), seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int64))], names=["run"])
+
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    summed = chosen.select("text", F.col("y").cast("int").alias("y"), "digest").mapInArrow(own, "key long, " + ", ".join(f"{x} long" for x in names))
+    found = summed.groupBy("key").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    shared = rows.select("text").mapInArrow(runs, "run long").distinct().toArrow()
+    seen = shared_runs(())
+    seen[shared.column("run").to_numpy()] = True
+    return found.column("key").to_numpy().astype(np.uint64), np.stack([found.column(x).to_numpy() for x in names], axis=1).astype(float), packed(seen)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
