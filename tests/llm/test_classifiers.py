@@ -3,8 +3,10 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wayquad.llm import quality, toxicity
+from wayquad.llm.labelled import sample
 
 DOCS = "doc_id long, text string, score string"
 
@@ -98,3 +100,12 @@ def test_toxic_words_outside_the_calibration_sample_count(spark):
     for a, b in zip(local.models.kept[2:], model.models.kept[2:], strict=True):
         assert np.array_equal(a.keys, b.keys)
         assert np.allclose(a.values, b.values)
+
+
+def test_labels_without_documents_take_no_place_in_the_sample(spark):
+    d = spark.createDataFrame([(k, f"text {k}" if k % 3 else None, "") for k in range(60)], DOCS)
+    lab = spark.createDataFrame([(k, k % 2, 0) for k in range(600)], "doc_id long, quality int, toxic int")
+    bodies, y, totals = sample(d, lab, "quality", F.lit(True), (10, 10))
+    assert len(bodies) == 20
+    assert y.sum() == 10
+    assert totals.tolist() == [20, 20]

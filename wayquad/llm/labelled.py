@@ -6,16 +6,18 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayquad.llm.common import crc_of_id
+from wayquad.llm.common import crc_of_id, pin, shared_dir
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: tuple[int, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels and the number of labelled rows of class 0 and 1 among the rows that ``learn`` allows.
 
     At most ``per_class`` rows of each class are taken, those with the smallest hashes of their ids, so the
-    sample depends on the rows alone and its size is bounded.  Rows with a null id, label or text take no part.
+    sample depends on the rows alone and its size is bounded.  Rows with a null id, label or text, or without a
+    document, take no part and are not counted.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).select("doc_id", F.col(label).alias("y"))
+    shared_dir(docs.sparkSession)
+    usable = pin(with_text(docs, labels, label, learn))
     counted = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for y in (0, 1):
@@ -27,6 +29,12 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_cl
     return [r["text"] for r in found], np.array([r["y"] for r in found], int), np.array([counted.get(0, 0), counted.get(1, 0)])
 
 
+def with_text(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """doc_id and y of the labelled rows that ``learn`` allows and whose document is there with a text."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).select("doc_id", F.col(label).alias("y"))
+    return usable.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+
+
 def learn_rows(modulus: int, held: int) -> Column:
     """Rows whose crc32 of the id written as text leaves another remainder than ``held``."""
     return F.pmod(crc_of_id(F.col("doc_id")), F.lit(modulus)) != held
