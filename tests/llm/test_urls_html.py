@@ -69,3 +69,20 @@ def test_tree_matching_finds_the_largest_alignment():
     assert size == len(pairs)
     assert [p[0].label for p in sorted(pairs, key=lambda p: p[0].label)].count("td") == 1
     assert size == 8 - 1
+
+
+def test_template_decides_beside_articles(spark):
+    rows = []
+    for k in range(30):
+        text = f"<div>Report {k} tells a long tale of place {k * k} and of all that was seen on day {k}</div>"
+        teasers = f"<article><p>Teaser {k}</p></article><article class='promo'><p>Buy {k}</p></article>"
+        rows.append((k, f"http://a.example/{k}", f"<html><body><div>Our shop</div><main>{text}{teasers}</main></body></html>"))
+        # Without main, the template alone tells the fixed line, longer than all else, from the text.
+        line = "<div><div>" + "All rights kept by the owners of this place. " * 9 + "</div></div>"
+        rows.append((100 + k, f"http://b.example/{k}", f"<html><body>{line}{text}<article><p>Teaser {k}</p></article></body></html>"))
+        # The template decides whether the article holds most of the text.
+        rows.append((200 + k, f"http://c.example/{k}", f"<html><body>{line}<article class='has-sidebar'><p>Story {k}</p></article><span>x{k}</span></body></html>"))
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, PAGE).repartition(4)).collect()}
+    story = "Report 3 tells a long tale of place 9 and of all that was seen on day 3"
+    assert got[3] == got[103] == story + "\nTeaser 3"
+    assert got[203] == "Story 3"
