@@ -6,8 +6,7 @@ so the number of leaves follows the number of rows until the sample's size bound
 the leaf reached by the nearest centre at each level.
 
 A query walks the tree best-bin-first: a priority queue holds subtrees by the inner product with their
-centres, widened by the reach of a subtree (the largest distance of a sampled vector from its centre, with
-a factor); leaves come out of the queue in that order.  How many leaves a query visits is calibrated:
+centres alone; leaves come out of the queue in that order.  How many leaves a query visits is calibrated:
 sampled queries are answered by brute force over the sample, and visits widen until ``RECALL`` of their
 true neighbours lie in visited leaves.
 
@@ -58,7 +57,7 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
 
 
 class Tree:
-    """Nodes hold child numbers (leaves: their leaf number), the centres of their children, and reaches."""
+    """Nodes hold child numbers (leaves: their leaf number), and the centres of their children."""
 
     def __init__(self, x: np.ndarray, per_leaf: float, seed: int = 11):
         rng = np.random.default_rng(seed)
