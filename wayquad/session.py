@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,16 +20,25 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, app: str = "wayquad
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one is set only where none is configured."""
+    """The folder in spark.checkpoint.dir.
+
+    Where none is configured a local session gets a temporary one, removed at the end of the process; any other
+    session is refused, because its executors would not see a folder of the driver's machine.
+    """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="wayquad-"))
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="wayquad-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
         configured = sc.getCheckpointDir()
     return configured
 
@@ -36,3 +47,9 @@ def pin(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written rows."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store with all that it holds."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
