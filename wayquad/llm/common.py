@@ -2,33 +2,63 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 import zlib
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayquad.session import pin, shared_dir
+from wayquad.session import pin, remove, shared_dir
 
-__all__ = ["crc_of_id", "fresh", "pin", "python_crc_of_id", "shared_dir", "ship", "slices", "table", "texts"]
+__all__ = ["crc_of_id", "first", "fresh", "pin", "python_crc_of_id", "ready", "remove", "shared_dir", "slices", "small", "table", "texts"]
 
+#: Rows in an Arrow batch of texts, where the session does not say.
+BATCH_ROWS = 1000
+_shipped: set[str] = set()
 
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if they cannot by themselves."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+def ready(spark: SparkSession) -> None:
+    """What every operator needs of a session: this package on the workers, and batches that hold texts.
+
+    The package goes to the executors as a zip file, once an application.  A limit of rows in a batch is set
+    only where the session has none of its own.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parents[2]
+        folder = tempfile.mkdtemp(prefix="wayquad-zip-")  # the driver serves the file from here
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.addPyFile(shutil.make_archive(os.path.join(folder, "wayquad"), "zip", root, "wayquad"))
+        _shipped.add(sc.applicationId)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small(rows: DataFrame, n_rows: int, row_bytes: int, max_bytes: int = 32 << 20) -> DataFrame:
+    """``rows`` with a broadcast hint if ``n_rows`` counted rows of ``row_bytes`` are at most ``max_bytes``, else as they are."""
+    return F.broadcast(rows) if n_rows * row_bytes <= max_bytes else rows
+
+
+def first(rows: DataFrame, key: str, limit: int, total: int) -> DataFrame:
+    """The ``limit`` of ``total`` rows with the smallest hashes of ``key``; tasks offer little more than that in all."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    share = min(1.0, (2 * limit + 100) / max(total, 1))
+    return rows.where(place < int(share * (1 << 30))).orderBy(place, key).limit(limit) if share < 1 else rows.orderBy(place, key).limit(limit)
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """Unsigned crc32 of an id written as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -53,9 +83,6 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``max_bytes`` of ``column``, one row at least."""
-    import numpy as np
-    import pyarrow.compute as pc
-
     for batch in batches:
         if not batch.num_rows:
             continue

@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents, and logistic calibration."""
+"""Labelled documents, bounded samples of them, and logistic calibration."""
 
 from __future__ import annotations
 
@@ -6,38 +6,29 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wayquad.llm.common import crc_of_id, pin, shared_dir
+from wayquad.llm.common import crc_of_id, first, pin
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: tuple[int, int]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, labels and the number of labelled rows of class 0 and 1 among the rows that ``learn`` allows.
+def learn_rows(modulus: int, held: int) -> Column:
+    """Rows whose crc32 of the id written as text leaves another remainder than ``held``."""
+    return F.pmod(crc_of_id(F.col("doc_id")), F.lit(modulus)) != held
 
-    At most ``per_class`` rows of each class are taken, those with the smallest hashes of their ids, so the
-    sample depends on the rows alone and its size is bounded.  Rows with a null id, label or text, or without a
-    document, take no part and are not counted.
-    """
-    shared_dir(docs.sparkSession)
-    usable = pin(with_text(docs, labels, label, learn))
-    counted = {r["y"]: r["n"] for r in usable.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = None
-    for y in (0, 1):
-        part = usable.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[y])
-        chosen = part if chosen is None else chosen.union(part)
-    # The chosen ids are at most sum(per_class).
-    found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").collect()
-    found.sort(key=lambda r: (r["doc_id"], r["y"], r["text"]))
-    return [r["text"] for r in found], np.array([r["y"] for r in found], int), np.array([counted.get(0, 0), counted.get(1, 0)])
 
+def usable(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> tuple[DataFrame, np.ndarray]:
+    """doc_id and y of the labelled ids that ``learn`` allows and whose document is there with a text; how many have y 0 and 1.
 
-def with_text(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """doc_id and y of the labelled rows that ``learn`` allows and whose document is there with a text."""
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).select("doc_id", F.col(label).alias("y"))
-    return usable.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
+    Rows with a null id or a label other than 0 and 1 take no part; an id with several labels has the largest.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    found = pin(known.join(docs.where("text IS NOT NULL").select("doc_id"), "doc_id", "left_semi"))
+    counted = {r["y"]: r["n"] for r in found.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return found, np.array([counted.get(0, 0), counted.get(1, 0)])
 
 
-def learn_rows(modulus: int, held: int) -> Column:
-    """Rows whose crc32 of the id written as text leaves another remainder than ``held``."""
-    return F.pmod(crc_of_id(F.col("doc_id")), F.lit(modulus)) != held
+def sample(found: DataFrame, totals: np.ndarray, per_class: tuple[int, int]) -> DataFrame:
+    """At most ``per_class`` of the ``totals`` rows of y 0 and 1, those with the smallest hashes of their ids: the same at any partitioning."""
+    parts = [first(found.where(F.col("y") == y), "doc_id", per_class[y], int(totals[y])) for y in (0, 1)]
+    return pin(parts[0].union(parts[1]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:

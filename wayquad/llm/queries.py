@@ -21,9 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kmeans_tree_search": vectors.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op1_url_filter": urls.ORACLE,
-    "op3_minhash_near_dedup": minhash.ORACLE,
-    "op4_rendezvous_sharding": sharding.ORACLE,
-    "op5_aho_corasick_decontamination": decontaminate.ORACLE,
-}
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that SQL can express; that of op1 holds weights, which are trained at the first call."""
+    return {
+        "op1_url_filter": urls.oracle(),
+        "op3_minhash_near_dedup": minhash.ORACLE,
+        "op4_rendezvous_sharding": sharding.ORACLE,
+        "op5_aho_corasick_decontamination": decontaminate.ORACLE,
+    }
