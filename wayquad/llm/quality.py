@@ -1,112 +1,167 @@
 """Quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-Terms are what a text's form consists of, in any language: runs of three character classes (letters in
-lower and upper case, digits, blanks, line ends, sentence marks, symbols of several kinds, anything beyond
-ASCII), words that repeat the word before them, and words that have occurred before.  Counts become
-logarithms of rates, weighted by inverse document frequency; the strongest ``RANK`` directions of the
-labelled sample (a truncated singular value decomposition) make latent-semantic vectors of unit length.
+Terms of a text are its words (lower-cased A-Z, hashed to ``WORDS`` terms), the runs of three character classes
+of its bytes (letters in lower and upper case, digits, blanks, line ends, sentence marks, symbols of several
+kinds, anything beyond ASCII), and four terms for n-grams that repeat: words like the word before, and words,
+word pairs and word triples that have occurred before.  Counts become logarithms of rates, weighted by inverse
+document frequency; the strongest ``RANK`` directions of the labelled sample (a truncated singular value
+decomposition) make latent-semantic vectors of unit length.
 
 The labelled vectors (at most sum(PER_CLASS) x RANK numbers, the bound of the sample) are broadcast.  Every
-document is compared with all of them by exact cosine products in blocks; its ``NEIGHBOURS`` nearest vote
-with their labels, weighted by a power of the similarity and by how many labelled rows of its class a
-sampled row stands for.
+document is compared with all of them by exact cosine products, ``BLOCK`` documents at a time; its
+``NEIGHBOURS`` nearest vote with their labels, weighted by a power of the similarity and by how many labelled
+rows of its class a sampled row stands for.  Products are made in blocks of one shape in double precision and
+rounded to nine places, so a score does not depend on the rows beside it.
 
 Defined results: null and empty texts have no neighbours and get the share of label 1 among the labelled
-rows; without any label every score is 0; equal similarities are counted in the order of ids.
+rows; without any label every score is 0; equal similarities are counted in the order of the labelled ids; a
+labelled id with several texts is learnt with the smallest of them; repeated rows are scored each.
 """
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayquad.llm.common import crc_of_id, fresh, slices, table, texts
-from wayquad.llm.labelled import learn_rows, sample
+from wayquad.llm.common import crc_of_id, fresh, ready, shared_dir, slices, table, texts
+from wayquad.llm.labelled import learn_rows, sample, usable
 
 PER_CLASS = (1000, 2000)
-RANK, NEIGHBOURS, POWER = 32, 15, 8
+RANK, NEIGHBOURS, POWER, BLOCK = 64, 15, 8, 64
 MODULUS, HELD = 5, 0
 THRESHOLD = 0.3
 #: Character classes 0 to 13; other control characters are 14, bytes beyond ASCII 15.
 KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\t\n\v\f\r", ".", ",", "!?", "|", "#$%&*@^~+=", "-_/\\", ":;", "'\"`", "()[]{}<>")
 KIND_OF = np.array([next((k for k, own in enumerate(KINDS) if chr(b) in own), 14 if b < 128 else 15) for b in range(256)], np.int64)
-RUNS = 16**3
+RUNS, WORDS, REPEATS = 16**3, 4096, 4
+TERMS = RUNS + WORDS + REPEATS
+#: Weight of the terms for repeated n-grams.
+REPEATED = 4.0
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes(dict):
+    """Hashes of words, kept up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+_hashes = WordHashes()
 
 
 def terms(text: str) -> np.ndarray:
-    """Counts of the runs of three classes, of words like the word before, and of words seen before."""
-    kinds = KIND_OF[np.frombuffer(text.encode(), np.uint8)]
-    out = np.zeros(RUNS + 2, np.float32)
+    """Counts of the terms of a text."""
+    raw = text.encode()
+    kinds = KIND_OF[np.frombuffer(raw, np.uint8)]
+    out = np.zeros(TERMS)
     if len(kinds) > 2:
         out[:RUNS] = np.bincount((kinds[:-2] * 16 + kinds[1:-1]) * 16 + kinds[2:], minlength=RUNS)
-    cut = text.split()
-    out[RUNS] = sum(map(operator.eq, cut[1:], cut))
-    out[RUNS + 1] = len(cut) - len(set(cut))
+    cut = raw.lower().split()
+    if cut:
+        w = np.fromiter(map(_hashes.__getitem__, cut), np.uint64, len(cut))
+        out[RUNS : RUNS + WORDS] = np.bincount((w % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
+        two = w[:-1] * FACTOR ^ w[1:]
+        three = two[:-1] * FACTOR ^ w[2:]
+        out[RUNS + WORDS :] = (w[1:] == w[:-1]).sum(), *(len(x) - len(np.unique(x)) for x in (w, two, three))
     return out
 
 
 def rates(counts: np.ndarray) -> np.ndarray:
-    return np.log1p(counts / np.maximum(counts[:, :RUNS].sum(axis=1, keepdims=True), 1) * 1000)
+    """Logarithms of rates: runs a thousand runs, the other terms a hundred words."""
+    runs, words = counts[:, :RUNS], counts[:, RUNS : RUNS + WORDS]
+    n = np.maximum(words.sum(axis=1, keepdims=True), 1)
+    return np.concatenate(
+        (np.log1p(runs * (1000 / np.maximum(runs.sum(axis=1, keepdims=True), 1))), np.log1p(words * (100 / n)), REPEATED * np.log1p(counts[:, RUNS + WORDS :] * (100 / n))), axis=1
+    )
 
 
 def directions(m: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
     """Right singular vectors by subspace iteration from a fixed start."""
-    q = np.random.default_rng(seed).standard_normal((m.shape[1], rank + 16)).astype(np.float32)
+    q = np.random.default_rng(seed).standard_normal((m.shape[1], rank + 16)).astype(m.dtype)
     for _ in range(6):
         q = np.linalg.qr(m.T @ (m @ q))[0]
     _, _, v = np.linalg.svd(m @ q, full_matrices=False)
-    return (q @ v.T)[:, :rank].astype(np.float32)
+    return (q @ v.T)[:, :rank]
 
 
 class Model:
-    def __init__(self, bodies: list[str], y: np.ndarray, totals: np.ndarray):
+    """Labelled vectors; ``counts`` are the terms of the sampled texts, in the order of their ids."""
+
+    def __init__(self, counts: np.ndarray, y: np.ndarray, totals: np.ndarray):
         self.share = float(totals[1] / totals.sum()) if totals.sum() else 0.0
-        self.y = y.astype(np.float32)
+        self.y = y.astype(float)
         if not len(y):
             return
-        weighted = np.empty((len(bodies), RUNS + 2), np.float32)
-        for k, t in enumerate(bodies):
-            weighted[k] = terms(t)
-        self.idf = (np.log((1 + len(y)) / (1 + (weighted > 0).sum(axis=0))) + 0.2).astype(np.float32)
+        self.idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))) + 0.2
         taken = np.array([(y == 0).sum(), (y == 1).sum()])
-        self.stands = (totals / np.maximum(taken, 1))[y].astype(np.float32)
-        for low in range(0, len(weighted), 256):
-            weighted[low : low + 256] = rates(weighted[low : low + 256]) * self.idf
-        self.base = directions(weighted, min(RANK, *weighted.shape))
-        self.vectors = self._unit(weighted @ self.base)
-
-    @staticmethod
-    def _unit(z: np.ndarray) -> np.ndarray:
+        self.stands = (totals / np.maximum(taken, 1))[y]
+        weighted = np.empty(counts.shape, np.float32)
+        for low in range(0, len(counts), 256):
+            weighted[low : low + 256] = rates(counts[low : low + 256].astype(float)) * self.idf
+        self.base = directions(weighted, min(RANK, *weighted.shape)).astype(float)
+        del weighted
+        self.vectors = np.concatenate([self._vectors(counts[low : low + BLOCK].astype(float)) for low in range(0, len(counts), BLOCK)])
+
+    def _vectors(self, counts: np.ndarray) -> np.ndarray:
+        full = np.zeros((BLOCK, TERMS))
+        full[: len(counts)] = counts
+        z = ((rates(full) * self.idf) @ self.base)[: len(counts)]
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
 
-    def scores(self, block: list[str]) -> list[float]:
-        if not len(self.y):
-            return [self.share] * len(block)
-        z = self._unit((rates(np.array([terms(t) for t in block])) * self.idf) @ self.base)
-        near = z @ self.vectors.T
-        k = min(NEIGHBOURS, len(self.y))
-        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    def _voted(self, block: list[str]) -> np.ndarray:
+        z = np.zeros((BLOCK, self.base.shape[1]))
+        z[: len(block)] = self._vectors(np.array([terms(t) for t in block]))
+        near = (z @ self.vectors.T)[: len(block)].round(9)
+        best = np.argsort(-near, axis=1, kind="stable")[:, :NEIGHBOURS]
         weight = np.maximum(np.take_along_axis(near, best, axis=1), 0) ** POWER * self.stands[best]
         total = weight.sum(axis=1)
         voted = (weight * self.y[best]).sum(axis=1) / np.maximum(total, 1e-12)
-        return np.where(total > 1e-12, voted, self.share).clip(0, 1).astype(float).tolist()
+        return np.where(total > 1e-12, voted, self.share).clip(0, 1).round(12)
+
+    def scores(self, block: list[str]) -> list[float]:
+        if not len(self.y):
+            return [self.share] * len(block)
+        return [s for low in range(0, len(block), BLOCK) for s in self._voted(block[low : low + BLOCK]).tolist()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: tuple[int, int] = PER_CLASS) -> Model:
-    """Learn from the labelled rows outside the held-out remainder."""
-    return Model(*sample(docs, labels, label, learn_rows(MODULUS, HELD), per_class))
+    """Learn from the labelled rows outside the held-out remainder, at most ``per_class`` of each class."""
+    ready(docs.sparkSession)
+    shared_dir(docs.sparkSession)
+    found, totals = usable(docs, labels, label, learn_rows(MODULUS, HELD))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            out = []
+            for t in texts(batch.column(2)):
+                counts = terms(t)
+                at = np.flatnonzero(counts)
+                out.append((at.astype(np.int32), counts[at]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in out], pa.list_(pa.int32())), pa.array([n for _, n in out], pa.list_(pa.float64()))], names=["doc_id", "y", "term", "n"])
+
+    # One text an id, so at most sum(per_class) rows of at most TERMS numbers reach the driver.
+    chosen = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample(found, totals, per_class)), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, term array<int>, n array<double>").orderBy("doc_id").toArrow()
+    counts = np.zeros((rows.num_rows, TERMS), np.float32)
+    for k, (at, n) in enumerate(zip(rows.column("term"), rows.column("n"), strict=True)):
+        counts[k, at.values.to_numpy()] = n.values.to_numpy()
+    return Model(counts, rows.column("y").to_numpy().astype(int), totals)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Add ``into``, a number from 0 to 1, from the text alone; a column of that name is replaced."""
+    ready(docs.sparkSession)
     docs = docs.drop(into)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,312 +1,302 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, toxic and ordinary, spell words byte by byte with contexts of up to ``ORDER - 1`` bytes inside
-the word.  Contexts longer than ``SHARED`` bytes have counts of each class (the number of distinct texts
-of the class that hold the word); shorter ones back off to continuation counts that both classes share, so
-an expression that neither class knows is equally likely in both.  The log-likelihood ratio of a word is
-the sum over its bytes.  A text is compared by two length-normalised figures: the mean log-ratio of its words
-if a toxic text mixes a share ``MIXED`` of toxic words into ordinary ones, and the logarithm of the mean
-likelihood ratio, in which a few toxic words of a long text still count.
-Both go into a logistic function, fitted on ratios that each half of the sample gets from the other half's
-models, so the calibration sees words that its models have not learnt.
-
-The counts of each class come from all labelled texts outside the held-out remainder, those that the classes
-share from all documents; both are summed in Spark, and only the distinct runs of up to ``ORDER`` bytes, with
-their counts, reach the driver.  The logistic function alone is fitted on a sample of at most ``PER_CLASS``
-rows of each class (chosen by a hash of the id); class frequencies of all labelled rows set the bias.  Equal
-texts count once, with the label of the largest id.  Scoring reads every text whole.
-
-Defined results: null, empty and wordless texts have ratio 0 and get the score of that; with labels of one
-class only, or none, every score is that class's share of the labels, or 0.
+Two models, toxic and ordinary, spell normalised text byte by byte: words of letters and digits in lower
+case with one space between them.  Contexts are the ``ORDER - 1`` bytes before, across the ends of words, so
+expressions of several short words count, and so do stems that take many endings.  The longest runs have the
+number of distinct labelled texts of the class that hold them (a text of over ``PIECE`` bytes counts once a
+piece); every lower order has continuation counts, the number of different bytes that come before a run.
+Runs of up to ``SHARED`` bytes have continuation counts that both classes share, from all documents, labelled
+or not, so what neither class knows is equally likely in both.
+
+A text is compared by one figure, the difference of its two log-likelihoods divided by its number of bytes.  A
+logistic function turns that figure into a score; its second input is the logarithm of the length, because a
+short text's mean is less certain.  It is fitted on ``PER_CLASS`` labelled texts of each class at most (those
+with the smallest hashes of their ids); each half of the texts is compared by the models of the other half,
+so that it sees runs that these models have not learnt.  Frequencies of all labelled texts set the bias.
+
+All counts are summed in Spark over all labelled texts outside the held-out remainder.  Only distinct runs of
+``ORDER`` bytes with four counts, and distinct shared runs, reach the driver: their number follows the
+vocabulary, not the number of texts.  Of the calibration texts only the figures do.
+
+Defined results: null, empty and wordless texts get the toxic share of the labelled texts; with labels of one
+class only, or none, every score is that share, or 0; equal texts count once, toxic if any of them is;
+repeated rows count once and are scored each.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayquad.llm.common import crc_of_id, fresh, slices, table, texts
-from wayquad.llm.labelled import learn_rows, logistic, sample
+from wayquad.llm.common import crc_of_id, fresh, ready, shared_dir, slices, small, table, texts
+from wayquad.llm.labelled import learn_rows, logistic, sample, usable
 
-ORDER, SHARED, DISCOUNT = 6, 1, 0.5
-PER_CLASS = (3000, 2000)
+ORDER, SHARED, DISCOUNT = 5, 2, 0.9
+PER_CLASS = (3000, 3000)
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
-MEMO_WORDS = 600_000
-#: A task that counts gives its counts away when it holds so many distinct words.
-COUNT_WORDS = 200_000
-#: Ratios of single words are kept in these limits before they are averaged.
-LIMITS = (-3.0, 10.0)
-#: The share of toxic words in a toxic text, for the mixture.
-MIXED = 0.05
-#: Keys, their counts (columns: both classes of one half of the texts, both of the other) and the shared runs.
-Counts = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Runs of a text that are looked at together.
+PIECE = 1 << 20
+#: A task that counts gives its counts away when it holds so many entries.
+COUNT_ROWS = 2_000_000
+#: Entries of a worker's memory of runs.
+MEMO = 1 << 20
 SEPARATORS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
+HALVES = ("n00", "n01", "n10", "n11")  # half, class
+
+
+def normal(text: str) -> bytes:
+    """Words in lower case with one space between them; a space ends the text and ``ORDER - 1`` begin it; empty without words."""
+    words = text.encode().translate(SEPARATORS).decode("utf-8", "replace").lower().encode().split()
+    return b" " * (ORDER - 1) + b" ".join(words) + b" " if words else b""
+
+
+def pieces(bodies: Iterable[bytes], length: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Blocks of texts: the text's place for each piece, the first key of each piece, and the keys of its runs of ``length`` bytes."""
+    block: list[bytes] = []
+    owners: list[int] = []
+    held = 0
+
+    def keys() -> tuple[list[int], np.ndarray, np.ndarray]:
+        x = np.frombuffer(b"".join(block), np.uint8).astype(np.uint64)
+        n = len(x) - length + 1
+        key = np.zeros(n, np.uint64)
+        for k in range(length):
+            key = (key << np.uint64(8)) | x[k : n + k]
+        sizes = np.fromiter(map(len, block), np.int64, len(block))
+        starts = np.cumsum(sizes) - sizes
+        inside = np.ones(n, bool)
+        for k in range(1, length):
+            cut = starts[1:] - k
+            inside[cut[cut < n]] = False
+        return owners, np.cumsum(sizes - length + 1) - (sizes - length + 1), key[inside]
+
+    for k, body in enumerate(bodies):
+        for low in range(0, max(0, len(body) - length + 1), PIECE):
+            block.append(body[low : low + PIECE + length - 1])
+            owners.append(k)
+            held += len(block[-1])
+            if held >= 4 * PIECE:
+                yield keys()
+                block, owners, held = [], [], 0
+    if block:
+        yield keys()
+
+
+def summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of the rows of ``weights``."""
+    distinct, back = np.unique(keys, return_inverse=True)
+    return distinct, np.stack([np.bincount(back, weights[:, c], len(distinct)) for c in range(weights.shape[1])], axis=1)
+
+
+def counted(bodies: list[bytes], column: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs, and in how many texts each occurs, in the column that each text belongs to."""
+    found = []
+    for owners, starts, key in pieces(bodies, ORDER):
+        own = np.repeat(np.arange(len(owners), dtype=np.uint64), np.diff(np.append(starts, len(key))))
+        once = np.unique((own << np.uint64(8 * ORDER)) | key)
+        at = column[np.array(owners)[(once >> np.uint64(8 * ORDER)).astype(np.int64)]]
+        distinct, back = np.unique(once & np.uint64((1 << (8 * ORDER)) - 1), return_inverse=True)
+        found.append((distinct, np.bincount(back * width + at, minlength=len(distinct) * width).reshape(-1, width)))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros((0, width))
+    return summed(np.concatenate([k for k, _ in found]), np.concatenate([n for _, n in found]))
+
+
+def shared_runs(bodies: Iterable[bytes]) -> np.ndarray:
+    """The distinct runs of ``SHARED + 1`` bytes."""
+    seen = np.zeros(1 << (8 * (SHARED + 1)), bool)
+    for _, _, key in pieces(bodies, SHARED + 1):
+        seen[key.astype(np.int64)] = True
+    return np.flatnonzero(seen).astype(np.uint64)
+
+
+class Level:
+    """The runs of one length with the part of the probability that they keep, and the weights of their contexts."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.keys = keys
+        self.contexts, back = np.unique(keys >> np.uint64(8), return_inverse=True)
+        total = np.stack([np.bincount(back, n[:, c], len(self.contexts)) for c in (0, 1)], axis=1)
+        kinds = np.stack([np.bincount(back, n[:, c] > 0, len(self.contexts)) for c in (0, 1)], axis=1)
+        safe = np.where(total > 0, total, 1)
+        self.kept = np.maximum(n - DISCOUNT, 0) / safe[back]
+        self.weight = np.where(total > 0, DISCOUNT * kinds / safe, 1)
 
+    @staticmethod
+    def _get(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+        if not len(keys):
+            return np.full((len(wanted), 2), default)
+        i = np.searchsorted(keys, wanted).clip(max=len(keys) - 1)
+        return np.where((keys[i] == wanted)[:, None], values[i], default)
 
-def words(text: str) -> list[bytes]:
-    """Words of ASCII letters and digits and all characters beyond ASCII."""
-    return text.encode().translate(SEPARATORS).split()
-
-
-def spelled(distinct: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all words in lower case, between marks 1 and 2; each byte's place in its word; starts."""
-    shown = [b"\x01" + w.decode("utf-8", "replace").lower().encode() + b"\x02" for w in distinct]
-    sizes = np.fromiter(map(len, shown), np.int64, len(shown))
-    starts = np.cumsum(sizes) - sizes
-    x = np.frombuffer(b"".join(shown), np.uint8).astype(np.uint64)
-    return x, np.arange(len(x)) - np.repeat(starts, sizes), starts
-
-
-def grams(x: np.ndarray, place: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ends and packed keys of the runs of ``length`` bytes that lie in one word and end after its first byte."""
-    at = np.flatnonzero((place >= length - 1) & (place >= 1))
-    key = np.full(len(at), np.uint64(length) << np.uint64(56))
-    for k in range(length):
-        key |= x[at - k] << np.uint64(8 * k)
-    return at, key
-
-
-def context(key: np.ndarray) -> np.ndarray:
-    length = key >> np.uint64(56)
-    return ((length - np.uint64(1)) << np.uint64(56)) | ((key & np.uint64((1 << 56) - 1)) >> np.uint64(8))
-
-
-def suffix(key: np.ndarray, length: int) -> np.ndarray:
-    """The last ``length`` bytes of packed keys."""
-    return (np.uint64(length) << np.uint64(56)) | (key & np.uint64((1 << (8 * length)) - 1))
-
-
-def counted(counts: list[Counter]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed keys of the runs that each class counts for itself, and for each of ``counts`` how often they occur."""
-    distinct = sorted(set().union(*counts))
-    if not distinct:
-        return np.zeros(0, np.uint64), np.zeros((0, len(counts)))
-    weight = np.array([[c[w] for c in counts] for w in distinct], float)
-    x, place, starts = spelled(distinct)
-    owner = np.repeat(np.arange(len(distinct), dtype=np.int32), np.diff(np.append(starts, len(x))))
-    out, found = [], []
-    for length in range(SHARED + 2, ORDER + 1):
-        at, key = grams(x, place, length)
-        keys, back = np.unique(key, return_inverse=True)
-        out.append(keys)
-        found.append(np.stack([np.bincount(back, weight[owner[at], c], len(keys)) for c in range(len(counts))], axis=1))
-    return np.concatenate(out), np.concatenate(found)
-
-
-def shared_runs(bodies: Iterable[str], seen: np.ndarray | None = None) -> np.ndarray:
-    """Which runs of ``SHARED + 2`` bytes of words occur, as a mask over their bytes read as a number."""
-    seen = np.zeros(1 << (8 * (SHARED + 2)), bool) if seen is None else seen
-    for t in bodies:
-        cut = t.encode().translate(SEPARATORS).decode("utf-8", "replace").lower().encode().split()
-        x = np.frombuffer(b"\x01" + b"\x02\x01".join(cut) + b"\x02", np.uint8)
-        n = len(x) - SHARED - 1
-        key, inside = np.zeros(n, np.int32), np.ones(n, bool)
-        for k in range(SHARED + 2):
-            key = (key << 8) | x[k : n + k]
-            if k < SHARED + 1:
-                inside &= x[k : n + k] != 2
-        if cut:
-            seen[key[inside]] = True
-    return seen
-
-
-def packed(seen: np.ndarray) -> np.ndarray:
-    """Keys of the runs of a mask, packed as ``grams`` does."""
-    return (np.uint64(SHARED + 2) << np.uint64(56)) | np.flatnonzero(seen).astype(np.uint64)
-
-
-class Table:
-    """Packed keys with two numbers each."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values = keys, values.astype(np.float32)
-
-    def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        if not len(self.keys):
-            return np.full((len(keys), 2), default, np.float32)
-        i = np.searchsorted(self.keys, keys).clip(max=len(self.keys) - 1)
-        return np.where((self.keys[i] == keys)[:, None], self.values[i], np.float32(default))
+    def apply(self, runs: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        return self._get(self.keys, self.kept, runs, 0) + self._get(self.contexts, self.weight, runs >> np.uint64(8), 1) * lower
 
 
 class KneserNey:
-    """Interpolated models of two classes: p = kept(gram) + weight(context) * p of the shorter context."""
-
-    def __init__(self, counts: tuple[Counter, Counter]):
-        distinct = sorted({*counts[0], *counts[1]})
-        self._build(*counted(list(counts)), packed(shared_runs(w.decode("utf-8", "replace") for w in distinct)))
-
-    @classmethod
-    def of(cls, keys: np.ndarray, n: np.ndarray, runs: np.ndarray) -> KneserNey:
-        """From the counts of both classes and the runs that they share."""
-        model = cls.__new__(cls)
-        model._build(keys, n, runs)
-        return model
-
-    def _build(self, own: np.ndarray, often: np.ndarray, runs: np.ndarray) -> None:
-        size = own >> np.uint64(56)
-        shared = {SHARED + 2: runs}
-        for length in range(SHARED + 1, 1, -1):  # every run of a word lies in a longer one, marks included
-            shared[length] = np.unique(np.concatenate((context(shared[length + 1]), suffix(shared[length + 1], length))))
-        self.kept, self.weight = [], []
-        for length in range(1, ORDER + 1):
-            if length > SHARED + 1:
-                there = (size == length) & (often.sum(axis=1) > 0)
-                order = np.argsort(own[there])
-                keys, n = own[there][order], often[there][order]
-            else:  # in how many different contexts, one byte longer, a run occurs in any text
-                keys, seen = np.unique(suffix(shared[length + 1], length), return_counts=True)
-                n = np.repeat(seen[:, None].astype(float), 2, axis=1)
-            contexts, back = np.unique(context(keys), return_inverse=True)
-            total = np.stack([np.bincount(back, n[:, c], len(contexts)) for c in (0, 1)], axis=1)
-            kinds = np.stack([np.bincount(back, n[:, c] > 0, len(contexts)) for c in (0, 1)], axis=1)
-            safe = np.where(total > 0, total, 1)
-            self.kept.append(Table(keys, np.maximum(n - DISCOUNT, 0) / safe[back]))
-            self.weight.append(Table(contexts, np.where(total > 0, DISCOUNT * kinds / safe, 1)))
-
-    def ratios(self, distinct: list[bytes]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary)."""
-        if not distinct:
-            return np.zeros(0)
-        x, place, starts = spelled(distinct)
-        p = np.full((len(x), 2), 1 / 256)
-        for length in range(1, ORDER + 1):
-            at, key = grams(x, place, length)
-            p[at] = self.kept[length - 1].get(key, 0) + self.weight[length - 1].get(context(key), 1) * p[at]
-        gain = np.log(p[:, 1]) - np.log(p[:, 0])
-        return np.add.reduceat(np.where(place > 0, gain, 0), starts)
-
-
-def figures(ratios: list[float]) -> tuple[float, float]:
-    """The mean log-ratio of the mixture, and the logarithm of the mean likelihood ratio."""
-    if not ratios:
-        return 0.0, 0.0
-    r = np.clip(np.array(ratios), *LIMITS)
-    top = r.max()
-    return float(np.log1p(MIXED * np.expm1(r)).mean()), float(top + np.log(np.exp(r - top).mean()))
-
-
-def split(bodies: list[str], y: np.ndarray) -> list[list[list[str]]]:
-    """The distinct texts by half and class; each class is dealt out in turn."""
-    labels = dict(zip(bodies, y.tolist(), strict=True))
-    by_class = [[t for t, label in labels.items() if label == c] for c in (0, 1)]
-    return [[own[h::2] for own in by_class] for h in (0, 1)]
+    """Interpolated models of two classes: p = kept(run) + weight(context) * p of the shorter run."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, runs: np.ndarray):
+        """``keys``: distinct runs of ORDER bytes, ``n``: their counts by class, ``runs``: the distinct runs that are shared."""
+        self.levels: list[Level] = []
+        there = n.sum(axis=1) > 0
+        keys, n = keys[there], n[there]
+        shared: list[Level] = []
+        for length in range(SHARED, 0, -1):
+            runs, before = np.unique(runs & np.uint64((1 << (8 * length)) - 1), return_counts=True)
+            shared.append(Level(runs, np.repeat(before[:, None].astype(float), 2, axis=1)))
+        own: list[Level] = []
+        for length in range(ORDER, SHARED, -1):
+            own.append(Level(keys, n))
+            # How many different bytes come before each shorter run, in texts of each class.
+            keys, n = summed(keys & np.uint64((1 << (8 * (length - 1))) - 1), (n > 0).astype(float))
+        self.levels = [*reversed(shared), *reversed(own)]
+
+    def gain(self, runs: np.ndarray) -> np.ndarray:
+        """log P(last byte | the bytes before, toxic) - log P(... | ordinary) of runs of ORDER bytes."""
+        p = np.full((len(runs), 2), 1 / 256)
+        for length, level in enumerate(self.levels, 1):
+            p = level.apply(runs & np.uint64((1 << (8 * length)) - 1), p)
+        return np.log(p[:, 1]) - np.log(p[:, 0])
+
+
+class Comparer:
+    """Figures of texts under a pair of models, behind a memory of runs."""
+
+    def __init__(self, models: KneserNey):
+        self.models = models
+        self.keys = np.full(MEMO, np.iinfo(np.uint64).max, np.uint64)
+        self.values = np.zeros(MEMO)
+
+    def gains(self, runs: np.ndarray) -> np.ndarray:
+        slot = ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - MEMO.bit_length() + 1)).astype(np.int64)
+        out = self.values[slot]
+        miss = np.flatnonzero(self.keys[slot] != runs)
+        if len(miss):
+            distinct, back = np.unique(runs[miss], return_inverse=True)
+            found = self.models.gain(distinct)
+            out[miss] = found[back]
+            self.keys[slot[miss]], self.values[slot[miss]] = runs[miss], out[miss]
+        return out
+
+    def figures(self, bodies: list[bytes]) -> np.ndarray:
+        """For each text the mean gain of a byte and the logarithm of its length; 0 and 0 without words."""
+        total, size = np.zeros(len(bodies)), np.zeros(len(bodies))
+        for owners, starts, key in pieces(bodies, ORDER):
+            # Each piece is summed by itself, so a text's sum does not depend on its neighbours.
+            np.add.at(total, owners, np.add.reduceat(self.gains(key), starts))
+            np.add.at(size, owners, np.diff(np.append(starts, len(key))))
+        return np.stack([total / np.maximum(size, 1), np.log1p(size)], axis=1)
 
 
 class Model:
-    """Kneser-Ney models with their calibration; ``constant`` where the labels do not tell classes apart."""
-
-    def __init__(self, bodies: list[str], y: np.ndarray, totals: np.ndarray, counts: Counts | None = None):
-        """``bodies`` and ``y`` calibrate; without ``counts`` they are all that is counted, too."""
-        self.memo: dict[bytes, float] = {}
-        self.constant = float(totals[1] / totals.sum()) if totals.sum() else 0.0
-        self.models = None
-        halves = split(bodies, y)
-        taken = [len(halves[0][c]) + len(halves[1][c]) for c in (0, 1)]
-        if min(taken) < 2:
-            return
-        keys, n, runs = counts or (*counted([self._counted(halves[h][c]) for h in (0, 1) for c in (0, 1)]), packed(shared_runs(bodies)))
-        x, target = [], []
-        for h in (0, 1):
-            there = KneserNey.of(keys, n[:, 2 * h : 2 * h + 2], runs)
-            for c in (0, 1):
-                others = halves[1 - h][c]
-                for low in range(0, len(others), 200):
-                    cut = [words(t) for t in others[low : low + 200]]
-                    known = self._known(there, {w for ws in cut for w in ws})
-                    x += [figures([known[w] for w in ws]) for ws in cut]
-                    target += [c] * len(cut)
-            del there
-        self.weights = logistic(np.array(x), np.array(target))
-        self.weights[-1] += np.log(totals[1] / totals[0]) - np.log(taken[1] / taken[0])
-        self.models = KneserNey.of(keys, n[:, :2] + n[:, 2:], runs)
+    """Models of both classes with their calibration; ``constant`` where the labels do not tell classes apart."""
 
-    @staticmethod
-    def _counted(bodies: Iterable[str]) -> Counter:
-        """In how many of the texts each word occurs."""
-        counts: Counter = Counter()
-        for t in bodies:
-            counts.update(set(words(t)))
-        return counts
+    def __init__(self, share: float, models: KneserNey | None = None, weights: np.ndarray | None = None):
+        self.share, self.models, self.weights = share, models, weights
+        self.comparer: Comparer | None = None
 
-    @staticmethod
-    def _known(model: KneserNey, distinct: set[bytes]) -> dict[bytes, float]:
-        listed = sorted(distinct)
-        return dict(zip(listed, model.ratios(listed).tolist(), strict=True))
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "comparer": None}
 
     def scores(self, block: list[str]) -> list[float]:
-        if self.models is None:
-            return [self.constant] * len(block)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        cut = [words(t) for t in block]
-        self.memo.update(self._known(self.models, {w for ws in cut for w in ws if w not in self.memo}))
-        x = np.array([figures(list(map(self.memo.__getitem__, ws))) for ws in cut]).reshape(-1, 2)
-        return (1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))).tolist()
+        if self.models is None or self.weights is None:
+            return [self.share] * len(block)
+        self.comparer = self.comparer or Comparer(self.models)
+        x = self.comparer.figures([normal(t) for t in block])
+        p = 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+        return np.where(x[:, 1] > 0, p, self.share).round(12).tolist()
+
+
+def learnt(docs: DataFrame, found: DataFrame, n_found: int) -> DataFrame:
+    """text, y and half of the distinct labelled texts."""
+    rows = docs.select("doc_id", "text").where("text IS NOT NULL").withColumn("digest", F.md5(F.col("text").cast("binary")))
+    # Which row stands for each text is settled without the texts.
+    named = rows.select("doc_id", "digest").join(small(found, n_found, 32), "doc_id")
+    stands = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"), F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"))
+    chosen = rows.join(small(stands, n_found, 96), ["digest", "doc_id"])
+    if stands.where("n > ids").limit(1).count():
+        chosen = chosen.dropDuplicates(["digest", "doc_id"])
+    return chosen.select("text", "y", (F.conv(F.substring("digest", -1, 1), 16, 10).cast("int") % 2).alias("half"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tuple[int, int] = PER_CLASS) -> Model:
     """Learn from the labelled rows outside the held-out remainder."""
-    learn = learn_rows(MODULUS, HELD)
-    calibration = sample(docs, labels, label, learn, per_class)
-    # A text of the sample is counted in its own half of it, any other in one by its digest.
-    halves = {hashlib.md5(t.encode()).hexdigest(): h for h, own in enumerate(split(*calibration[:2])) for part in own for t in part}
-    return Model(*calibration, count(docs, labels, label, learn, halves) if halves else None)
-
-
-def count(docs: DataFrame, labels: DataFrame, label: str, learn: Column, halves: dict[str, int]) -> Counts:
-    """The runs of all labelled texts, and how often both classes have them in both halves; the runs of all texts."""
-    sent = docs.sparkSession.sparkContext.broadcast(halves)
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn).select("doc_id", F.col(label).alias("y"))
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL")
-    learnt = rows.where(learn).withColumn("digest", F.md5(F.col("text").cast("binary")))
-    # Which row stands for each text is settled without the texts, so these are shuffled once.
-    stands = learnt.select("doc_id", "digest").join(usable, "doc_id").groupBy("digest").agg(F.max(F.struct("doc_id", "y")).alias("last"))
-    chosen = learnt.join(stands.select("digest", "last.doc_id", "last.y"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    names = ["n00", "n01", "n10", "n11"]
+    spark = docs.sparkSession
+    ready(spark)
+    shared_dir(spark)
+    found, totals = usable(docs, labels, label, learn_rows(MODULUS, HELD))
+    share = float(totals[1] / totals.sum()) if totals.sum() else 0.0
+    if not totals.all():
+        return Model(share)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[Counter] = [Counter() for _ in names]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def given() -> pa.RecordBatch:
-            keys, n = counted(held)
-            for c in held:
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array(n[:, k].astype(np.int64)) for k in range(len(names)))], names=["key", *names])
+            keys, n = summed(np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held]))
+            held[:] = [(keys, n)]
+            return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), *(pa.array(n[:, k].astype(np.int64)) for k in range(4))], names=["run", *HALVES])
 
         for batch in slices(batches, "text"):
-            for t, y, digest in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                held[2 * sent.value.get(digest, int(digest[-1], 16) & 1) + y].update(set(words(t)))
-                if sum(map(len, held)) > COUNT_WORDS:
-                    yield given()
-        yield given()
+            column = np.array(batch.column(2).to_pylist()) * 2 + np.array(batch.column(1).to_pylist())
+            held.append(counted([normal(t) for t in texts(batch.column(0))], column, 4))
+            if sum(len(k) for k, _ in held) > COUNT_ROWS:
+                if len((out := given()).column(0)) > COUNT_ROWS // 2:
+                    held.clear()
+                    yield out
+        if held:
+            yield given()
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = shared_runs(())
+        bodies = (normal(t) for batch in slices(batches, "text") for t in texts(batch.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array(shared_runs(bodies).astype(np.int64))], names=["run"])
+
+    counts = learnt(docs, found, int(totals.sum())).mapInArrow(own, "run long, " + ", ".join(f"{x} long" for x in HALVES))
+    counts = counts.groupBy("run").agg(*(F.sum(x).alias(x) for x in HALVES)).orderBy("run").toArrow()
+    everywhere = docs.select("text").where("text IS NOT NULL").mapInArrow(runs, "run long").distinct().orderBy("run").toArrow()
+    keys, n = counts.column("run").to_numpy().astype(np.uint64), np.stack([counts.column(x).to_numpy() for x in HALVES], axis=1).astype(float)
+    shared = everywhere.column("run").to_numpy().astype(np.uint64)
+    # A half is judged by the models of the other half, if that has texts of both classes.
+    halves = [KneserNey(keys, n[:, 2 - 2 * h : 4 - 2 * h] if n[:, 2 - 2 * h : 4 - 2 * h].any(axis=0).all() else n[:, :2] + n[:, 2:], shared) for h in (0, 1)]
+    sent = spark.sparkContext.broadcast(halves)
+
+    def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judges = [Comparer(m) for m in sent.value]
         for batch in slices(batches, "text"):
-            shared_runs(texts(batch.column(0)), seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int64))], names=["run"])
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    summed = chosen.select("text", F.col("y").cast("int").alias("y"), "digest").mapInArrow(own, "key long, " + ", ".join(f"{x} long" for x in names))
-    found = summed.groupBy("key").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
-    shared = rows.select("text").mapInArrow(runs, "run long").distinct().toArrow()
-    seen = shared_runs(())
-    seen[shared.column("run").to_numpy()] = True
-    return found.column("key").to_numpy().astype(np.uint64), np.stack([found.column(x).to_numpy() for x in names], axis=1).astype(float), packed(seen)
+            bodies, half = [normal(t) for t in texts(batch.column(0))], np.array(batch.column(2).to_pylist())
+            x = np.zeros((len(bodies), 2))
+            for h in (0, 1):
+                mine = np.flatnonzero(half == h)
+                x[mine] = judges[h].figures([bodies[k] for k in mine])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(1)], names=["mean", "size", "y"])
+
+    # One text an id at most, so the figures are as many as the sample allows.
+    chosen = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample(found, totals, per_class)), "doc_id").groupBy("doc_id", "y")
+    half = (F.conv(F.substring(F.md5(F.col("text").cast("binary")), -1, 1), 16, 10).cast("int") % 2).alias("half")
+    judged = chosen.agg(F.min("text").alias("text")).select("text", "y", half).mapInArrow(figures, "mean double, size double, y int").toArrow()
+    x, y = np.stack([judged.column("mean").to_numpy(), judged.column("size").to_numpy()], axis=1), judged.column("y").to_numpy()
+    order = np.lexsort((y, x[:, 1], x[:, 0]))  # one order of summation
+    x, y = x[order][x[order][:, 1] > 0], y[order][x[order][:, 1] > 0]
+    sent.destroy()
+    taken = np.array([(y == 0).sum(), (y == 1).sum()])
+    if not taken.all():
+        return Model(share)
+    weights = logistic(x, y)
+    weights[-1] += np.log(totals[1] / totals[0]) - np.log(taken[1] / taken[0])
+    return Model(share, KneserNey(keys, n[:, :2] + n[:, 2:], shared), weights)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """Add ``into``, a number from 0 to 1, from the text alone; a column of that name is replaced."""
+    ready(docs.sparkSession)
     docs = docs.drop(into)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
