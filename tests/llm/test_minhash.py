@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from wayquad.llm import minhash
@@ -77,8 +78,67 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
     assert got == [(-1, -1, True), (2, 2, True), (2, 2, True), (5, 2, False)]
     kept = minhash.keep_one(docs, 3, 85, 100)
     assert kept.columns == ["doc_id", "text", "cls"]
-    assert kept.count() == 3
+    # One of the repeated rows stays, and the row without an id.
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2]
     assert minhash.near_duplicates(docs.limit(0)).collect() == []
+    assert minhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_texts_that_share_an_id_are_judged_row_by_row(spark):
+    a, b = "one two three four five six", "alpha beta gamma delta epsilon zeta"
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "z"), (3, None, "u"), (3, "", "v"), (4, b, "w")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(r["cls"] for r in minhash.keep_one(docs).collect()) == ["u", "v", "x", "z"]
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 3, True), (3, 3, True), (4, 2, False)]
+    # Two rows of one id and no other: nothing is lost.
+    assert minhash.keep_one(spark.createDataFrame([(2, a, ""), (2, b, "")], SCHEMA)).count() == 2
+
+
+def test_ids_that_are_texts(spark):
+    docs = spark.createDataFrame([("b", "one two three four five six"), ("a", "one two three four five SIX"), ("c", "else")], "doc_id string, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True)}
+    assert {r["doc_id"] for r in minhash.keep_one(docs).collect()} == {"a", "c"}
+
+
+def test_large_weakly_tied_groups(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(7)
+    common = [f"c{k}" for k in range(40)]
+    rows = []
+    for g in range(40):  # small clusters that all share one passage, more than half of their text
+        own = [f"g{g}w{k}" for k in range(30)]
+        for _ in range(4):
+            words = own + common
+            words[rng.randrange(len(words))] = f"e{rng.random()}"
+            rows.append((len(rows) + 1, " ".join(words)))
+    base = [f"b{k}" for k in range(120)]
+    for k in range(60):  # a chain: each is like the next, the ends are not alike
+        rows.append((1000 + k, " ".join(base[k:] + [f"n{j}" for j in range(k)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, 3, 85, 100).collect()}
+    assert got == brute(rows, 3, 85, 100)
+
+
+def test_union_sketches_against_sets():
+    rng = np.random.default_rng(5)
+    k = 8
+    for _ in range(200):
+        a, b = (np.unique(rng.integers(0, 40, rng.integers(1, 20)).astype(np.uint64)) for _ in range(2))
+        fill = lambda s: np.append(s[:k], np.full(k - len(s[:k]), minhash.NONE)).astype(np.uint64)[None]
+        size, both = minhash.union_sketches(fill(a), fill(b), k)
+        union = sorted({*a.tolist(), *b.tolist()})[:k]
+        assert size[0] == len(union)
+        assert both[0] == len(set(union) & set(a.tolist()) & set(b.tolist()))
+
+
+def test_query(spark, tmp_path):
+    rows = corpus(groups=4, copies=4, large=20)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = minhash.op3(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("n_shingles", "bigint"), ("component_id", "bigint"), ("kept", "boolean")]
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out.collect()} == brute(rows, 3, 85, 100)
 
 
 def test_long_text(spark):

@@ -7,23 +7,25 @@
    below ``MISS``.  If each class ranks its values from rare to common, the two share one among the first
    ``size - need + 1``; only those enter the lists, which keeps common passages out of them.  The lists
    tie classes to candidate groups (stars towards the list's smallest class, so linear in its length).
-3. A candidate group is dealt in blocks of ``BLOCK`` classes.  Groups of one block are compared inside
-   one task.  Of larger groups the first block meets all others (linear work); what that leaves outside
-   the group's main component meets all blocks, pair of blocks by pair of blocks, so no task holds more
-   than two blocks and classes that are already connected are not compared again.
-4. Inside a task, overlaps of sketches are counted for all pairs at once.  They bound the common values of
-   the union sketch from above; pairs whose estimate is below the least count that a link shows (see
+3. Candidate groups of up to ``BLOCK`` classes are compared inside one task.  Larger ones are cut into zones of
+   that size: classes whose lists lead to one smallest class lie in one zone, or in several if they are too many.
+   Each zone is compared inside, and the first zone of such classes with their other zones (linear work).  Of
+   what that leaves apart, two zones meet only if an inverted list holds classes of both that are not yet
+   connected, and only classes of such lists take part; no task holds more than two zones.
+4. Inside a task, inverted lists count the overlaps of sketches.  The union sketch of a pair (the ``k`` smallest
+   values of both) estimates its similarity; pairs with fewer common values in it than a link shows (see
    ``needed``) fall out, and exact set sizes confirm the rest: ``scale_den * shared >= scale_num * union``.
    Only a spanning forest of the confirmed links leaves the task.
 5. Components of the links: tasks of ``EDGES`` edges connect what they hold; label propagation with pointer
    jumping, written to the shared folder each round, connects the rest.
 
-Hashes are 64 bits wide; two different shingles of the corpus collide with a chance of n^2 / 2^65 for
-n compared shingles, which is the only approximation besides ``MISS``.
+Hashes of shingles and of sets are 64 bits wide; two different ones of a corpus collide with a chance of
+n^2 / 2^65 for n compared values, which is the only approximation besides ``MISS``.
 
 Defined results: a null, empty or wordless text has size 0 and is its own component; texts with fewer
-words than a shingle are one shingle; repeated rows (equal doc_id) share their id; rows with a null
-doc_id keep a null component and are kept; other columns stay as they are.
+words than a shingle are one shingle; a component is named by the smallest doc_id of its rows, whatever the
+type of doc_id; repeated ids are judged row by row, by their texts; rows with a null doc_id keep a null
+component and are kept; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayquad.llm.common import pin, shared_dir, slices, table, texts
+from wayquad.llm.common import fresh, pin, ready, shared_dir, slices, small, table, texts
 
 K = 64
 #: Chance that a link shows fewer common retained values than asked for.
@@ -47,8 +49,11 @@ BLOCK = 256
 EDGES = 400_000
 #: Shingles in a block, about.
 VOLUME = 1 << 20
-ROUNDS = 60
+#: Pairs whose union sketches are made together.
+PAIRS = 1 << 14
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
+#: Stands for no value in sketches that are not full.
+NONE = np.iinfo(np.uint64).max
 
 
 class WordHashes(dict):
@@ -97,39 +102,51 @@ def needed(size: int, k: int, share: float, miss: float = MISS) -> int:
     return max(1, min(t, whole))
 
 
+def key_of(found: np.ndarray) -> int:
+    """A signed 64-bit key of a set."""
+    return int.from_bytes(xxhash.xxh3_64_digest(found.tobytes()), "little", signed=True)
+
+
 def sets(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """doc_id, n_shingles, a digest of the set and its sketch (signed 64-bit values in unsigned order)."""
+    """doc_id, a digest of the text, n_shingles, the key of the set (cls) and its sketch (signed 64-bit values in unsigned order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [shingles(t, n) for t in texts(batch.column(1))]
+            found = [shingles(t, n) for t in texts(batch.column(2))]
             sketches = [x[:k] for x in found]
             offsets = np.append(0, np.cumsum([len(x) for x in sketches])).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(1),
                     pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()),
+                    pa.array([key_of(x) for x in found], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*sketches, np.zeros(0, np.uint64)]).view(np.int64))),
                 ],
-                names=["doc_id", "n_shingles", "digest", "sketch"],
+                names=["doc_id", "body_md5", "n_shingles", "cls", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, digest binary, sketch array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", body_md5().alias("body_md5"), "text").mapInArrow(run, f"doc_id {kind}, body_md5 binary, n_shingles long, cls long, sketch array<long>")
+
+
+def body_md5() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 
 
-def candidate_edges(classes: DataFrame, k: int, share: float) -> DataFrame:
-    """Stars (a, b) over the inverted lists of rare retained values."""
-    need = F.expr("CASE " + " ".join(f"WHEN n_shingles = {s} THEN {needed(s, k, share)}" for s in range(1, k)) + f" ELSE {needed(k, k, share)} END")
-    kept = classes.select("cls", F.size("sketch").alias("m"), need.alias("need"), F.explode("sketch").alias("value"))
+def inverted_lists(classes: DataFrame, k: int, share: float) -> DataFrame:
+    """(value, cls, hub): the lists of rare retained values that hold more than one class; hub is a list's smallest class."""
+    need = F.expr("CASE " + " ".join(f"WHEN m = {s} THEN {needed(s, k, share)}" for s in range(1, k)) + f" ELSE {needed(k, k, share)} END")
+    kept = classes.select("cls", F.explode("sketch").alias("value"))
     common = kept.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     # Values of one class only come first in the order from rare to common and tie nothing.
     shared = kept.join(common, "value")
-    by_class = shared.groupBy("cls", "m", "need").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
-    room = F.col("m") - F.col("need") + 1 - (F.col("m") - F.size("v"))
-    lists = by_class.where(room > 0).select("cls", F.explode(F.slice("v", 1, F.greatest(room, F.lit(1)))).alias("x")).select("cls", F.col("x.value").alias("value"))
+    by_class = shared.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
+    by_class = by_class.join(classes.select("cls", F.least("n_shingles", F.lit(k)).cast("int").alias("m")), "cls")
+    room = F.col("m") - need + 1 - (F.col("m") - F.size("v"))
+    lists = by_class.withColumn("room", room).where("room > 0").select("cls", F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("x")).select("cls", F.col("x.value").alias("value"))
     hubs = lists.groupBy("value").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub < other").select("value", "hub")
-    return lists.join(hubs, "value").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
+    return lists.join(hubs, "value").select("value", "cls", "hub")
 
 
 def contract(edges: DataFrame, parts: int) -> DataFrame:
@@ -157,7 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
         return stars.select(F.col("a").alias("v"), F.col("b").alias("root")).union(roots)
     both = pin(stars.union(stars.select(F.col("b"), F.col("a"))).distinct())
     labels = pin(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")))
-    for _ in range(ROUNDS):
+    while True:  # labels only fall, so this ends; jumping makes the rounds few
         near = both.join(labels.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("v")).agg(F.min("r").alias("r"))
         hooked = labels.join(near, "v", "left").select("v", F.col("root").alias("old"), F.least("root", F.coalesce("r", "root")).alias("root"))
         # A root learns the smallest label that any of its vertices has found.
@@ -169,7 +186,6 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("v", "root")
         if not step.where("root <> old").limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def forest(found: np.ndarray) -> list[tuple[int, int]]:
@@ -217,15 +233,32 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def union_sketches(left: np.ndarray, right: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of sketches (rows, filled up with the largest value): the size of the union sketch and its common values."""
+    x = np.sort(np.concatenate((left, right), axis=1), axis=1)
+    real = x != NONE
+    new = real.copy()
+    new[:, 1:] &= x[:, 1:] != x[:, :-1]
+    place = np.cumsum(new, axis=1)
+    return np.minimum(place[:, -1], k), (real & ~new & (place <= k)).sum(axis=1)
+
+
 def linked(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int, k: int) -> np.ndarray:
     """Index pairs whose exact share of common shingles is num / den or more."""
     heads, tails = [s[:k] for s in left], [s[:k] for s in right]
-    estimate = overlaps(heads, tails)
+    common = overlaps(heads, tails)
     na, nb = np.array([len(s) for s in left]), np.array([len(s) for s in right])
-    # In the union sketch of k values at least need(k) are common; smaller sets are whole in their sketches.
+    # All common values of a union sketch lie in both sketches; smaller sets are whole in their sketches.
     floor = np.array([needed(int(min(s, k)), k, num / den) for s in range(k + 1)])
     least = np.minimum(floor[np.minimum(na, k)][:, None], floor[np.minimum(nb, k)][None, :])
-    maybe = (estimate >= least) & (np.minimum(na[:, None], nb[None, :]) * den >= np.maximum(na[:, None], nb[None, :]) * num)
+    maybe = (common >= least) & (np.minimum(na[:, None], nb[None, :]) * den >= np.maximum(na[:, None], nb[None, :]) * num)
+    filled = [np.array([np.append(s, np.full(k - len(s), NONE)) for s in side], np.uint64).reshape(-1, k) for side in (heads, tails)]
+    pairs = np.argwhere(maybe)
+    for low in range(0, len(pairs), PAIRS):
+        i, j = pairs[low : low + PAIRS].T
+        size, both = union_sketches(filled[0][i], filled[1][j], k)
+        # A union sketch that is not full holds both sets, so its share is exact.
+        maybe[i, j] = both >= np.where(size < k, np.ceil(num / den * size - 1e-9), floor[k])
     if not maybe.any():
         return np.zeros((0, 2), np.int64)
     i, j = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
@@ -257,79 +290,110 @@ def confirm(dealt: DataFrame, num: int, den: int, k: int) -> DataFrame:
 
 
 def bodies(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
-    """Full sets of the chosen classes, from their texts; of rows with one id, the one whose set has the class's digest."""
-    rest = [c for c in chosen.columns if c != "digest"]
+    """Full sets of the chosen classes, from the texts of the rows called ``name``; of rows with one id, one whose set has the class's key."""
+    rest = [c for c in chosen.columns if c != "name"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            found = [shingles(t, n).tobytes() for t in texts(batch.column(batch.schema.get_field_index("text")))]
-            digests = batch.column(batch.schema.get_field_index("digest")).to_pylist()
-            same = pa.array([xxhash.xxh3_128_digest(x) == d for x, d in zip(found, digests, strict=True)], pa.bool_())
+            found = [shingles(t, n) for t in texts(batch.column(batch.schema.get_field_index("text")))]
+            same = pa.array([key_of(x) == c for x, c in zip(found, batch.column(batch.schema.get_field_index("cls")).to_pylist(), strict=True)], pa.bool_())
             own = [batch.column(batch.schema.get_field_index(c)) for c in rest]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(found, pa.binary())], names=[*rest, "body"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*own, pa.array([x.tobytes() for x in found], pa.binary())], names=[*rest, "body"]).filter(same)
 
-    found = chosen.join(docs.select(F.col("doc_id").cast("long").alias("cls"), "text"), "cls")
+    found = chosen.join(docs.select(F.col("doc_id").alias("name"), "text"), "name")
     fields = ", ".join(f"{c} {chosen.schema[c].dataType.simpleString()}" for c in rest)
     return found.mapInArrow(run, f"{fields}, body binary").dropDuplicates(["cls"])
 
 
+def zones(near: DataFrame) -> DataFrame:
+    """cls, zone, cell, sub and subs of classes (cls, grp, n_shingles, near), where near is the smallest class that a list leads to.
+
+    The classes of one near are a cell.  A cell that is too large is cut into ``subs`` zones by hash; small cells
+    of a group are put together, by a hash of near.
+    """
+    cells = near.groupBy("grp", "near").agg(F.count(F.lit(1)).alias("c"), F.sum("n_shingles").alias("volume"))
+    blocks = lambda c, v: F.ceil(F.greatest(F.col(c) * 2 / BLOCK, F.col(v) * 2 / VOLUME)).cast("int")
+    cells = cells.withColumn("subs", blocks("c", "volume"))
+    packs = cells.where("subs <= 1").groupBy("grp").agg(F.sum("c").alias("all"), F.sum("volume").alias("every")).select("grp", blocks("all", "every").alias("packs"))
+    dealt = near.join(cells, ["grp", "near"]).join(packs, "grp", "left").withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("subs")).cast("int"))
+    zone = F.when(F.col("subs") > 1, F.concat_ws(":", F.lit("c"), "grp", "near", "sub")).otherwise(F.concat_ws(":", F.lit("p"), "grp", F.pmod(F.xxhash64("near"), F.col("packs"))))
+    return dealt.select("cls", zone.alias("zone"), F.concat_ws(":", "grp", "near").alias("cell"), "sub", "subs")
+
+
 def links(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, k: int) -> DataFrame:
     """Confirmed links between classes that connect what the whole link graph connects."""
-    groups = components(candidate_edges(classes, k, num / den))
-    groups = groups.join(classes.select(F.col("cls").alias("v"), "n_shingles", "digest"), "v")
+    entries = pin(inverted_lists(classes, k, num / den))
+    groups = components(entries.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
+    groups = groups.join(classes.select(F.col("cls").alias("v"), "n_shingles", "name"), "v")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("volume"))
-    # Blocks by hash; their number follows from the group's size and volume alone.
-    blocks = F.ceil(F.greatest(F.col("size") * 2 / BLOCK, F.col("volume") / VOLUME)).cast("int")
     single = (F.col("size") <= BLOCK) & (F.col("volume") <= 2 * VOLUME)
-    chosen = groups.join(sizes, "root").select(F.col("v").alias("cls"), "digest", F.col("root").alias("grp"), F.when(single, 1).otherwise(blocks).alias("blocks"))
-    chosen = chosen.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    chosen = groups.join(sizes, "root").select(F.col("v").alias("cls"), "name", "n_shingles", F.col("root").alias("grp"), single.alias("single"))
     full = pin(bodies(docs, chosen, n))
-    one = full.where("blocks = 1").select(F.concat_ws(":", "grp").alias("task"), F.lit(-1).alias("side"), "cls", "body")
-    first = confirm(one, num, den, k)
-    large = full.where("blocks > 1")
+    first = confirm(full.where("single").select(F.col("grp").cast("string").alias("task"), F.lit(-1).alias("side"), "cls", "body"), num, den, k)
+    large = full.where("NOT single")
     if large.limit(1).count() == 0:
         return first
-
-    def pairs(anchors: DataFrame, name: str) -> DataFrame:
-        """Each anchor block (grp, anchor, blocks, cls, body) with every block of its group, its own classes included."""
-        key = [F.lit(name), F.col("grp"), F.col("anchor"), F.col("block")]
-        mine = anchors.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        theirs = large.join(anchors.select("grp", "anchor").distinct(), "grp")
-        return mine.select(F.concat_ws(":", *key).alias("task"), F.lit(0).alias("side"), "cls", "body").union(
-            theirs.select(F.concat_ws(":", *key).alias("task"), F.lit(1).alias("side"), "cls", "body")
-        )
-
-    star = pin(confirm(pairs(large.where("block = 0").withColumn("anchor", F.lit(0)), "hub"), num, den, k))
-    # The main component of each large group needs no more comparisons inside; the rest meets every block.
-    member = large.select("grp", "cls").join(components(star).withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    main = member.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    rest = member.join(main, "grp").where("root <> main").select("cls")
-    left_over = pin(large.join(rest, "cls", "left_semi"))
-    # What is left is dealt anew into blocks of its own, each of which meets all blocks of the group.
-    count = left_over.groupBy("grp").agg(F.count(F.lit(1)).alias("left"), F.sum(F.length("body") / 8).alias("volume"))
-    fresh = F.ceil(F.greatest(F.col("left") * 2 / BLOCK, F.col("volume") / VOLUME))
-    anchors = left_over.join(count, "grp").withColumn("anchor", F.pmod(F.xxhash64(F.lit(7), "cls"), fresh).cast("int"))
-    return first.union(star).union(confirm(pairs(anchors, "rest"), num, den, k))
+    mine = entries.join(large.select("cls", "grp", "n_shingles"), "cls")
+    zone = pin(zones(mine.groupBy("cls", "grp", "n_shingles").agg(F.min("hub").alias("near"))))
+    zoned = pin(large.select("cls", "body").join(zone, "cls"))
+    inside = zoned.select(F.col("zone").alias("task"), F.lit(-1).alias("side"), "cls", "body")
+    cut = zoned.where("subs > 1")
+    key = F.concat_ws(":", "cell", "sub").alias("task")
+    hubs = cut.where("sub = 0").withColumn("sub", F.explode(F.sequence(F.lit(1), F.col("subs") - 1))).select(key, F.lit(0).alias("side"), "cls", "body")
+    star = hubs.union(cut.where("sub > 0").select(key, F.lit(1).alias("side"), "cls", "body"))
+    near = pin(confirm(inside, num, den, k).union(confirm(star, num, den, k)))
+    # Lists whose classes are all connected are done; of the others, zones with different components meet.
+    state = mine.select("value", "cls").join(zone.select("cls", "zone"), "cls").join(components(near).withColumnRenamed("v", "cls"), "cls", "left")
+    state = state.select("value", "cls", "zone", F.coalesce("root", "cls").alias("root"))
+    apart = state.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value")
+    state = pin(state.join(apart, "value"))
+    held = state.groupBy("value", "zone").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    x, y = held.select("value", *(F.col(c).alias(f"x_{c}") for c in ("zone", "low", "high"))), held.select("value", *(F.col(c).alias(f"y_{c}") for c in ("zone", "low", "high")))
+    met = x.join(y, "value").where("x_zone < y_zone AND NOT (x_low = x_high AND y_low = y_high AND x_low = y_low)").select("x_zone", "y_zone").distinct()
+    met = pin(met.withColumn("task", F.concat_ws("/", "x_zone", "y_zone")))
+    part = zoned.select("cls", "zone", "body").join(state.select("cls").distinct(), "cls", "left_semi")
+    sides = [met.select("task", F.lit(k).alias("side"), F.col(c).alias("zone")).join(part, "zone").select("task", "side", "cls", "body") for k, c in enumerate(("x_zone", "y_zone"))]
+    return first.union(near).union(confirm(sides[0].union(sides[1]), num, den, k))
+
+
+def grouped(docs: DataFrame, n: int, num: int, den: int, k: int) -> DataFrame:
+    """doc_id, body_md5, n_shingles, component and first (its smallest doc_id) of every row; the last two are null where a row is alone."""
+    ready(docs.sparkSession)
+    shared_dir(docs.sparkSession)
+    found = pin(sets(docs, n, k))
+    named = found.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = pin(named.groupBy("cls").agg(F.min("doc_id").alias("name"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.count(F.lit(1)).alias("copies")))
+    joined = components(links(docs, classes, n, num, den, k)).withColumnRenamed("v", "cls")
+    several = classes.select("cls", "name", "copies").join(joined, "cls", "left").where("copies > 1 OR root IS NOT NULL").select("cls", "name", F.coalesce("root", "cls").alias("component"))
+    several = pin(several)
+    several = pin(several.join(several.groupBy("component").agg(F.min("name").alias("first")), "component").select("cls", "component", "first"))
+    rows = found.select("doc_id", "body_md5", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"))
+    return rows.join(small(several, several.count(), 64), "cls", "left").drop("cls")
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
-    shared_dir(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    found = pin(sets(docs, n, k))
-    classes = found.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "digest").agg(F.min("doc_id").cast("long").alias("cls"), F.first("sketch").alias("sketch"))
-    classes = pin(classes)
-    joined = components(links(docs, classes, n, num, den, k)).withColumnRenamed("v", "cls")
-    names = classes.select("n_shingles", "digest", "cls").join(joined, "cls", "left").select("n_shingles", "digest", F.coalesce("root", "cls").alias("component"))
-    out = found.select("doc_id", "n_shingles", "digest").join(names, ["n_shingles", "digest"], "left")
-    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id")).cast(kind)
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = grouped(docs, n, num, den, k).select("doc_id", "n_shingles", F.coalesce("first", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
 
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
+    """The rows of ``docs`` with one row of each group of near-duplicates, the one with the smallest id (then the smallest digest of the text).
 
-def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` with one document of each group of near-duplicates, the one with the smallest id."""
-    gone = near_duplicates(docs, n, num, den).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    Of rows that repeat an id and its text one stays; rows without an id or without words all stay.
+    """
+    rows = pin(grouped(docs, n, num, den, k).where("component IS NOT NULL").groupBy("component", "doc_id", "body_md5").agg(F.count(F.lit(1)).alias("n")))
+    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "body_md5")).alias("stays"))
+    md5, stays, repeated = (fresh(docs, c) for c in ("_md5", "_stays", "_repeated"))
+    fate = rows.join(first, "component").select(
+        "doc_id", F.col("body_md5").alias(md5), ((F.col("stays.doc_id") == F.col("doc_id")) & (F.col("stays.body_md5") == F.col("body_md5"))).alias(stays), (F.col("n") > 1).alias(repeated)
+    )
+    fate = pin(fate.where(f"NOT {stays} OR {repeated}"))
+    marked = docs.withColumn(md5, body_md5()).join(small(fate, fate.count(), 64), ["doc_id", md5], "left")
+    out = marked.where(F.col(stays).isNull()).select(docs.columns)
+    if fate.where(f"{stays} AND {repeated}").limit(1).count():
+        out = out.union(marked.where(F.col(stays)).dropDuplicates(["doc_id", md5]).select(docs.columns))
+    return out
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,13 +412,13 @@ s AS (
   FROM d),
 x AS (SELECT r, doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
 p AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
-  FROM x a JOIN x b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r, a.doc_id, b.doc_id),
+  SELECT a.r AS a, b.r AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM x a JOIN x b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
 e AS (SELECT a, b FROM p WHERE {den} * c >= {num} * (na + nb - c)),
 both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-reach(v, u) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.v, both_ways.b FROM reach JOIN both_ways ON reach.u = both_ways.a),
-c AS (SELECT v, min(u) AS component_id FROM reach GROUP BY v)
-SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON s.doc_id = c.v
+reach(v, u) AS (SELECT r, r FROM d UNION SELECT reach.v, both_ways.b FROM reach JOIN both_ways ON reach.u = both_ways.a),
+c AS (SELECT v, min(doc_id) AS component_id FROM reach JOIN d ON reach.u = d.r GROUP BY v)
+SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON s.r = c.v
 """
 
 
