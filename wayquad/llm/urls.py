@@ -9,8 +9,8 @@ the two; a url's score is the sum of the weights of its trigrams, so a url witho
 The weights are trained at the first use from ``LABELLED``, a small table of invented urls, by full-batch
 gradient descent; the table and the number of steps are fixed, so the weights are always the same.
 
-Defined results: null urls and urls without ``://`` have an empty host and path and no rule, and get the
-verdict allow; repeated rows are judged each; other columns stay as they are.
+Defined results: null and empty urls and urls without ``://`` have an empty host and path and no rule, and get the
+verdict allow; repeated rows are judged each; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -25,51 +25,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayquad.llm.common import table
+from wayquad.llm.common import ready, table
 
 #: A prime below 2048, for host and path each.
 BUCKETS = 2039
 SCALE = 1_000_000
 #: (rule, block?) as the contract of op1 states them (fixed values).
 RULES = (("net/", True), ("example.net/en/", False), ("example.com/de/", True), ("org/fr/", False))
-#: A small labelled url table: 1 is a url to block (fixed values, invented).
-LABELLED = (
-    ("https://www.example.com/en/news/2024/town-council", 0),
-    ("https://blog.garden-notes.example/posts/tomato-care", 0),
-    ("http://library.example.org/catalogue/item/20391", 0),
-    ("https://docs.toolkit.example/guide/install.html", 0),
-    ("https://m.weather.example.com/fr/forecast/42", 0),
-    ("https://museum.example.org/exhibitions/bronze-age", 0),
-    ("http://school.example.com/es/courses/history/", 0),
-    ("https://recipes.kitchen.example/soup/lentil.html", 0),
-    ("https://www.cityhall.example.org/de/services/1204", 0),
-    ("https://science.example.com/articles/98312?page=2", 0),
-    ("https://forum.cycling.example/thread/5521", 0),
-    ("http://archive.example.org/en/letters/1890.html", 0),
-    ("https://health.example.com/en/advice/sleep", 0),
-    ("https://www.railways.example/timetable/north", 0),
-    ("https://blog.example.com/fr/7198", 0),
-    ("https://m.example.org/en/685", 0),
-    ("http://books.example.com/review/31705/", 0),
-    ("https://maps.example.org/trail/39547.html", 0),
-    ("https://free-casino-bonus.example/win/jackpot-now", 1),
-    ("http://xxx-videos.example.com/watch/hot/8812", 1),
-    ("https://cheap-pills-online.example/buy/viagra-discount", 1),
-    ("http://best-poker-slots.example/bonus/spin?aff=9", 1),
-    ("https://adult-cams.example/live/xxx/girls", 1),
-    ("http://win-free-iphone.example/click/prize/claim", 1),
-    ("https://loan-fast-cash.example/apply/now?ref=spam", 1),
-    ("http://replica-watches-sale.example/cheap/buy", 1),
-    ("https://torrent-crack-warez.example/download/keygen", 1),
-    ("http://hot-singles-dating.example/xxx/click", 1),
-    ("https://casino777.example/slots/jackpot/play", 1),
-    ("http://pills4less.example/order/cheap-meds", 1),
-    ("https://porn-tube.example/videos/xxx/55", 1),
-    ("http://click-ads.example/track/redirect?url=promo", 1),
-    ("https://betting-tips-win.example/odds/bonus", 1),
-    ("http://crack-serials.example/warez/free-download", 1),
-    ("https://sexy-cams-live.example/adult/free", 1),
-    ("http://bitcoin-doubler.example/invest/win/fast-cash", 1),
+#: The small labelled url table: invented sites to allow (0) and to block (1), in both classes with the same
+#: subdomains, endings and paths in turn, so that only what a site calls itself tells the classes apart.
+SITES = {
+    0: "town-council garden-notes library toolkit-docs weather museum school lentil-kitchen cityhall science cycling letters-archive health-advice railways bookreview trails theatre encyclopedia "
+    "university thornton northern tierheim journal orchestra bakery observatory harbour birdwatch opendata eye-clinic tennis-club poetry carpentry inthern onthere chess geology fahrplan nursery "
+    "astronomy heritage linguistics rowing mountain-huts weaving parliament beekeeping stadtarchiv bibliotheque ayuntamiento thandor erenst tiongard shoreline anterior wherton hestia oulens",
+    1: "free-casino-bonus xxx-videos cheap-pills best-poker-slots adult-cams win-free-iphone fast-cash-loan replica-watches torrent-warez hot-singles casino777 pills4less porn-tube click-ads "
+    "betting-tips crack-serials sexy-cams bitcoin-doubler spam-links spamdexing link-farm content-farm ads-server ad-tracker track-pixel casino casino-royal online-casino big-win-slots cheap-viagra "
+    "pills-direct cheap-meds adult-chat x-adult xxx free-bets bets-online sports-betting payday-loans quick-cash warez-free free-prize win-prizes porn escort-girls forex-win weight-loss-pills "
+    "fake-watches keygen-download spam jackpot-play poker-win adult-dating viagra-shop spam-blast ads-clicks track-ads cash-bonus",
+}
+SUBDOMAINS, ENDINGS = ("", "www.", "m.", "blog."), ("example", "example.com", "example.org", "example.net", "example.edu")
+PATHS = ("/en/{}", "/de/{}.html", "/fr/{}/", "/es/{}?page=2", "/{}", "/en/{}#top", "/posts/{}.html", "/en/{}?utm_source=feed", "/news/{}/story", "/item/{}", "/")
+LABELLED = tuple(
+    (f"http{'s' * (k % 2)}://{SUBDOMAINS[k % 4]}{site}.{ENDINGS[k % 5]}{PATHS[k % 11].format(137 * k + 11)}", label) for label, sites in SITES.items() for k, site in enumerate(sites.split())
 )
 PARTS = re.compile(r"://([^/?#]*)([^?#]*)", re.S)
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -118,6 +95,7 @@ def _fits(host: str, path: str, rule: str) -> bool:
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, bool]] = RULES, url: str = "url", into: str = "judged") -> DataFrame:
     """Add ``into``: host, path, rule, verdict and the classifier's score (millionths of a log-odds); a column of that name is replaced."""
+    ready(pages.sparkSession)
     pages = pages.drop(into)
     model = pages.sparkSession.sparkContext.broadcast((weights(), tuple(rules)))
 
@@ -169,5 +147,3 @@ SELECT page_id, host, path, rule,
 FROM p LEFT JOIN best USING (r) LEFT JOIN scores USING (r)
 """
 
-
-ORACLE = oracle()
