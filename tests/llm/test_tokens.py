@@ -55,12 +55,25 @@ def test_encode_and_decode_as_the_library(spark, library):
     assert bpe.encode(docs, PATH, into="n_tokens").columns == ["doc_id", "text", "n_tokens"]
 
 
-def test_memo_that_is_emptied_changes_nothing(library):
-    model = bpe.model(PATH)
-    memo = bpe.PieceMemo(model.whole, list(model.added), limit=3)
+def test_memory_that_is_emptied_changes_nothing(library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
+    model = bpe.PairIndexBpe(PATH)
     for _ in range(3):
         for t in TEXTS[1:]:
-            assert np.frombuffer(memo.encode([t])[0], "<i4").tolist() == expected(library, t)
+            assert np.frombuffer(model.encode([t])[0], "<i4").tolist() == expected(library, t)
+
+
+def test_all_characters_beside_blanks(library):
+    text = "".join(f"a{chr(c)} {chr(c)}b  {chr(c)}\n" for c in range(0x3100) if not 0xD800 <= c < 0xE000)
+    assert np.frombuffer(bpe.model(PATH).encode([text])[0], "<i4").tolist() == expected(library, text)
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"added_tokens": [{"id": 1, "content": "x", "lstrip": True}]}, {"model": {"type": "Unigram"}}])
+def test_other_tokenizer_files_are_refused(change):
+    spec = {"model": {"type": "BPE"}, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False}, "decoder": {"type": "ByteLevel"}}
+    bpe.check(spec)
+    with pytest.raises(ValueError, match="not followed"):
+        bpe.check({**spec, **change})
 
 
 def test_invalid_bytes_decode_as_the_library(library):
@@ -68,35 +81,44 @@ def test_invalid_bytes_decode_as_the_library(library):
     assert bpe.model(PATH).decode(ids) == library.decode(ids, skip_special_tokens=False)
 
 
-def test_joined_pieces(library):
-    encoder = binary.LibraryEncoder(PATH)
-    pieces = [" x", " foo\n\n", " bar", "head", " é.", " <|endoftext|>", "  two", " a'll", " word,", " word", " it's...", " é!?", " 12,", " ,", " ...", " ab\n.", " " + "z" * 500, " 漢", ""] * 60
-    assert [np.frombuffer(x, "<i4").tolist() for x in encoder.whole(pieces)] == [expected(library, p) for p in pieces]
-
-
 def test_files_round_trip(spark, library, tmp_path):
-    rows = [(k * 7, t, 1.5) for k, t in enumerate(TEXTS)] + [(7, "again", 0.0)]
+    rows = [(k * 7, t, 1.5) for k, t in enumerate(TEXTS)] + [(7, "again", 0.0), (None, "no id", 0.0), (None, None, 0.0), (14, TEXTS[2], 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids double").repartition(4)
     folder = str(tmp_path / "set")
     manifest = binary.write(docs, folder, PATH, parts=3)
     assert manifest["id_bytes"] == 2
     assert json.loads((tmp_path / "set" / "manifest.json").read_text())["parts"] == manifest["parts"]
     want, start = [], 0
-    for key, text, _ in sorted(rows, key=lambda r: (r[0], r[1] or "")):
+    first = lambda r: (r[0] is not None, r[0] or 0, zlib.crc32((r[1] or "").encode()), r[1] is not None, r[1] or "")
+    for key, text, _ in sorted(rows, key=first):
         ids = [*expected(library, text), 2]
         want.append((key, start, len(ids), ids))
         start += len(ids)
-    got = sorted(tuple(r) for r in binary.ids_of(spark, folder).collect())
-    assert got == sorted(want)
+    got = sorted((tuple(r) for r in binary.ids_of(spark, folder).collect()), key=lambda r: r[1])
+    assert got == want
     total = sum(p["ids"] for p in manifest["parts"])
     assert total == start
     flat = np.concatenate([binary.open_part(folder, p["name"], 2)[0] for p in manifest["parts"]])
     assert zlib.crc32(flat.astype("<u4").tobytes()) == zlib.crc32(np.array([i for w in want for i in w[3]], "<u4").tobytes())
 
 
-def test_no_rows_and_null_ids(spark, tmp_path):
+def test_no_rows_and_only_null_ids(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert binary.write(empty, str(tmp_path / "a"), PATH)["parts"] == []
     assert binary.ids_of(spark, str(tmp_path / "a")).collect() == []
-    with pytest.raises(ValueError, match="no doc_id"):
-        binary.write(spark.createDataFrame([(None, "x")], "doc_id long, text string"), str(tmp_path / "b"), PATH)
+    binary.write(spark.createDataFrame([(None, "x")], "doc_id long, text string"), str(tmp_path / "b"), PATH, parts=1)
+    assert [(r["doc_id"], r["start"], r["n_tokens"]) for r in binary.ids_of(spark, str(tmp_path / "b")).collect()] == [(None, 0, 2)]
+
+
+def test_queries(spark, library, tmp_path):
+    rows = [(k, t) for k, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in bpe.op2(spark, str(tmp_path)).collect():
+        ids = expected(library, TEXTS[r["doc_id"]])
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    start = 0
+    for r in sorted(binary.op8(spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"]):
+        ids = [*expected(library, TEXTS[r["doc_id"]]), 2]
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)

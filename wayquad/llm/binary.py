@@ -5,23 +5,26 @@ A dataset is a folder with three files a part and a manifest:
 - ``*.bin``: the ids of the part's documents one after another, unsigned little-endian integers of the
   width that the largest id needs (2 or 4 bytes);
 - ``*.off``: unsigned 64-bit little-endian offsets in ids from the start of the part, one more than documents;
-- ``*.key``: the documents' ids, signed 64-bit little-endian, ascending over the whole dataset;
-- ``manifest.json``: width, and for each part its names, documents, ids and base (ids before it).
-
-Documents are dealt to parts by ranges of doc_id and sorted inside.  A part is written once, under a name
-that no other attempt has, and reported with its counts; the driver turns the counts of the parts (not of
-documents) into bases by a prefix sum and lists in the manifest just the parts that were reported.  Parts of
-attempts that were lost are never read.  Files lie in a folder that all executors see; where it is a
-local path they are memory-mapped, else read through the file system of its scheme.
-
-Defined results: null and empty texts hold the end id alone; documents with one and the same id keep the
-order of their texts; a null doc_id is refused with ValueError, as it has no place in the order; an empty
-table gives a manifest without parts.
+- ``*.key``: the documents' ids, signed 64-bit little-endian, ascending over the whole dataset; the first
+  ``nameless`` documents of a part have no id, and 0 stands for it;
+- ``manifest.json``: width, and for each part its names, documents, nameless documents, ids and base (ids before it).
+
+Every whole text goes through the tokenizers library.  Documents are dealt to parts of about ``PART_BYTES`` by
+ranges of (doc_id, a checksum of the text), so one id with many texts spreads, and sorted inside.  A part is
+written once, under a name that no other attempt has, and reported with its counts; the driver turns the counts
+of the parts (not of documents) into bases by a prefix sum and lists in the manifest just the parts that were
+reported.  Parts of attempts that were lost are never read.  Files lie in a folder that all executors see; where it
+is a local path they are memory-mapped, else read through the file system of its scheme.
+
+Defined results: null and empty texts hold the end id alone; documents without an id come first; documents with
+one and the same id, or none, keep the order of the checksums of their texts and then of the texts; repeated rows
+are written each; an empty table gives a manifest without parts; other columns are not written.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -34,87 +37,24 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayquad.llm.bpe import PieceMemo, vocabulary
-from wayquad.llm.common import shared_dir, slices, table, texts
+from wayquad.llm.bpe import vocabulary
+from wayquad.llm.common import pin, ready, remove, shared_dir, slices, table, texts
 
-BLOCK_BYTES = 4 << 20
-MEMO_PIECES = 1_000_000
-#: Pieces that go to the library as one text.
-JOINED = 256
-#: Sentence marks.
-MARKS = ".,;:!?"
 #: Bytes of text in a part, about.
-PART_BYTES = 64 << 20
+PART_BYTES = 16 << 20
 END = 2
 
 
-class LibraryEncoder:
-    """A tokenizers library file behind a memo of pieces, as in ``bpe``."""
-
-    def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        # A character of a byte-level token stands for one byte.
-        self.bytes_of = np.zeros(1 + max(vocab.values()), np.int64)
-        self.bytes_of[list(vocab.values())] = list(map(len, vocab))
-        self.tails: dict[str, bytes] = {}
-        self.memo = PieceMemo(self.whole, self.added, MEMO_PIECES)
-
-    def whole(self, parts: list[str]) -> list[bytes]:
-        """Ids of each part.
-
-        Parts that begin with a space and a character that is none are encoded many at a time: no token spans
-        such a beginning, so the ids of the joined parts are cut where their bytes end.  Sentence marks at the
-        end of a word are a pre-token of their own, so such parts take the ids of the word and of the marks.
-        """
-        stems: dict[str, bytes | None] = {}
-        cut: list[tuple[str, str] | None] = []
-        for p in parts:
-            if p[:1] != " " or not p[1:2] or p[1].isspace():
-                cut.append(None)
-                continue
-            stem = p.rstrip(MARKS)
-            if stem is p or len(stem) < 2 or not stem[-1].isalpha() or stem[-1] > "\u024f":
-                stem = p
-            stems[stem] = self.memo.pieces.get(stem[1:])
-            cut.append((stem, p[len(stem) :]))
-        new = [s for s, known in stems.items() if known is None]
-        for low in range(0, len(new), JOINED):
-            own = new[low : low + JOINED]
-            text = "".join(own)
-            if any(a in text for a in self.added):
-                stems.update((s, np.array(ids, "<i4").tobytes()) for s, ids in zip(own, self._encode(own), strict=True))
-                continue
-            ids = np.array(self._encode([text])[0], "<i4")
-            stops = (np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(s.encode()) for s in own])) + 1) * 4
-            raw = ids.tobytes()
-            stems.update(zip(own, (raw[i:j] for i, j in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)), strict=True))
-        apart = [k for k, c in enumerate(cut) if c is None]
-        whole = dict(zip(apart, self._encode([parts[k] for k in apart]), strict=True))
-        return [np.array(whole[k], "<i4").tobytes() if c is None else stems[c[0]] + self._marks(c[1]) if c[1] else stems[c[0]] for k, c in enumerate(cut)]
-
-    def _marks(self, marks: str) -> bytes:
-        if marks not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails.clear()
-            self.tails[marks] = np.array(self._encode([marks])[0], "<i4").tobytes()
-        return self.tails[marks]
-
-    def _encode(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-
 @lru_cache(maxsize=2)
-def library(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def library(path: str):
+    """A tokenizers library file without its truncation and padding."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker uses one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 def store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -128,53 +68,54 @@ def id_type(size: int) -> np.dtype:
 class PartWriter:
     """Streams one part to its files and reports it."""
 
-    def __init__(self, folder: str, kind: np.dtype):
+    def __init__(self, folder: str, kind: np.dtype, part: int):
         self.files, root = store(folder)
-        self.name, self.kind = f"part-{uuid.uuid4().hex}", kind
+        self.name, self.kind, self.part = f"part-{uuid.uuid4().hex}", kind, part
         self.ids = self.files.open_output_stream(f"{root}/{self.name}.bin")
         self.root, self.sizes, self.keys = root, [], []
 
-    def add(self, key: int, ids: np.ndarray) -> None:
-        self.ids.write(ids.astype(self.kind).tobytes())
+    def add(self, key: int | None, ids: list[int]) -> None:
+        self.ids.write(np.array(ids, self.kind).tobytes())
         self.sizes.append(len(ids))
         self.keys.append(key)
 
     def close(self) -> dict:
         self.ids.close()
-        for suffix, values in ((".off", np.append(0, np.cumsum(self.sizes)).astype("<u8")), (".key", np.array(self.keys, "<i8"))):
+        for suffix, values in ((".off", np.append(0, np.cumsum(self.sizes)).astype("<u8")), (".key", np.array([k or 0 for k in self.keys], "<i8"))):
             with self.files.open_output_stream(f"{self.root}/{self.name}{suffix}") as out:
                 out.write(values.tobytes())
-        return {"name": self.name, "first": self.keys[0], "last": self.keys[-1], "documents": len(self.keys), "ids": int(sum(self.sizes))}
+        return {"name": self.name, "part": self.part, "documents": len(self.keys), "nameless": self.keys.count(None), "ids": sum(self.sizes)}
 
 
-REPORT = "name string, first long, last long, documents long, ids long"
+REPORT = "name string, part long, documents long, nameless long, ids long"
 
 
 def write(docs: DataFrame, folder: str, path: str, end: int | None = END, parts: int | None = None) -> dict:
     """Encode ``docs`` (doc_id, text), append ``end`` to each and write the dataset; returns the manifest."""
     spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    ready(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = rows.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.col("doc_id").isNull()).alias("nameless")).first()
-    if known["nameless"]:
-        raise ValueError(f"{known['nameless']} documents have no doc_id")
-    parts = parts or max(spark.sparkContext.defaultParallelism, -(-(known["bytes"] or 0) // PART_BYTES))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    parts = parts or max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
     kind = id_type(_vocabulary_size(path))
     files, root = store(folder)
     files.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = library(path).memo, None
-        tail = np.array([] if end is None else [end], "<i4")
-        for batch in slices(batches, "text", BLOCK_BYTES):
-            part = part or PartWriter(folder, kind)
-            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch.column(1))), strict=True):
-                part.add(key, np.concatenate((np.frombuffer(ids, "<i4"), tail)))
+        tokenizer, part = library(path), None
+        tail = [] if end is None else [end]
+        for batch in slices(batches, "text"):
+            part = part or PartWriter(folder, kind, batch.column(2)[0].as_py())
+            encoded = tokenizer.encode_batch_fast(texts(batch.column(1)), add_special_tokens=False)
+            for key, found in zip(batch.column(0).to_pylist(), encoded, strict=True):
+                part.add(key, found.ids + tail)
         if part:
-            yield pa.RecordBatch.from_pylist([part.close()], pa.schema([("name", pa.string()), *((c, pa.int64()) for c in ("first", "last", "documents", "ids"))]))
+            yield pa.RecordBatch.from_pylist([part.close()], pa.schema([("name", pa.string()), *((c, pa.int64()) for c in ("part", "documents", "nameless", "ids"))]))
 
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    reported = sorted((r.asDict() for r in ordered.mapInArrow(run, REPORT).collect()), key=lambda r: (r["first"], r["last"]))
+    check = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), check).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), check, "text")
+    numbered = ordered.withColumn("part", F.spark_partition_id().cast("long"))
+    reported = sorted((r.asDict() for r in numbered.mapInArrow(run, REPORT).collect()), key=lambda r: r["part"])
     for part, base in zip(reported, accumulate([0, *(r["ids"] for r in reported)]), strict=False):
         part["base"] = base
     manifest = {"folder": folder, "id_bytes": kind.itemsize, "parts": reported}
@@ -207,8 +148,9 @@ def read(spark: SparkSession, folder: str, each: Callable[[np.ndarray], dict], s
     with files.open_input_stream(f"{root}/manifest.json") as file:
         manifest = json.loads(file.read())
     width = manifest["id_bytes"]
-    listed = [(p["name"], p["base"]) for p in manifest["parts"]]
-    parts = spark.createDataFrame(listed, "name string, base long").repartition(max(1, len(listed)))
+    listed = [(p["name"], p["base"], p["nameless"]) for p in manifest["parts"]]
+    ready(spark)
+    parts = spark.createDataFrame(listed, "name string, base long, nameless long").repartition(max(1, len(listed)))
     arrow = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), *kinds])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +159,7 @@ def read(spark: SparkSession, folder: str, each: Callable[[np.ndarray], dict], s
                 ids, offsets, keys = open_part(folder, row["name"], width)
                 for low in range(0, len(keys), 1000):
                     stops = offsets[low : low + 1001].astype(np.int64).tolist()
-                    own = keys[low : low + 1000].tolist()
+                    own = [None if low + k < row["nameless"] else key for k, key in enumerate(keys[low : low + 1000].tolist())]
                     out = [{"doc_id": k, "start": row["base"] + a, "n_tokens": b - a, **each(ids[a:b])} for k, a, b in zip(own, stops, stops[1:], strict=False)]
                     yield pa.RecordBatch.from_pylist(out, arrow)
 
@@ -233,4 +175,6 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "documents"), folder, vocabulary())
     digest = lambda ids: {"ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}
-    return read(spark, folder, digest, "ids_crc32 long", [("ids_crc32", pa.int64())])
+    found = pin(read(spark, folder, digest, "ids_crc32 long", [("ids_crc32", pa.int64())]))
+    remove(spark, folder)
+    return found

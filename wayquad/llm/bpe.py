@@ -1,22 +1,23 @@
 """Byte-level BPE encoding with a pair occurrence index, and decoding.
 
-A block of texts is cut at every single space that a non-space character follows.  No pre-token of the
-byte-level pattern spans such a place, so a text's ids are the ids of its pieces one after another, and
-each distinct piece of a partition is encoded once.  The pre-tokens of all new pieces lie in one symbol
-array.  The index maps the rank of every adjacent pair to all positions where it occurs; ranks leave a
-heap in ascending order, all occurrences of a pair merge at once, and only the lists of the pairs beside
-the merged positions are touched.
+A partition is encoded in blocks of whole texts of about ``BLOCK_BYTES``.  Texts are cut into pre-tokens; each
+distinct pre-token that a worker does not know yet lies once in one symbol array.  The index maps the rank of
+every adjacent pair to all positions where it occurs; ranks leave a heap in ascending order, all occurrences of a
+pair merge at once, and only the lists of the pairs beside the merged positions are touched.
+
+Tokenizer files whose settings this module does not follow (normalizers, other pre-tokenizers, prefix spaces,
+added tokens that take in white space, dropout, unknown tokens, affixes, byte fallback) are refused with ValueError.
 
 Defined results: null and empty texts have no ids; an added token written out in a text is that token;
-texts of any length are encoded whole; other columns stay as they are.  The memo of pieces is emptied
-when it holds ``MEMO_PIECES`` entries, which changes no result.
+texts of any length are encoded whole; other columns stay as they are; repeated rows are encoded each.  The
+memory of pre-tokens is emptied when it holds ``MEMO_WORDS`` entries, which changes no result.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,14 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayquad.llm.common import slices, table, texts
+from wayquad.llm.common import ready, slices, table, texts
 
-MEMO_PIECES = 250_000
-#: Bytes of text whose new pieces are encoded together.
+MEMO_WORDS = 400_000
+#: Bytes of text whose new pre-tokens are encoded together.
 BLOCK_BYTES = 8 << 20
 #: The published byte-level pre-tokenizer pattern (fixed value).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.int64(1) << 40
+#: Settings of a tokenizer file that change ids, with the values that this module follows (fixed values).
+SETTINGS = {
+    "model": {"type": ("BPE",), "dropout": (None, 0), "unk_token": (None,), "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""), "byte_fallback": (None, False), "ignore_merges": (None, False)},
+    "pre_tokenizer": {"type": ("ByteLevel",), "add_prefix_space": (False,), "use_regex": (None, True)},
+    "decoder": {"type": ("ByteLevel",)},
+}
 
 
 def byte_alphabet() -> list[str]:
@@ -43,12 +50,22 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def check(spec: dict) -> None:
+    """Refuse a tokenizer file with settings that would change ids."""
+    wrong = [f"{part}.{name}" for part, names in SETTINGS.items() for name, allowed in names.items() if (spec.get(part) or {}).get(name) not in allowed]
+    wrong += ["normalizer"] if spec.get("normalizer") is not None else []
+    wrong += [f"added token {t['content']!r}" for t in spec.get("added_tokens") or [] if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+    if wrong:
+        raise ValueError(f"a tokenizer file with settings that are not followed: {', '.join(wrong)}")
+
+
 class PairIndexBpe:
     """The merges and the vocabulary of a tokenizer file, applied by a pair occurrence index."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        check(spec)
         vocab = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         alphabet = byte_alphabet()
@@ -69,6 +86,7 @@ class PairIndexBpe:
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
+        self.known: dict[str, bytes] = {}
 
     def words(self, distinct: list[bytes]) -> list[bytes]:
         """The ids of each word, as the bytes of int32 values."""
@@ -148,17 +166,20 @@ class PairIndexBpe:
         return [ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
     def segments(self, parts: list[str]) -> list[bytes]:
-        """The ids of texts that hold no added token."""
-        cut = [[w.encode() for w in self.pre.findall(p)] for p in parts]
-        distinct = list({w for ws in cut for w in ws})
-        known = dict(zip(distinct, self.words(distinct), strict=True))
-        return [b"".join([known[w] for w in ws]) for ws in cut]
+        """The ids of texts that hold no added token, as the bytes of int32 values."""
+        cut = [self.pre.findall(p) for p in parts]
+        if len(self.known) > MEMO_WORDS:
+            self.known = {}
+        known = self.known
+        new = [w for w in set().union(*cut) if w not in known]
+        known.update(zip(new, self.words([w.encode() for w in new]), strict=True))
+        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
 
-    def whole(self, parts: list[str]) -> list[bytes]:
+    def encode(self, block: list[str]) -> list[bytes]:
         """The ids of any texts."""
-        if self.splitter is None:
-            return self.segments(parts)
-        cut = [self.splitter.split(p) for p in parts]
+        if self.splitter is None or not any(a in t for a in self.added for t in block):
+            return self.segments(block)
+        cut = [self.splitter.split(t) for t in block]
         plain = iter(self.segments([x for c in cut for x in c[::2]]))
         return [b"".join([next(plain) if k % 2 == 0 else np.array([self.added[x]], "<i4").tobytes() for k, x in enumerate(c)]) for c in cut]
 
@@ -166,60 +187,11 @@ class PairIndexBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-class PieceMemo:
-    """Ids of whole texts by way of their distinct pieces; ``whole`` encodes texts one by one."""
-
-    def __init__(self, whole: Callable[[list[str]], list[bytes]], added: list[str], limit: int = MEMO_PIECES):
-        self.whole, self.added, self.limit = whole, added, limit
-        self.pieces: dict[str, bytes | None] = {}
-        self.firsts: dict[str, bytes] = {}
-
-    def encode(self, block: list[str]) -> list[bytes]:
-        if len(self.pieces) > self.limit:
-            self.pieces, self.firsts = {}, {}
-        pieces, firsts, new, heads = self.pieces, self.firsts, set(), set()
-        odd = {k for k, t in enumerate(block) if any(a in t for a in self.added)}
-        for k, t in enumerate(block):
-            if k not in odd:
-                cut = t.split(" ")
-                heads.add(cut[0])
-                cut[0] = cut[-1]
-                new.update(cut)
-        wanted = [p for p in new if p not in pieces]
-        # A piece that begins with white space, or is empty, belongs to a run of white space that the cut has torn.
-        torn = {p for p in wanted if not p or p[0].isspace() or p[0] in "\x1c\x1d\x1e\x1f\x85"}
-        wanted = [p for p in wanted if p not in torn]
-        firsts_wanted = [h for h in heads if h not in firsts]
-        found = self.whole([" " + p for p in wanted] + firsts_wanted)
-        pieces.update(zip(wanted, found, strict=False))
-        pieces.update(dict.fromkeys(torn))
-        firsts.update(zip(firsts_wanted, found[len(wanted) :], strict=True))
-        out: list[bytes] = []
-        for k, t in enumerate(block):
-            ids = b""
-            if k not in odd:
-                cut = t.split(" ")
-                try:
-                    ids = firsts[cut[0]] + b"".join(map(pieces.__getitem__, cut[1:]))
-                except TypeError:  # a torn piece is None
-                    odd.add(k)
-            out.append(ids)
-        apart = sorted(odd)
-        for k, ids in zip(apart, self.whole([block[k] for k in apart]), strict=True):
-            out[k] = ids
-        return out
-
-
 @lru_cache(maxsize=2)
 def model(path: str) -> PairIndexBpe:
     return PairIndexBpe(path)
 
 
-@lru_cache(maxsize=2)
-def memo(path: str) -> PieceMemo:
-    return PieceMemo(model(path).whole, list(model(path).added))
-
-
 def _strings(bpe: PairIndexBpe, ids: list[bytes]) -> pa.Array:
     return pa.array([bpe.decode(np.frombuffer(x, "<i4").tolist()) for x in ids], pa.string())
 
@@ -229,15 +201,13 @@ def encode(rows: DataFrame, path: str, text: str = "text", into: str = "ids", de
 
     Columns of these names are replaced.
     """
+    ready(rows.sparkSession)
     new = [into] if decoded is None else [into, decoded]
     rows = rows.drop(*new)
-    # Batches of texts, not of numbers: ten thousand rows a batch are too many.
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, bpe = memo(path), model(path)
+        bpe = model(path)
         for batch in slices(batches, text, BLOCK_BYTES):
-            ids = encoder.encode(texts(batch.column(batch.schema.get_field_index(text))))
+            ids = bpe.encode(texts(batch.column(batch.schema.get_field_index(text))))
             offsets = np.append(0, np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)) // 4)).astype(np.int32)
             columns = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))]
             if decoded is not None:
@@ -250,6 +220,7 @@ def encode(rows: DataFrame, path: str, text: str = "text", into: str = "ids", de
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add ``into``, the text of the token ids; null ids give the empty text; a column of that name is replaced."""
+    ready(rows.sparkSession)
     rows = rows.drop(into)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
