@@ -1,30 +1,36 @@
 """Approximate nearest neighbours by inner product in a hierarchical k-means tree.
 
-The tree is fitted on the driver with at most ``SAMPLE`` vectors (chosen by a hash of the id): every node
-splits by k-means into ``BRANCH`` children until a leaf stands for about ``LEAF`` rows of the whole table,
-so the number of leaves follows the number of rows until the sample's size bounds it.  Every row goes to
+The tree is fitted on the driver with at most ``SAMPLE`` vectors (those with the smallest hashes of their ids): every
+node splits by k-means into ``BRANCH`` children until a leaf stands for about ``LEAF`` rows of the whole table or
+for ``LEAST`` sampled vectors, so the number of leaves grows with the table up to SAMPLE / LEAST.  Every row goes to
 the leaf reached by the nearest centre at each level.
 
 A query walks the tree best-bin-first: a priority queue holds subtrees by the inner product with their
-centres alone; leaves come out of the queue in that order.  How many leaves a query visits is calibrated:
-sampled queries are answered by brute force over the sample, and visits widen until ``RECALL`` of their
-true neighbours lie in visited leaves.
+centres, plus a weight times their reach (the distance of a subtree's farthest sampled vector from its centre)
+times the query's length.  How many leaves a query visits is calibrated: ``PROBES`` sampled vectors are answered by
+brute force over all rows, in one pass, and visits widen until ``RECALL`` of their true neighbours lie in
+visited leaves; of the weights in ``REACHES`` the one that needs the fewest visits is taken.
 
 Equal vectors are one point with its smallest ``k + 1`` ids, which are all that any answer can hold, so a
 vector that a third of the rows share costs one point; equal queries are answered once.  Neighbouring
 leaves form bundles of about ``BUNDLE`` points, larger ones are dealt in blocks; queries meet the blocks of
 their bundles and look at the leaves they visit, scores are double-precision inner products of the original
-vectors, and each block returns its best ``k + 1`` points, which the final top-k merges.
+vectors, and each block returns its best ``k + 1`` points, which the final top-k merges.  Tables with a row a bundle
+are broadcast: they have no more rows than the tree has leaves.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither
-do rows with a null id; vectors of another length than the most common one take no part; ties go to the
-smaller id; with fewer candidates than ``k`` all of them are returned; repeated ids count once each row.
+do rows with a null id; an inner product of vectors of unequal lengths does not exist, so of these only the most
+common length takes part; ties go to the smaller id; with fewer candidates than ``k`` all of them are returned;
+repeated ids count once each row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +39,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayquad.llm.common import pin, shared_dir, table
+from wayquad.llm.common import first, pin, ready, shared_dir, table
 
-SAMPLE, PROBES = 8192, 256
-BRANCH, LEAF, BUNDLE = 16, 192, 8192
-RECALL = 0.965
+SAMPLE, PROBES, LEAST = 32768, 128, 4
+BRANCH, LEAF, BUNDLE = 16, 192, 2048
+RECALL = 0.95
+REACHES = (0.0, 0.5)
 #: Queries that meet one block of a bundle in one task.
 QUERY_BLOCK = 4096
 
@@ -48,21 +55,21 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     for _ in range(rounds):
         own = np.argmax(x @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)
         kept, own = np.unique(own, return_inverse=True)
-        sums = np.zeros((len(kept), x.shape[1]))
-        np.add.at(sums, own, x)
-        centres = sums / np.bincount(own)[:, None]
+        size = np.bincount(own)
+        centres = np.add.reduceat(x[np.argsort(own, kind="stable")], np.cumsum(size) - size, axis=0) / size[:, None]
     own = np.argmax(x @ centres.T - 0.5 * (centres**2).sum(axis=1), axis=1)
     kept, own = np.unique(own, return_inverse=True)
     return centres[kept], own
 
 
 class Tree:
-    """Nodes hold child numbers (leaves: their leaf number), and the centres of their children."""
+    """Nodes hold child numbers (leaves: their leaf number), and the centres and reaches of their children."""
 
     def __init__(self, x: np.ndarray, per_leaf: float, seed: int = 11):
         rng = np.random.default_rng(seed)
         self.children: list[list[int] | None] = []
         self.centres: list[np.ndarray | None] = []
+        self.reaches: list[np.ndarray | None] = []
         self.leaf: list[int] = []
         self.n_leaves = 0
         self._grow(x, per_leaf, rng)
@@ -71,11 +78,13 @@ class Tree:
         me = len(self.children)
         self.children.append(None)
         self.centres.append(None)
+        self.reaches.append(None)
         self.leaf.append(-1)
         if len(x) > per_leaf:
             centres, own = kmeans(x, int(min(BRANCH, max(2, round(len(x) / per_leaf)))), rng)
             if len(centres) > 1:
                 self.centres[me] = centres
+                self.reaches[me] = np.array([np.linalg.norm(x[own == k] - c, axis=1).max() for k, c in enumerate(centres)])
                 self.children[me] = [self._grow(x[own == k], per_leaf, rng) for k in range(len(centres))]
                 return me
         self.leaf[me] = self.n_leaves
@@ -95,34 +104,61 @@ class Tree:
             todo += [(child, rows[own == k]) for k, child in enumerate(self.children[node]) if (own == k).any()]
         return out
 
-    def visit(self, q: np.ndarray, leaves: int) -> list[int]:
-        """The first ``leaves`` leaves in best-bin-first order."""
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < leaves:
+    def visit(self, q: np.ndarray, reach: float = 0.0) -> Iterator[int]:
+        """Leaves in best-bin-first order."""
+        queue, far = [(0.0, 0)], reach * float(np.linalg.norm(q))
+        while queue:
             _, node = heapq.heappop(queue)
             if self.children[node] is None:
-                out.append(self.leaf[node])
+                yield self.leaf[node]
                 continue
-            near = self.centres[node] @ q
+            near = self.centres[node] @ q + far * self.reaches[node]
             for child, s in zip(self.children[node], near.tolist(), strict=True):
                 heapq.heappush(queue, (-s, child))
-        return out
 
 
-def calibrate(tree: Tree, x: np.ndarray, probes: np.ndarray, k: int, recall: float = RECALL) -> int:
-    """The smallest number of visits, of widening steps, that finds ``recall`` of the probes' neighbours in ``x``."""
-    own = tree.assign(x)
-    order = [tree.visit(q, tree.n_leaves) for q in probes]
-    place = np.zeros((len(probes), tree.n_leaves), np.int64)
-    for row, visited in enumerate(order):
-        place[row, visited] = np.arange(len(visited))
-    near = probes @ x.T
-    best = np.argpartition(-near, min(k, len(x) - 1), axis=1)[:, : min(k + 1, len(x))]
-    needed = np.take_along_axis(place, own[best], axis=1)
-    visits = 1
-    while visits < tree.n_leaves and (needed < visits).mean() < recall:
-        visits = min(tree.n_leaves, max(visits + 1, int(visits * 1.1)))
-    return visits
+def calibrate(tree: Tree, probes: np.ndarray, leaves: list[list[int]], recall: float = RECALL) -> tuple[int, float]:
+    """The smallest number of visits that reaches ``recall`` of the true neighbours, which lie in ``leaves``, and its weight of the reach."""
+    best = (tree.n_leaves, REACHES[0])
+    for reach in REACHES:
+        places: list[int] = []
+        for q, wanted in zip(probes, leaves, strict=True):
+            left = Counter(wanted)
+            for place, leaf in enumerate(tree.visit(q, reach), 1):
+                places += [place] * left.pop(leaf, 0)
+                if not left:
+                    break
+        if places:
+            places.sort()
+            best = min(best, (max(1, places[min(len(places) - 1, math.ceil(recall * len(places)) - 1)]), reach))
+    return best
+
+
+def truth(placed: DataFrame, probes: np.ndarray, names: list[int], k: int) -> list[list[int]]:
+    """For each probe the leaves of its ``k`` nearest other points, by brute force over all points; tasks send ``k`` a probe."""
+    sent = placed.sparkSession.sparkContext.broadcast((probes, np.array(names)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        probes, names = sent.value
+        scores, points, leaves = (np.zeros((len(probes), 0), t) for t in (float, np.int64, np.int64))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            here = batch.column(0).to_numpy()
+            near = probes @ _matrix(batch.column(1)).T
+            near[names[:, None] == here[None, :]] = -np.inf
+            scores = np.concatenate((scores, near), axis=1)
+            points, leaves = (np.concatenate((old, np.broadcast_to(new, near.shape)), axis=1) for old, new in ((points, here), (leaves, batch.column(2).to_numpy())))
+            best = np.lexsort((points, -scores), axis=1)[:, :k]
+            scores, points, leaves = (np.take_along_axis(a, best, axis=1) for a in (scores, points, leaves))
+        row = np.repeat(np.arange(len(probes)), scores.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(scores.ravel()), pa.array(points.ravel()), pa.array(leaves.ravel())], names=["probe", "score", "point", "leaf"])
+
+    found = placed.select("point", "v", "leaf").mapInArrow(run, "probe long, score double, point long, leaf long").where("score > double('-inf')")
+    out: list[list[int]] = [[] for _ in names]
+    for r in _first(found, ["probe"], [F.desc("score"), "point"], k).select("probe", "leaf").collect():
+        out[r["probe"]].append(r["leaf"])
+    return out
 
 
 def usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -142,6 +178,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for every row that ``is_query`` (a Column of ``id``) picks."""
     spark = rows.sparkSession
+    ready(spark)
     shared_dir(spark)
     own = usable(rows, vec_id, embedding)
     # At most k + 1 ids of a point are kept, the rest before the shuffle: no answer holds more of them.
@@ -151,38 +188,38 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
     schema = "query_id long, rank int, vec_id long, score double"
     if not total:
         return spark.createDataFrame([], schema)
-    taken = points.select("point", "v").orderBy(F.xxhash64("point")).limit(SAMPLE + PROBES).collect()
-    x = np.array([r["v"] for r in taken])
+    taken = first(points.select("point", "v"), "point", SAMPLE + PROBES, total).toArrow().combine_chunks()
+    x, names = _matrix(taken.column("v").combine_chunks()), taken.column("point").to_pylist()
     cut = max(1, len(x) - min(PROBES, len(x) // 4))
-    tree = Tree(x[:cut], max(8.0, LEAF * cut / total))
-    visits = calibrate(tree, x[:cut], x[cut:] if len(x) > cut else x, k, recall)
-    model = spark.sparkContext.broadcast((tree, visits))
+    tree = Tree(x[:cut], max(float(LEAST), LEAF * cut / total))
+    grown = spark.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, _ = model.value
         for batch in batches:
-            leaf = tree.assign(_matrix(batch.column(1)))
+            leaf = grown.value.assign(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int64())], names=[*batch.schema.names, "leaf"])
 
+    points = pin(points.mapInArrow(place, "point long, v array<double>, ids array<long>, leaf long"))
+    visits, reach = calibrate(tree, x[cut:], truth(points, x[cut:], names[cut:], k), recall) if tree.n_leaves > 1 and cut < len(x) else (tree.n_leaves, 0.0)
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, visits = model.value
         for batch in batches:
-            leaves = [tree.visit(q, visits) for q in _matrix(batch.column(1))]
+            leaves = [list(islice(grown.value.visit(q, reach), visits)) for q in _matrix(batch.column(1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], names=[*batch.schema.names, "leaves"])
 
     # Neighbouring leaves form bundles of about BUNDLE points, so a query gets one list a bundle, not one a leaf.
     together = max(1, int(BUNDLE * tree.n_leaves / total))
-    placed = points.mapInArrow(place, "point long, v array<double>, ids array<long>, leaf long").withColumn("bundle", F.expr(f"leaf div {together}"))
+    placed = points.withColumn("bundle", F.expr(f"leaf div {together}"))
     size = pin(placed.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / (2 * BUNDLE)).cast("int").alias("blocks")))
-    placed = placed.join(size, "bundle").withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
+    placed = placed.join(F.broadcast(size), "bundle").withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
     asked = own.where(is_query(F.col("id"))).groupBy("v").agg(F.min("id").alias("q")).select("q", "v")
     visited = asked.mapInArrow(route, "q long, v array<double>, leaves array<long>")
     routed = visited.withColumn("bundle", F.explode(F.expr(f"array_distinct(transform(leaves, l -> l div {together}))")))
     routed = routed.withColumn("leaves", F.expr(f"filter(leaves, l -> l div {together} = bundle)"))
-    crowd = pin(routed.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts")).join(size, "bundle"))
+    crowd = pin(routed.groupBy("bundle").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts")).join(F.broadcast(size), "bundle"))
     # Every block of queries of a bundle meets every block of its points; both are spread by hash.
-    asking = routed.join(crowd, "bundle").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    offered = placed.join(crowd.select("bundle", "parts"), "bundle").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asking = routed.join(F.broadcast(crowd), "bundle").withColumn("part", F.pmod(F.xxhash64("q"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    offered = placed.join(F.broadcast(crowd.select("bundle", "parts")), "bundle").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     sides = asking.select("bundle", "block", "part", F.col("q").alias("key"), "v", "leaves", F.lit(None).cast("array<long>").alias("ids")).union(
         offered.select("bundle", "block", "part", F.lit(None).cast("long").alias("key"), "v", F.array("leaf").alias("leaves"), "ids")
     )
