@@ -35,12 +35,13 @@ def cases():
     return docs, items
 
 
-def test_against_brute_force_in_one_and_many_blocks(spark):
+def test_against_brute_force_in_one_and_many_blocks(spark, monkeypatch):
     docs, items = cases()
     want = brute(docs, items, 4)
     d = spark.createDataFrame([(*r, "clash") for r in docs], DOCS).repartition(3)
     b = spark.createDataFrame(items, "item_id string, text string")
-    for block in (100_000, 10):
+    for block, piece in ((100_000, 5_000), (10, 5_000), (12, 3)):
+        monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
         got = {r["doc_id"]: r["found"] for r in decontaminate.find(d, b, window=4, block_words=block).collect()}
         assert {k: (f["n_words"], f["n_hit"], f["items"]) for k, f in got.items()} == want
 
@@ -61,3 +62,17 @@ def test_clean_keeps_columns_and_empty_tables(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 2, 2]
     assert decontaminate.clean(d, b.limit(0)).count() == 4
     assert decontaminate.find(d.limit(0), b).collect() == []
+
+
+def test_query(spark, tmp_path):
+    docs, items = cases()
+    docs += [(200, " ".join(f"w{k}" for k in range(30))), (201, " ".join(f"w{k}" for k in range(9)))]
+    items += [("q", " ".join(f"W{k}," for k in range(5, 18)))]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = brute(docs, items, 10)
+    out = decontaminate.op5(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    for r in out.collect():
+        n, hit, names = want[r["doc_id"]]
+        assert tuple(r)[1:] == (n, hit, len(names), decontaminate.sha256_of(names), hit > 0)

@@ -5,12 +5,14 @@ separates words, all other characters belong to words.  A window is ``window`` c
 item; an item with fewer words is one window.  The automaton runs over word numbers, so a document is
 scanned once and a match gives word positions, which map to character offsets in the original text.
 
-Size bound: an automaton holds the windows of at most ``BLOCK_WORDS`` benchmark words.  A larger benchmark
-is cut into blocks by a hash of the item; a task then builds one block's automaton after the other for
-each slice of documents, so its memory is the same at every size and no window is left out.
+Size bound: an automaton holds the windows of about ``BLOCK_WORDS`` benchmark words, and only one block of the
+benchmark is collected and broadcast at a time.  Items longer than ``PIECE_WORDS`` are cut into pieces that overlap
+by a window less one word, so every window lies in one piece; pieces are dealt to blocks by hash.  A larger
+benchmark takes one pass over the documents a block, each written to the shared folder with what it has found so
+far.  Memory is the same at every size and no window is left out.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no window; a
-null item_id counts as the empty string; equal items count each; repeated documents are judged each;
+null item_id counts as the empty string; items with one item_id count once; repeated documents are judged each;
 an empty benchmark hits nothing.  Only the text column is read, other columns stay as they are.
 """
 
@@ -20,18 +22,17 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby, repeat
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayquad.llm.common import fresh, slices, table, texts
+from wayquad.llm.common import fresh, pin, ready, shared_dir, slices, table, texts
 
-BLOCK_WORDS = 100_000
+BLOCK_WORDS, PIECE_WORDS = 100_000, 5_000
 WINDOW = 10
 #: Byte by byte: a word's byte in its normal form, or a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -99,52 +100,102 @@ class Matcher:
             items.update(owners)
 
 
-_ready: dict[tuple[str, int], Matcher] = {}
+_ready: dict[str, Matcher] = {}
 
 
-def matcher(run: str, k: int, block: Broadcast, window: int) -> Matcher:
-    """The automaton of block ``k``; a worker keeps one at a time."""
-    if (run, k) not in _ready:
+def matcher(run: str, items: list[tuple[str, str]], window: int) -> Matcher:
+    """The automaton of a pass; a worker keeps one at a time."""
+    if run not in _ready:
         _ready.clear()
-        _ready[run, k] = Matcher(block.value, window)
-    return _ready[run, k]
+        _ready[run] = Matcher(items, window)
+    return _ready[run]
+
+
+def pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """name, body (normalised words) and their number, items of over ``PIECE_WORDS`` words in several rows."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "body"):
+            names, bodies, sizes = [], [], []
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                cut = words(body)
+                for low in range(0, max(1, len(cut) - window + 1), PIECE_WORDS):
+                    part = cut[low : low + PIECE_WORDS + window - 1]
+                    names.append(name)
+                    bodies.append(b" ".join(part).decode())
+                    sizes.append(len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.string()), pa.array(sizes, pa.int64())], names=["name", "body", "n"])
+
+    return items.mapInArrow(run, "name string, body string, n long")
+
+
+def ranges(hit: bytearray) -> list[dict[str, int]]:
+    """Runs of hit words as (start, end)."""
+    out, at = [], 0
+    for value, run in groupby(hit):
+        n = sum(1 for _ in run)
+        if value:
+            out.append({"start": at, "end": at + n})
+        at += n
+    return out
+
+
+STATE = "struct<items:array<string>,ranges:array<struct<start:int,end:int>>>"
+ARROW_RANGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+ARROW_STATE = pa.struct([("items", pa.list_(pa.string())), ("ranges", ARROW_RANGES)])
+ARROW_FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", ARROW_RANGES)])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, text: str = "text", into: str = "found") -> DataFrame:
     """Add ``into``: number of words, number of hit words, items (names as text, distinct) and hit spans; a column of that name is replaced."""
     docs = docs.drop(into)
     spark = docs.sparkSession
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), F.coalesce("text", F.lit("")).alias("body"))
-    # Words are at most half as many as bytes, and one more.
-    total = items.agg(F.sum(F.octet_length("body") / 2 + 1)).first()[0] or 0
-    n_blocks = max(1, -(-int(total) // (block_words * 2)))
-    blocks = []
+    ready(spark)
+    shared_dir(spark)
+    cut = pieces(benchmark, window)
+    n_blocks = max(1, -(-int(cut.agg(F.sum("n")).first()[0] or 0) // block_words))
+    cut = cut if n_blocks == 1 else pin(cut)
+    state, first = fresh(docs, "_state"), True
     for k in range(n_blocks):
-        chosen = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("name", "body"), F.lit(n_blocks)) == k)
-        blocks.append(spark.sparkContext.broadcast([(r["name"], r["body"]) for r in chosen.collect()]))
-
+        block = cut if n_blocks == 1 else cut.where(F.pmod(F.xxhash64("name", "body"), F.lit(n_blocks)) == k)
+        sent = spark.sparkContext.broadcast([(r["name"], r["body"]) for r in block.select("name", "body").collect()])
+        last = k == n_blocks - 1
+        docs = _scanned(docs, sent, window, text, state, into, first, last)
+        if not last:
+            docs, first = pin(docs), False
+            sent.destroy()
+    return docs
+
+
+def _scanned(docs: DataFrame, sent, window: int, text: str, state: str, into: str, first: bool, last: bool) -> DataFrame:
+    """One pass: add what the items of ``sent`` hit to the column ``state``, and make ``into`` of it in the last one."""
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
+            with_items = matcher(name, sent.value, window)
             bodies = texts(batch.column(batch.schema.get_field_index(text)))
-            cut = [words(x) for x in bodies]
-            hits = [bytearray(len(x)) for x in cut]
-            owners: list[set[str]] = [set() for _ in cut]
-            for k in range(n_blocks):
-                with_items = matcher(name, k, blocks[k], window)
-                for document, hit, owner in zip(cut, hits, owners, strict=True):
-                    own: set[int] = set()
-                    with_items.scan(document, hit, own)
-                    owner.update(with_items.names[i] for i in own)
-            result = [
-                {"n_words": len(document), "n_hit": sum(hit) if owner else 0, "items": sorted(owner), "spans": spans(body, hit) if owner else []}
-                for body, document, hit, owner in zip(bodies, cut, hits, owners, strict=True)
-            ]
-            kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(result, kind)], names=[*batch.schema.names, into])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, ADDED)]))
+            before = [None] * len(bodies) if first else batch.column(batch.schema.get_field_index(state)).to_pylist()
+            out = []
+            for body, old in zip(bodies, before, strict=True):
+                document = words(body)
+                hit, owner = bytearray(len(document)), set(old["items"]) if old else set()
+                for r in old["ranges"] if old else ():
+                    hit[r["start"] : r["end"]] = b"\x01" * (r["end"] - r["start"])
+                own: set[int] = set()
+                with_items.scan(document, hit, own)
+                owner.update(with_items.names[i] for i in own)
+                if last:
+                    out.append({"n_words": len(document), "n_hit": sum(hit) if owner else 0, "items": sorted(owner), "spans": spans(body, hit) if owner else []})
+                else:
+                    out.append({"items": sorted(owner), "ranges": ranges(hit) if owner else []})
+            kept = [c for c in batch.schema.names if c != state]
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, ARROW_FOUND if last else ARROW_STATE)], names=[*kept, into if last else state])
+
+    added = T.StructField(into, ADDED) if last else T.StructField(state, T._parse_datatype_string(STATE))
+    return docs.mapInArrow(run, T.StructType([*(f for f in docs.schema.fields if f.name != state), added]))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
