@@ -43,11 +43,13 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
 def place(rows: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float], order: Sequence[str] = ()) -> DataFrame:
     """Add ``shard``, ``grown_shard`` (the shard under ``grown`` weights) and the gapless ``slot`` in the shard.
 
-    Slots follow a hash of the key, then ``key`` and ``order``.  Columns of these three names are replaced.
+    Slots follow a hash of ``key`` and ``order``, so rows that repeat a key spread over the blocks, then these
+    columns themselves.  Columns of the three names are replaced.
     """
     rows = rows.drop(*({"shard", "grown_shard", "slot"} - {key, *order}))
     h, block, at, base = (fresh(rows, n) for n in ("_h", "_block", "_at", "_base"))
-    hashed = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":slot")).cast("binary"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, *order)]
+    hashed = F.md5(F.concat_ws(":", parts[0], F.lit("slot"), *parts[1:]).cast("binary"))
     here = rows.withColumns({"shard": rendezvous(F.col(key), weights), "grown_shard": rendezvous(F.col(key), grown), h: hashed})
     here = here.withColumn(block, F.substring(h, 1, BLOCK_DIGITS))
     counts = here.groupBy("shard", block).agg(F.count(F.lit(1)).alias("n"))
@@ -82,8 +84,7 @@ WITH RECURSIVE bits(i, c, k) AS (
 crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
 d AS (
   SELECT doc_id, coalesce(text, '') AS s, CASE WHEN text IS NULL THEN 1 ELSE strlen(text) + 1 END AS size,
-    {_sql_shard(8)} AS shard, {_sql_shard(9)} AS grown_shard,
-    md5(coalesce(doc_id::VARCHAR, '') || ':slot') AS h
+    {_sql_shard(8)} AS shard, {_sql_shard(9)} AS grown_shard
   FROM documents),
 e AS (
   SELECT d.*, CASE WHEN s = '' THEN 0 ELSE xor(4294967295, list_reduce(
@@ -91,6 +92,6 @@ e AS (
       lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]))) END AS text_crc32
   FROM d, crc)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
+  (row_number() OVER (PARTITION BY shard ORDER BY md5(coalesce(doc_id::VARCHAR, '') || ':slot:' || text_crc32 || ':' || size), doc_id, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
 FROM e
 """
