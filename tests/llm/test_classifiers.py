@@ -167,7 +167,7 @@ def test_votes_against_a_plain_version(spark):
     assert model.y.astype(int).tolist() == [y[k] for k, _ in known]
 
     def vector(text):
-        z = (quality.rates(quality.terms(text)[None]) * model.idf)[0] @ model.base
+        z = quality.rates(quality.terms(text)) @ model.base
         return z / max(np.linalg.norm(z), 1e-9)
 
     vectors = [vector(t) for _, t in known]

@@ -29,9 +29,9 @@ from pyspark.sql import types as T
 
 from wayquad.llm.common import ready, slices, table, texts
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 #: Bytes of text whose new pre-tokens are encoded together.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: The published byte-level pre-tokenizer pattern (fixed value).
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NO_RANK = np.int64(1) << 40

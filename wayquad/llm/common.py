@@ -13,12 +13,13 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayquad.session import pin, remove, shared_dir
 
-__all__ = ["crc_of_id", "first", "fresh", "pin", "python_crc_of_id", "ready", "remove", "shared_dir", "slices", "small", "table", "texts"]
+__all__ = ["crc_of_id", "first", "fresh", "pin", "python_crc_of_id", "ready", "remove", "shared_dir", "slices", "small", "table", "texts", "word_hashes"]
 
 #: Rows in an Arrow batch of texts, where the session does not say.
 BATCH_ROWS = 1000
@@ -59,6 +60,22 @@ def first(rows: DataFrame, key: str, limit: int, total: int) -> DataFrame:
     return rows.where(place < int(share * (1 << 30))).orderBy(place, key).limit(limit) if share < 1 else rows.orderBy(place, key).limit(limit)
 
 
+class WordHashes(dict):
+    """Hashes of words, kept up to a bound."""
+
+    LIMIT = 200_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
+#: One memory of words a worker, for all operators.
+word_hashes = WordHashes()
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """Unsigned crc32 of an id written as text."""
     return F.crc32(doc_id.cast("string").cast("binary"))
@@ -81,7 +98,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about ``max_bytes`` of ``column``, one row at least."""
     for batch in batches:
         if not batch.num_rows:

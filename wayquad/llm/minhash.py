@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayquad.llm.common import fresh, pin, ready, shared_dir, slices, small, table, texts
+from wayquad.llm.common import fresh, pin, ready, shared_dir, slices, small, table, texts, word_hashes
 
 K = 64
 #: Chance that a link shows fewer common retained values than asked for.
@@ -56,25 +56,12 @@ FACTOR = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.iinfo(np.uint64).max
 
 
-class WordHashes(dict):
-    """Hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = WordHashes()
-
-
 def shingles(text: str, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams; words end at ASCII white space, A-Z is lower-cased."""
     cut = text.encode().lower().split()
     if not cut:
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hashes.__getitem__, cut), np.uint64, len(cut))
+    w = np.fromiter(map(word_hashes.__getitem__, cut), np.uint64, len(cut))
     n = min(n, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for k in range(n):
@@ -135,7 +122,9 @@ def body_md5() -> Column:
 
 
 def inverted_lists(classes: DataFrame, k: int, share: float) -> DataFrame:
-    """(value, cls, hub): the lists of rare retained values that hold more than one class; hub is a list's smallest class."""
+    """(cls, near, lists): the inverted lists of rare retained values that hold a class and others, as an array of
+    value and hub, the list's smallest class; near is the smallest hub.
+    """
     need = F.expr("CASE " + " ".join(f"WHEN m = {s} THEN {needed(s, k, share)}" for s in range(1, k)) + f" ELSE {needed(k, k, share)} END")
     kept = classes.select("cls", F.explode("sketch").alias("value"))
     common = kept.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -146,7 +135,7 @@ def inverted_lists(classes: DataFrame, k: int, share: float) -> DataFrame:
     room = F.col("m") - need + 1 - (F.col("m") - F.size("v"))
     lists = by_class.withColumn("room", room).where("room > 0").select("cls", F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("x")).select("cls", F.col("x.value").alias("value"))
     hubs = lists.groupBy("value").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub < other").select("value", "hub")
-    return lists.join(hubs, "value").select("value", "cls", "hub")
+    return lists.join(hubs, "value").groupBy("cls").agg(F.min("hub").alias("near"), F.collect_list(F.struct("value", "hub")).alias("lists"))
 
 
 def contract(edges: DataFrame, parts: int) -> DataFrame:
@@ -306,7 +295,7 @@ def bodies(docs: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
 
 
 def zones(near: DataFrame) -> DataFrame:
-    """cls, zone, cell, sub and subs of classes (cls, grp, n_shingles, near), where near is the smallest class that a list leads to.
+    """cls, grp, zone, cell, sub and subs of classes (cls, grp, n_shingles, near), where near is the smallest class that a list leads to.
 
     The classes of one near are a cell.  A cell that is too large is cut into ``subs`` zones by hash; small cells
     of a group are put together, by a hash of near.
@@ -317,13 +306,14 @@ def zones(near: DataFrame) -> DataFrame:
     packs = cells.where("subs <= 1").groupBy("grp").agg(F.sum("c").alias("all"), F.sum("volume").alias("every")).select("grp", blocks("all", "every").alias("packs"))
     dealt = near.join(cells, ["grp", "near"]).join(packs, "grp", "left").withColumn("sub", F.pmod(F.xxhash64("cls"), F.col("subs")).cast("int"))
     zone = F.when(F.col("subs") > 1, F.concat_ws(":", F.lit("c"), "grp", "near", "sub")).otherwise(F.concat_ws(":", F.lit("p"), "grp", F.pmod(F.xxhash64("near"), F.col("packs"))))
-    return dealt.select("cls", zone.alias("zone"), F.concat_ws(":", "grp", "near").alias("cell"), "sub", "subs")
+    return dealt.select("cls", "grp", zone.alias("zone"), F.concat_ws(":", "grp", "near").alias("cell"), "sub", "subs")
 
 
 def links(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, k: int) -> DataFrame:
     """Confirmed links between classes that connect what the whole link graph connects."""
     entries = pin(inverted_lists(classes, k, num / den))
-    groups = components(entries.where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct())
+    pairs = entries.select(F.col("cls").alias("a"), F.explode("lists.hub").alias("b")).where("a <> b").distinct()
+    groups = components(pairs)
     groups = groups.join(classes.select(F.col("cls").alias("v"), "n_shingles", "name"), "v")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.sum("n_shingles").alias("volume"))
     single = (F.col("size") <= BLOCK) & (F.col("volume") <= 2 * VOLUME)
@@ -333,22 +323,28 @@ def links(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, k: in
     large = full.where("NOT single")
     if large.limit(1).count() == 0:
         return first
-    mine = entries.join(large.select("cls", "grp", "n_shingles"), "cls")
-    zone = pin(zones(mine.groupBy("cls", "grp", "n_shingles").agg(F.min("hub").alias("near"))))
-    zoned = pin(large.select("cls", "body").join(zone, "cls"))
+    zone = pin(zones(entries.select("cls", "near").join(large.select("cls", "grp", "n_shingles"), "cls")))
+    zoned = pin(large.select("cls", "body").join(zone.drop("grp"), "cls"))
     inside = zoned.select(F.col("zone").alias("task"), F.lit(-1).alias("side"), "cls", "body")
     cut = zoned.where("subs > 1")
     key = F.concat_ws(":", "cell", "sub").alias("task")
     hubs = cut.where("sub = 0").withColumn("sub", F.explode(F.sequence(F.lit(1), F.col("subs") - 1))).select(key, F.lit(0).alias("side"), "cls", "body")
     star = hubs.union(cut.where("sub > 0").select(key, F.lit(1).alias("side"), "cls", "body"))
     near = pin(confirm(inside, num, den, k).union(confirm(star, num, den, k)))
-    # Lists whose classes are all connected are done; of the others, zones with different components meet.
-    state = mine.select("value", "cls").join(zone.select("cls", "zone"), "cls").join(components(near).withColumnRenamed("v", "cls"), "cls", "left")
-    state = state.select("value", "cls", "zone", F.coalesce("root", "cls").alias("root"))
+    # The main component of each group needs no more comparisons inside.  Of the lists that hold other classes, those
+    # whose classes are all connected are done; in the others zones with different components meet.
+    member = pin(zone.select("cls", "grp", "zone").join(components(near).withColumnRenamed("v", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    main = member.groupBy("grp", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("grp").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    rest = pin(member.join(main, "grp").where("root <> main").select("cls"))
+    if rest.limit(1).count() == 0:
+        return first.union(near)
+    held = pin(entries.select("cls", "lists.value").join(member.select("cls", "zone", "root"), "cls"))
+    values = held.join(rest, "cls", "left_semi").select(F.explode("value").alias("value")).distinct()
+    state = held.select(F.explode("value").alias("value"), "cls", "zone", "root").join(values, "value", "left_semi")
     apart = state.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value")
     state = pin(state.join(apart, "value"))
-    held = state.groupBy("value", "zone").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    x, y = held.select("value", *(F.col(c).alias(f"x_{c}") for c in ("zone", "low", "high"))), held.select("value", *(F.col(c).alias(f"y_{c}") for c in ("zone", "low", "high")))
+    sides = state.groupBy("value", "zone").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    x, y = sides.select("value", *(F.col(c).alias(f"x_{c}") for c in ("zone", "low", "high"))), sides.select("value", *(F.col(c).alias(f"y_{c}") for c in ("zone", "low", "high")))
     met = x.join(y, "value").where("x_zone < y_zone AND NOT (x_low = x_high AND y_low = y_high AND x_low = y_low)").select("x_zone", "y_zone").distinct()
     met = pin(met.withColumn("task", F.concat_ws("/", "x_zone", "y_zone")))
     part = zoned.select("cls", "zone", "body").join(state.select("cls").distinct(), "cls", "left_semi")

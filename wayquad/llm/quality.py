@@ -24,12 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayquad.llm.common import crc_of_id, fresh, ready, shared_dir, slices, table, texts
+from wayquad.llm.common import crc_of_id, fresh, ready, shared_dir, slices, table, texts, word_hashes
 from wayquad.llm.labelled import learn_rows, sample, usable
 
 PER_CLASS = (1000, 2000)
@@ -46,19 +45,6 @@ REPEATED = 4.0
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """Hashes of words, kept up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-_hashes = WordHashes()
-
-
 def terms(text: str) -> np.ndarray:
     """Counts of the terms of a text."""
     raw = text.encode()
@@ -68,7 +54,7 @@ def terms(text: str) -> np.ndarray:
         out[:RUNS] = np.bincount((kinds[:-2] * 16 + kinds[1:-1]) * 16 + kinds[2:], minlength=RUNS)
     cut = raw.lower().split()
     if cut:
-        w = np.fromiter(map(_hashes.__getitem__, cut), np.uint64, len(cut))
+        w = np.fromiter(map(word_hashes.__getitem__, cut), np.uint64, len(cut))
         out[RUNS : RUNS + WORDS] = np.bincount((w % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
         two = w[:-1] * FACTOR ^ w[1:]
         three = two[:-1] * FACTOR ^ w[2:]
@@ -77,12 +63,13 @@ def terms(text: str) -> np.ndarray:
 
 
 def rates(counts: np.ndarray) -> np.ndarray:
-    """Logarithms of rates: runs a thousand runs, the other terms a hundred words."""
-    runs, words = counts[:, :RUNS], counts[:, RUNS : RUNS + WORDS]
-    n = np.maximum(words.sum(axis=1, keepdims=True), 1)
-    return np.concatenate(
-        (np.log1p(runs * (1000 / np.maximum(runs.sum(axis=1, keepdims=True), 1))), np.log1p(words * (100 / n)), REPEATED * np.log1p(counts[:, RUNS + WORDS :] * (100 / n))), axis=1
-    )
+    """Logarithms of the rates of a text's terms: runs a thousand runs, the other terms a hundred words."""
+    runs, words = max(counts[:RUNS].sum(), 1), max(counts[RUNS : RUNS + WORDS].sum(), 1)
+    out = np.zeros(TERMS)
+    there = np.flatnonzero(counts)
+    out[there] = np.log1p(counts[there] * np.where(there < RUNS, 1000 / runs, 100 / words))
+    out[RUNS + WORDS :] *= REPEATED
+    return out
 
 
 def directions(m: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
@@ -106,23 +93,30 @@ class Model:
         taken = np.array([(y == 0).sum(), (y == 1).sum()])
         self.stands = (totals / np.maximum(taken, 1))[y]
         weighted = np.empty(counts.shape, np.float32)
-        for low in range(0, len(counts), 256):
-            weighted[low : low + 256] = rates(counts[low : low + 256].astype(float)) * self.idf
+        for k, own in enumerate(counts):
+            weighted[k] = rates(own) * self.idf
         self.base = directions(weighted, min(RANK, *weighted.shape)).astype(float)
         del weighted
-        self.vectors = np.concatenate([self._vectors(counts[low : low + BLOCK].astype(float)) for low in range(0, len(counts), BLOCK)])
+        self.base *= self.idf[:, None]
+        self.vectors = np.array([self._vector(own) for own in counts])
 
-    def _vectors(self, counts: np.ndarray) -> np.ndarray:
-        full = np.zeros((BLOCK, TERMS))
-        full[: len(counts)] = counts
-        z = ((rates(full) * self.idf) @ self.base)[: len(counts)]
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)
+    def _vector(self, counts: np.ndarray) -> np.ndarray:
+        """A unit vector from the terms that occur."""
+        r = rates(counts)
+        there = np.flatnonzero(r)
+        z = (r[there, None] * self.base[there]).sum(axis=0)
+        return z / max(np.sqrt((z * z).sum()), 1e-9)
 
     def _voted(self, block: list[str]) -> np.ndarray:
         z = np.zeros((BLOCK, self.base.shape[1]))
-        z[: len(block)] = self._vectors(np.array([terms(t) for t in block]))
+        z[: len(block)] = [self._vector(terms(t)) for t in block]
         near = (z @ self.vectors.T)[: len(block)].round(9)
-        best = np.argsort(-near, axis=1, kind="stable")[:, :NEIGHBOURS]
+        k = min(NEIGHBOURS, len(self.y))
+        # All above the k-th similarity, and the first of those that equal it.
+        edge = -np.partition(-near, k - 1, axis=1)[:, k - 1 : k]
+        above, equal = near > edge, near == edge
+        chosen = above | (equal & (np.cumsum(equal, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        best = np.nonzero(chosen)[1].reshape(-1, k)
         weight = np.maximum(np.take_along_axis(near, best, axis=1), 0) ** POWER * self.stands[best]
         total = weight.sum(axis=1)
         voted = (weight * self.y[best]).sum(axis=1) / np.maximum(total, 1e-12)

@@ -41,11 +41,11 @@ PER_CLASS = (3000, 3000)
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
 #: Runs of a text that are looked at together.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: A task that counts gives its counts away when it holds so many entries.
-COUNT_ROWS = 2_000_000
+COUNT_ROWS = 500_000
 #: Entries of a worker's memory of runs.
-MEMO = 1 << 20
+MEMO = 1 << 18
 SEPARATORS = bytes(b if chr(b).isalnum() or b >= 128 else 32 for b in range(256))
 HALVES = ("n00", "n01", "n10", "n11")  # half, class
 
