@@ -127,14 +127,16 @@ def inverted_lists(classes: DataFrame, k: int, share: float) -> DataFrame:
     """
     need = F.expr("CASE " + " ".join(f"WHEN m = {s} THEN {needed(s, k, share)}" for s in range(1, k)) + f" ELSE {needed(k, k, share)} END")
     kept = classes.select("cls", F.explode("sketch").alias("value"))
-    common = kept.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # Tables with a row a value are written before rows are joined to them, so that hot values can be split.
+    common = pin(kept.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     # Values of one class only come first in the order from rare to common and tie nothing.
     shared = kept.join(common, "value")
     by_class = shared.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v"))
     by_class = by_class.join(classes.select("cls", F.least("n_shingles", F.lit(k)).cast("int").alias("m")), "cls")
     room = F.col("m") - need + 1 - (F.col("m") - F.size("v"))
-    lists = by_class.withColumn("room", room).where("room > 0").select("cls", F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("x")).select("cls", F.col("x.value").alias("value"))
-    hubs = lists.groupBy("value").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub < other").select("value", "hub")
+    lists = by_class.withColumn("room", room).where("room > 0").select("cls", F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("x"))
+    lists = pin(lists.select("cls", F.col("x.value").alias("value")))
+    hubs = pin(lists.groupBy("value").agg(F.min("cls").alias("hub"), F.max("cls").alias("other")).where("hub < other").select("value", "hub"))
     return lists.join(hubs, "value").groupBy("cls").agg(F.min("hub").alias("near"), F.collect_list(F.struct("value", "hub")).alias("lists"))
 
 
@@ -341,7 +343,7 @@ def links(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, k: in
     held = pin(entries.select("cls", "lists.value").join(member.select("cls", "zone", "root"), "cls"))
     values = held.join(rest, "cls", "left_semi").select(F.explode("value").alias("value")).distinct()
     state = held.select(F.explode("value").alias("value"), "cls", "zone", "root").join(values, "value", "left_semi")
-    apart = state.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value")
+    apart = pin(state.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value"))
     state = pin(state.join(apart, "value"))
     sides = state.groupBy("value", "zone").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     x, y = sides.select("value", *(F.col(c).alias(f"x_{c}") for c in ("zone", "low", "high"))), sides.select("value", *(F.col(c).alias(f"y_{c}") for c in ("zone", "low", "high")))
