@@ -64,7 +64,7 @@ def without_spark(docs, labels, items):
         return found, np.array([sum(r[1] == 0 for r in found), sum(r[1] == 1 for r in found)])
 
     found, totals = rows(0, 5, 0)
-    scores = quality.Model(np.array([quality.terms(r[2]) for r in found]), np.array([r[1] for r in found]), totals).scores([t or "" for _, t in docs])
+    scores = quality.Model([quality.sparse(quality.terms(r[2])) for r in found], np.array([r[1] for r in found]), totals).scores([t or "" for _, t in docs])
     docs = [d for d, s in zip(docs, scores, strict=True) if s >= 0.3]
     docs = [d for d, s in zip(docs, toxic_scores(docs, *rows(1, 4, 2)), strict=True) if s < 0.3]
     sets = {}

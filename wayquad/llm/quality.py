@@ -20,7 +20,7 @@ labelled id with several texts is learnt with the smallest of them; repeated row
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +62,17 @@ def terms(text: str) -> np.ndarray:
     return out
 
 
+def sparse(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.flatnonzero(counts).astype(np.int32)
+    return at, counts[at]
+
+
+def dense(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    out = np.zeros(TERMS)
+    out[at] = counts
+    return out
+
+
 def rates(counts: np.ndarray) -> np.ndarray:
     """Logarithms of the rates of a text's terms: runs a thousand runs, the other terms a hundred words."""
     runs, words = max(counts[:RUNS].sum(), 1), max(counts[RUNS : RUNS + WORDS].sum(), 1)
@@ -82,23 +93,23 @@ def directions(m: np.ndarray, rank: int, seed: int = 7) -> np.ndarray:
 
 
 class Model:
-    """Labelled vectors; ``counts`` are the terms of the sampled texts, in the order of their ids."""
+    """Labelled vectors; ``rows`` are the terms that occur in the sampled texts and their counts, in the order of ids."""
 
-    def __init__(self, counts: np.ndarray, y: np.ndarray, totals: np.ndarray):
+    def __init__(self, rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, totals: np.ndarray):
         self.share = float(totals[1] / totals.sum()) if totals.sum() else 0.0
         self.y = y.astype(float)
         if not len(y):
             return
-        self.idf = np.log((1 + len(y)) / (1 + (counts > 0).sum(axis=0))) + 0.2
+        self.idf = np.log((1 + len(y)) / (1 + np.bincount(np.concatenate([at for at, _ in rows]), minlength=TERMS))) + 0.2
         taken = np.array([(y == 0).sum(), (y == 1).sum()])
         self.stands = (totals / np.maximum(taken, 1))[y]
-        weighted = np.empty(counts.shape, np.float32)
-        for k, own in enumerate(counts):
-            weighted[k] = rates(own) * self.idf
+        weighted = np.zeros((len(rows), TERMS), np.float32)
+        for k, row in enumerate(rows):
+            weighted[k] = rates(dense(*row)) * self.idf
         self.base = directions(weighted, min(RANK, *weighted.shape)).astype(float)
         del weighted
         self.base *= self.idf[:, None]
-        self.vectors = np.array([self._vector(own) for own in counts])
+        self.vectors = np.array([self._vector(dense(*row)) for row in rows])
 
     def _vector(self, counts: np.ndarray) -> np.ndarray:
         """A unit vector from the terms that occur."""
@@ -136,20 +147,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            out = []
-            for t in texts(batch.column(2)):
-                counts = terms(t)
-                at = np.flatnonzero(counts)
-                out.append((at.astype(np.int32), counts[at]))
+            out = [sparse(terms(t)) for t in texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a for a, _ in out], pa.list_(pa.int32())), pa.array([n for _, n in out], pa.list_(pa.float64()))], names=["doc_id", "y", "term", "n"])
 
     # One text an id, so at most sum(per_class) rows of at most TERMS numbers reach the driver.
     chosen = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(sample(found, totals, per_class)), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, term array<int>, n array<double>").orderBy("doc_id").toArrow()
-    counts = np.zeros((rows.num_rows, TERMS), np.float32)
-    for k, (at, n) in enumerate(zip(rows.column("term"), rows.column("n"), strict=True)):
-        counts[k, at.values.to_numpy()] = n.values.to_numpy()
-    return Model(counts, rows.column("y").to_numpy().astype(int), totals)
+    found = [(at.values.to_numpy(), n.values.to_numpy()) for at, n in zip(rows.column("term"), rows.column("n"), strict=True)]
+    return Model(found, rows.column("y").to_numpy().astype(int), totals)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
