@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
@@ -63,7 +65,7 @@ def first(rows: DataFrame, key: str, limit: int, total: int) -> DataFrame:
 class WordHashes(dict):
     """Hashes of words, kept up to a bound."""
 
-    LIMIT = 200_000
+    LIMIT = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.LIMIT:
@@ -93,13 +95,22 @@ def fresh(rows: DataFrame, name: str) -> str:
     return name
 
 
+def trim() -> None:
+    """Return freed memory to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     """Texts of an Arrow column, null as the empty text."""
     return ["" if x is None else x for x in column.to_pylist()]
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that a slice holds about ``max_bytes`` of ``column``, one row at least."""
+    """Cut Arrow batches so that a slice holds about ``max_bytes`` of ``column``, one row at least.
+
+    At the end a worker gives the memory back that it has freed, since it lives on for other stages.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -109,3 +120,4 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 2 <<
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield batch.slice(a, b - a)
+    trim()

@@ -341,10 +341,10 @@ def links(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int, k: in
     if rest.limit(1).count() == 0:
         return first.union(near)
     held = pin(entries.select("cls", "lists.value").join(member.select("cls", "zone", "root"), "cls"))
-    values = held.join(rest, "cls", "left_semi").select(F.explode("value").alias("value")).distinct()
-    state = held.select(F.explode("value").alias("value"), "cls", "zone", "root").join(values, "value", "left_semi")
+    values = pin(held.join(rest, "cls", "left_semi").select(F.explode("value").alias("value")).distinct())
+    state = held.select(F.explode("value").alias("value"), "cls", "zone", "root").join(small(values, values.count(), 32), "value", "left_semi")
     apart = pin(state.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("value"))
-    state = pin(state.join(apart, "value"))
+    state = pin(state.join(small(apart, apart.count(), 32), "value"))
     sides = state.groupBy("value", "zone").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     x, y = sides.select("value", *(F.col(c).alias(f"x_{c}") for c in ("zone", "low", "high"))), sides.select("value", *(F.col(c).alias(f"y_{c}") for c in ("zone", "low", "high")))
     met = x.join(y, "value").where("x_zone < y_zone AND NOT (x_low = x_high AND y_low = y_high AND x_low = y_low)").select("x_zone", "y_zone").distinct()
