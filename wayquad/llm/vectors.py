@@ -15,7 +15,7 @@ Equal vectors are one point with its smallest ``k + 1`` ids, which are all that
 vector that a third of the rows share costs one point; equal queries are answered once.  Neighbouring
 leaves form bundles of about ``BUNDLE`` points, larger ones are dealt in blocks; queries meet the blocks of
 their bundles and look at the leaves they visit, scores are double-precision inner products of the original
-vectors, and each block returns its best ``k + 1`` points, which the final top-k merges.  Tables with a row a bundle
+vectors, and each block returns its best ``k + 1`` ids, which the final top-k merges.  Tables with a row a bundle
 are broadcast: they have no more rows than the tree has leaves.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, neither
@@ -228,7 +228,7 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
         keys = group.column("key").combine_chunks()
         wanted = keys.is_valid()
         queries, there = group.filter(wanted), group.filter(pc.invert(wanted))
-        out: dict[str, list] = {"q": [], "ids": [], "score": []}
+        out: list[dict] = []
         if queries.num_rows and there.num_rows:
             q, v = _matrix(queries.column("v").combine_chunks()), _matrix(there.column("v").combine_chunks())
             ids = there.column("ids").to_pylist()
@@ -241,15 +241,13 @@ def search(rows: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embed
                 for row, scores in enumerate(near):
                     seen = np.flatnonzero(np.isin(leaves, wanted_leaves[low + row])[leaf])
                     best = seen[_best(scores[seen], first[seen], k + 1)]
-                    out["q"] += [names[low + row]] * len(best)
-                    out["ids"] += [ids[b] for b in best]
-                    out["score"] += scores[best].tolist()
-        return pa.table({"q": pa.array(out["q"], pa.int64()), "ids": pa.array(out["ids"], pa.list_(pa.int64())), "score": pa.array(out["score"], pa.float64())})
-
-    found = sides.groupBy("bundle", "block", "part").applyInArrow(meet, "q long, ids array<long>, score double")
-    best = _first(found.withColumn("first", F.col("ids")[0]), ["q"], [F.desc("score"), "first"], k + 1)
-    nearest = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("m"), i.alias("id")))
-    listed = best.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list(nearest))), 1, k + 1).alias("near"))
+                    listed = sorted((-s, i) for b, s in zip(best.tolist(), scores[best].tolist(), strict=True) for i in ids[b])[: k + 1]
+                    out.append({"q": names[low + row], "near": [{"m": m, "id": i} for m, i in listed]})
+        return pa.Table.from_pylist(out, pa.schema([("q", pa.int64()), ("near", pa.list_(pa.struct([("m", pa.float64()), ("id", pa.int64())])))]))
+
+    # One row a query and block, with the best k + 1 ids of the block.
+    found = sides.groupBy("bundle", "block", "part").applyInArrow(meet, "q long, near array<struct<m:double,id:long>>")
+    listed = found.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     answers = own.where(is_query(F.col("id"))).join(asked.withColumnRenamed("v", "qv"), F.col("v") == F.col("qv")).select(F.col("id").alias("query_id"), "q").join(listed, "q")
     others = answers.select("query_id", F.slice(F.filter("near", lambda n: n["id"] != F.col("query_id")), 1, k).alias("near"))
     ranked = others.select("query_id", F.posexplode("near").alias("pos", "n"))
