@@ -56,7 +56,7 @@ def test_encode_and_decode_as_the_library(spark, library):
 
 
 def test_memory_that_is_emptied_changes_nothing(library, monkeypatch):
-    monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
+    monkeypatch.setattr(bpe.Cutter, "limit", 3)
     model = bpe.PairIndexBpe(PATH)
     for _ in range(3):
         for t in TEXTS[1:]:

@@ -9,7 +9,9 @@ A dataset is a folder with three files a part and a manifest:
   ``nameless`` documents of a part have no id, and 0 stands for it;
 - ``manifest.json``: width, and for each part its names, documents, nameless documents, ids and base (ids before it).
 
-Every whole text goes through the tokenizers library.  Documents are dealt to parts of about ``PART_BYTES`` by
+Whole texts are cut into pre-tokens by the file's own pattern (as ``bpe`` does, which refuses files with other
+settings), and every distinct pre-token that a worker does not know yet goes through the tokenizers library; no token
+spans two pre-tokens, so the ids of a text are those that the library gives to all of it.  Documents are dealt to parts of about ``PART_BYTES`` by
 ranges of (doc_id, a checksum of the text), so one id with many texts spreads, and sorted inside.  A part is
 written once, under a name that no other attempt has, and reported with its counts; the driver turns the counts
 of the parts (not of documents) into bases by a prefix sum and lists in the manifest just the parts that were
@@ -27,6 +29,7 @@ import json
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -37,24 +40,60 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayquad.llm.bpe import vocabulary
+from wayquad.llm.bpe import Cutter, vocabulary
 from wayquad.llm.common import pin, ready, remove, shared_dir, slices, table, texts
 
 #: Bytes of text in a part, about.
 PART_BYTES = 16 << 20
 END = 2
+#: Pre-tokens that go to the library as one text.
+JOINED = 512
+
+
+class LibraryEncoder(Cutter):
+    """A file of the tokenizers library, without its truncation and padding."""
+
+    limit = 700_000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker uses one core
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            super().__init__(json.load(file))
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        # A character of a byte-level token stands for one byte.
+        self.sizes = np.zeros(1 + max(vocab.values()), np.int64)
+        self.sizes[list(vocab.values())] = list(map(len, vocab))
+
+    def words(self, distinct: list[str]) -> list[bytes]:
+        """Ids of pre-tokens.
+
+        Those that begin with a space and a character that is none go to the library many at a time: beginnings like
+        these are pre-token borders, and the ids are cut where the bytes of a word end.
+        """
+        out: list[bytes] = [b""] * len(distinct)
+        together = [k for k, w in enumerate(distinct) if w[0] == " " and w[1:2] and not w[1].isspace()]
+        apart = sorted(set(range(len(distinct))).difference(together))
+        for low in range(0, len(together), JOINED):
+            own = together[low : low + JOINED]
+            ids = np.array(self.tokenizer.encode("".join([distinct[k] for k in own]), add_special_tokens=False).ids, "<i4")
+            ends = np.cumsum([len(distinct[k].encode()) for k in own])
+            stops = ((np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            for k, i, j in zip(own, [0, *stops], stops, strict=False):
+                out[k] = raw[i:j]
+        for k, e in zip(apart, self.tokenizer.encode_batch_fast([distinct[k] for k in apart], add_special_tokens=False), strict=True):
+            out[k] = array("i", e.ids).tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
-def library(path: str):
-    """A tokenizers library file without its truncation and padding."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker uses one core
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+def library(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
 def store(folder: str) -> tuple[fs.FileSystem, str]:
@@ -74,8 +113,8 @@ class PartWriter:
         self.ids = self.files.open_output_stream(f"{root}/{self.name}.bin")
         self.root, self.sizes, self.keys = root, [], []
 
-    def add(self, key: int | None, ids: list[int]) -> None:
-        self.ids.write(np.array(ids, self.kind).tobytes())
+    def add(self, key: int | None, ids: np.ndarray) -> None:
+        self.ids.write(ids.astype(self.kind).tobytes())
         self.sizes.append(len(ids))
         self.keys.append(key)
 
@@ -102,13 +141,12 @@ def write(docs: DataFrame, folder: str, path: str, end: int | None = END, parts:
     files.create_dir(root, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, part = library(path), None
-        tail = [] if end is None else [end]
-        for batch in slices(batches, "text"):
+        encoder, part = library(path), None
+        tail = np.array([] if end is None else [end], "<i4").tobytes()
+        for batch in slices(batches, "text", 4 << 20):
             part = part or PartWriter(folder, kind, batch.column(2)[0].as_py())
-            encoded = tokenizer.encode_batch_fast(texts(batch.column(1)), add_special_tokens=False)
-            for key, found in zip(batch.column(0).to_pylist(), encoded, strict=True):
-                part.add(key, found.ids + tail)
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts(batch.column(1))), strict=True):
+                part.add(key, np.frombuffer(ids + tail, "<i4"))
         if part:
             yield pa.RecordBatch.from_pylist([part.close()], pa.schema([("name", pa.string()), *((c, pa.int64()) for c in ("part", "documents", "nameless", "ids"))]))
 

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from wayquad.llm.common import ready, slices, table, texts
 
-MEMO_WORDS = 250_000
+MEMO_WORDS = 150_000
 #: Bytes of text whose new pre-tokens are encoded together.
 BLOCK_BYTES = 4 << 20
 #: The published byte-level pre-tokenizer pattern (fixed value).
@@ -59,20 +59,51 @@ def check(spec: dict) -> None:
         raise ValueError(f"a tokenizer file with settings that are not followed: {', '.join(wrong)}")
 
 
-class PairIndexBpe:
+class Cutter:
+    """Whole texts by way of their distinct pre-tokens; ``words`` of a subclass encodes these, ``limit`` bounds the memory."""
+
+    limit = MEMO_WORDS
+
+    def __init__(self, spec: dict):
+        check(spec)
+        self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.pre = regex.compile(PRE_TOKENS)
+        self.known: dict[str, bytes] = {}
+
+    def words(self, distinct: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def segments(self, parts: list[str]) -> list[bytes]:
+        """The ids of texts that hold no added token, as the bytes of int32 values."""
+        cut = [self.pre.findall(p) for p in parts]
+        if len(self.known) > self.limit:
+            self.known = {}
+        known = self.known
+        new = list(set().union(*cut).difference(known))
+        known.update(zip(new, self.words(new), strict=True))
+        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
+
+    def encode(self, block: list[str]) -> list[bytes]:
+        """The ids of any texts."""
+        if self.splitter is None or not any(a in t for a in self.added for t in block):
+            return self.segments(block)
+        cut = [self.splitter.split(t) for t in block]
+        plain = iter(self.segments([x for c in cut for x in c[::2]]))
+        return [b"".join([next(plain) if k % 2 == 0 else np.array([self.added[x]], "<i4").tobytes() for k, x in enumerate(c)]) for c in cut]
+
+
+class PairIndexBpe(Cutter):
     """The merges and the vocabulary of a tokenizer file, applied by a pair occurrence index."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        check(spec)
+        super().__init__(spec)
         vocab = spec["model"]["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         alphabet = byte_alphabet()
         back = {c: b for b, c in enumerate(alphabet)}
-        self.added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
-        self.splitter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.pre = regex.compile(PRE_TOKENS)
         self.size = 1 + max([*vocab.values(), *self.added.values()])
         self.byte_ids = np.array([vocab[c] for c in alphabet], dtype=np.int64)
         self.left = np.array([vocab[a] for a, _ in merges], dtype=np.int64)
@@ -86,14 +117,14 @@ class PairIndexBpe:
             self.bytes_of[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
         for token, i in self.added.items():
             self.bytes_of[i] = token.encode()
-        self.known: dict[str, bytes] = {}
 
-    def words(self, distinct: list[bytes]) -> list[bytes]:
+    def words(self, distinct: list[str]) -> list[bytes]:
         """The ids of each word, as the bytes of int32 values."""
         if not distinct:
             return []
-        sizes = np.fromiter(map(len, distinct), np.int64, len(distinct))
-        symbols = self.byte_ids[np.frombuffer(b"".join(distinct), dtype=np.uint8)]
+        raw = [w.encode() for w in distinct]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        symbols = self.byte_ids[np.frombuffer(b"".join(raw), dtype=np.uint8)]
         n = len(symbols)
         symbols = np.append(symbols, 0)
         ends = np.cumsum(sizes)
@@ -165,24 +196,6 @@ class PairIndexBpe:
         stops = np.cumsum(np.add.reduceat(kept, ends - sizes)) * 4
         return [ids[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
 
-    def segments(self, parts: list[str]) -> list[bytes]:
-        """The ids of texts that hold no added token, as the bytes of int32 values."""
-        cut = [self.pre.findall(p) for p in parts]
-        if len(self.known) > MEMO_WORDS:
-            self.known = {}
-        known = self.known
-        new = [w for w in set().union(*cut) if w not in known]
-        known.update(zip(new, self.words([w.encode() for w in new]), strict=True))
-        return [b"".join(map(known.__getitem__, ws)) for ws in cut]
-
-    def encode(self, block: list[str]) -> list[bytes]:
-        """The ids of any texts."""
-        if self.splitter is None or not any(a in t for a in self.added for t in block):
-            return self.segments(block)
-        cut = [self.splitter.split(t) for t in block]
-        plain = iter(self.segments([x for c in cut for x in c[::2]]))
-        return [b"".join([next(plain) if k % 2 == 0 else np.array([self.added[x]], "<i4").tobytes() for k, x in enumerate(c)]) for c in cut]
-
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
