@@ -193,6 +193,8 @@ def test_augmentation(spark):
     again = augment.augment(many.repartition(3), 0.5)
     assert made.exceptAll(again).count() == 0
     assert 250 < made.count() < 350
+    assert augment.augment(many, 3.0).count() == 800
+    assert augment.augment(many, 3.0).select("tid").distinct().count() == 800
     walked = augment.synthetic(spark, 50, (0.0, 0.0, 10.0, 5.0))
     assert walked.where("size(points) < 10 OR size(points) > 49 OR exists(points, p -> p.x < 0 OR p.x > 10 OR p.y < 0 OR p.y > 5)").count() == 0
 
@@ -210,6 +212,21 @@ def test_text_formats_and_files(spark, tmp_path):
     assert [len(r["points"]) for r in src.parse_raw(raw).collect()] == [2]
     with pytest.raises(ValueError, match="unknown format"):
         src.to_lines(t, "shape")
+    named = t.withColumns({"oid": F.concat(F.lit("car"), "tid"), "seg": F.lit("7")})
+    for kind in ("txt", "geojson", "wkt"):
+        path = str(tmp_path / f"named.{kind}")
+        src.to_lines(named, kind).write.text(path)
+        assert {(r["tid"], r["oid"], r["seg"]) for r in src.read_lines(spark, path).collect()} == {(k, f"car{k}", "7") for k in range(20)}
+    src.to_lines(t, "raw").write.text(str(tmp_path / "parts"))
+    assert src.read_lines(spark, str(tmp_path / "parts/part-*")).count() == 20
+    with pytest.warns(UserWarning, match="unknown suffix"):
+        assert src.format_of("x.dat") == "txt"
+    with open(tmp_path / "few.txt", "w") as file:
+        file.write("bad\n" + "".join(f"{k}|a|0|1,2;3,{k}\n#\n" for k in range(50)))
+    assert [r["tid"] for r in src.read_first(spark, str(tmp_path / "few.txt"), 3).collect()] == [0, 1, 2]
+    assert src.read_or_make(spark, None, 5, (0.0, 0.0, 1.0, 1.0)).count() == 5
+    heads = spark.createDataFrame([("12-12_3-MULTIPOINT Z((1 2 3))",), ("x",)], "value string").select(src.identifier().alias("i")).collect()
+    assert [tuple(r["i"]) for r in heads] == [("12", 3), ("unknown", 0)]
 
 
 def test_reports(spark):
@@ -243,7 +260,7 @@ def test_learning_helpers():
     assert learn.weight(0.2, 1, 10) == pytest.approx(0.2)
     assert learn.weight(0.2, 11, 10) == pytest.approx(1.0)
     assert learn.action_limit(0, 2, 1, 1, 5) is None
-    assert [learn.action_limit(4, 2, 0.5, e, 4) for e in (1, 5, 9)] == [8, 2, 2]
+    assert [learn.action_limit(4, 2, 0.5, e, 4) for e in (0, 2, 4, 9)] == [8, 5, 2, 2]
     stop = learn.EarlyStop(patience=2, min_delta=0.1, max_negative=3)
     assert [stop.update(s) for s in (1.0, 1.05, 2.0, 2.0, 2.05)] == [False, False, False, False, True]
 

@@ -53,7 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         chosen = partition.choose(partition.scores(own, grid, partition.options(grid))) if args.adaptive else None
         order.write_order(order.entries(index.z_order(index.active_cells(own, grid)), grid, chosen), args.target, grid)
         return
-    rows = src.read_lines(spark, args.source).select("tid", "points")
+    rows = src.read_lines(spark, args.source)
     if args.command == "clean":
         valid = report.clean(rows, box, args.least).where("verdict = 'valid'")
         src.to_lines(rows.join(valid, "tid", "left_semi"), args.format).write.text(args.target)
