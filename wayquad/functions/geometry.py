@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Tolerance of the box predicates and of the level search.
@@ -69,6 +69,28 @@ def cell_box(grid: Grid, level: Column, ix: Column, iy: Column, alpha: int = 1,
     return x, y, x + alpha * w, y + beta * h
 
 
+#: Tiles of the root box along each axis, the keys of joins of boxes.
+TILES = 32
+
+
+def tile_of(value: Column, low: float, extent: float) -> Column:
+    """The number of a tile along one axis; values beyond the root box have the outermost tiles."""
+    return F.greatest(F.lit(0), F.least(F.lit(TILES - 1), F.floor((value - low) / extent * TILES))).cast("int")
+
+
+def tiled(rows: DataFrame, grid: Grid, sides: tuple[Column, ...], prefix: str) -> DataFrame:
+    """One row for each tile (tx, ty) that the box ``sides`` meets; ``prefix`` + x and y name the first tiles."""
+    x0, x1 = tile_of(sides[0], grid.min_x, grid.width), tile_of(sides[2], grid.min_x, grid.width)
+    y0, y1 = tile_of(sides[1], grid.min_y, grid.height), tile_of(sides[3], grid.min_y, grid.height)
+    named = rows.withColumns({f"{prefix}x": x0, f"{prefix}y": y0, "_x1": x1, "_y1": y1})
+    return named.withColumn("tx", F.explode(F.sequence(F.col(f"{prefix}x"), F.col("_x1")))).withColumn("ty", F.explode(F.sequence(F.col(f"{prefix}y"), F.col("_y1")))).drop("_x1", "_y1")
+
+
+def meet_once(a: str, b: str) -> Column:
+    """Of all tiles that two boxes share, the one where both begin: each pair of ``tiled`` boxes counts there."""
+    return (F.col("tx") == F.greatest(f"{a}x", f"{b}x")) & (F.col("ty") == F.greatest(f"{a}y", f"{b}y"))
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, so that expressions built on it stay as long as they are written."""
     return F.transform(F.array(value), body)[0]

@@ -18,8 +18,9 @@ SHARES = (("perturb", 0.20), ("gaussian", 0.20), ("interpolate", 0.20), ("rotate
 
 
 def uniform(salt: str, *keys: str | Column) -> Column:
-    """A number in [0, 1) from keys and a salt."""
-    return F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(1 << 48)) / float(1 << 48)
+    """A number in [0, 1) from keys and a salt: 48 bits of the md5 of them joined by ':'."""
+    text = F.concat_ws(":", F.lit(salt), *((F.col(k) if isinstance(k, str) else k).cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def normal(salt: str, *keys: str | Column) -> Column:
@@ -98,19 +99,24 @@ def gaussian(points: str, key: str, size: float = 0.02, correlation: float = 0.9
 def augment(trajectories: DataFrame, share: float) -> DataFrame:
     """(tid, oid, points): the given rows, then ``share`` times as many new ones, each made by one method.
 
-    A row gets a copy if its hash is below ``share``; partners for mixing are the next rows by hash.
+    A row gets the whole part of ``share`` as copies, and one more if its hash is below the rest; every copy draws its
+    own numbers.  Partners for mixing are the next rows by hash.  Ids are not negative.
     """
-    picked = trajectories.where(uniform("pick", "tid") < share)
+    if share < 0:
+        raise ValueError("share must not be negative")
+    whole = int(share)
+    copies = F.lit(whole) + (uniform("pick", "tid") < share - whole).cast("int")
     ring = F.pmod(F.xxhash64("tid"), F.lit(1024))
     order = Window.partitionBy(ring).orderBy(F.xxhash64("tid"))
-    rows = picked.withColumns({"partner": F.coalesce(F.lead("points").over(order), F.col("points")), "u": uniform("method", "tid")})
+    rows = trajectories.withColumns({"partner": F.coalesce(F.lead("points").over(order), F.col("points")), "_n": copies}).where("_n > 0")
+    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).withColumn("_key", F.concat_ws(":", "tid", "_copy")).withColumn("u", uniform("method", "_key"))
     made = {
-        "perturb": perturb("points", "tid"),
-        "gaussian": gaussian("points", "tid"),
-        "interpolate": F.when(uniform("factor", "tid") < 0.5, interpolate("points", 2)).otherwise(interpolate("points", 3)),
-        "rotate": rotate("points", -20 + 40 * uniform("angle", "tid")),
-        "scale": scale("points", 0.85 + 0.3 * uniform("size", "tid")),
-        "mix": mix("points", "partner", 0.05 + 0.1 * uniform("ratio", "tid")),
+        "perturb": perturb("points", "_key"),
+        "gaussian": gaussian("points", "_key"),
+        "interpolate": F.when(uniform("factor", "_key") < 0.5, interpolate("points", 2)).otherwise(interpolate("points", 3)),
+        "rotate": rotate("points", -20 + 40 * uniform("angle", "_key")),
+        "scale": scale("points", 0.85 + 0.3 * uniform("size", "_key")),
+        "mix": mix("points", "partner", 0.05 + 0.1 * uniform("ratio", "_key")),
     }
     chosen, upto = made["mix"], 0.0
     steps = []
@@ -120,7 +126,7 @@ def augment(trajectories: DataFrame, share: float) -> DataFrame:
     for bound, column in reversed(steps):
         chosen = F.when(F.col("u") < bound, column).otherwise(chosen)
     top = trajectories.agg(F.coalesce(F.max("tid"), F.lit(0)).alias("top"))
-    new = rows.join(F.broadcast(top), F.lit(True)).select((F.col("tid") + F.col("top") + 1).alias("tid"), F.concat(F.col("tid").cast("string"), F.lit("_aug")).alias("oid"), chosen.alias("points"))
+    new = rows.join(F.broadcast(top), F.lit(True)).select((F.col("tid") + F.col("_copy") * (F.col("top") + 1)).alias("tid"), F.concat(F.col("tid").cast("string"), F.lit("_aug")).alias("oid"), chosen.alias("points"))
     return trajectories.select("tid", F.col("tid").cast("string").alias("oid"), "points").union(new)
 
 
@@ -140,28 +146,42 @@ def synthetic(spark, n: int, box: tuple[float, float, float, float], seed: int =
     return rows.select("tid", F.aggregate(moves, F.array(first), step).alias("points"))
 
 
-def generate_queries(points: DataFrame, box: tuple[float, float, float, float], count: int, ranges: tuple[float, ...], hot: DataFrame | None = None) -> DataFrame:
-    """(query_id, range, min_x, ...): boxes around ``count`` points with the smallest hashes, for each range, cut at ``box``.
-
-    With ``hot`` (gx, gy of a 10 x 10 grid), four fifths of the centres come from these squares.
-    """
-    key = [F.col("tid"), F.col("seq")]
-    pool = points
-    if hot is not None:
-        at = lambda c, low, high: F.least(F.lit(9), F.floor((F.col(c) - low) / (high - low) * 10)).cast("int")
-        placed = points.withColumns({"gx": at("x", box[0], box[2]), "gy": at("y", box[1], box[3])})
-        crowded = placed.join(F.broadcast(hot.select("gx", "gy")), ["gx", "gy"]).orderBy(F.xxhash64(F.lit("hot"), *key), *key).limit(count * 4 // 5)
-        pool = crowded.select(points.columns).union(points.orderBy(F.xxhash64(F.lit("all"), *key), *key).limit(count - count * 4 // 5))
-    centres = pool.orderBy(F.xxhash64(F.lit("centre"), *key), *key).limit(count)
-    each = centres.select("tid", "seq", "x", "y", F.explode(F.array(*map(F.lit, ranges))).alias("range"))
+def _around(centres: DataFrame, box: tuple[float, float, float, float], ranges: tuple[float, ...], metres: bool) -> DataFrame:
+    """(query_id, range, min_x, ...): a box around each (tid, seq, x, y) for each range, cut at ``box``, with six digits."""
+    each = centres.select("tid", "seq", "x", "y", F.explode(F.array(*(F.lit(float(r)) for r in ranges))).alias("range"))
     cut = lambda v, low, high: F.round(F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), v)), 6)
     half = F.col("range") / 2
+    dx, dy = meters_to_degrees(half, F.col("y")) if metres else (half, half)
     name = F.row_number().over(Window.orderBy("range", "tid", "seq"))
     return each.select(
-        name.alias("query_id"), "range", cut(F.col("x") - half, box[0], box[2]).alias("min_x"), cut(F.col("y") - half, box[1], box[3]).alias("min_y"), cut(F.col("x") + half, box[0], box[2]).alias("max_x"), cut(F.col("y") + half, box[1], box[3]).alias("max_y")
+        name.alias("query_id"), "range", cut(F.col("x") - dx, box[0], box[2]).alias("min_x"), cut(F.col("y") - dy, box[1], box[3]).alias("min_y"), cut(F.col("x") + dx, box[0], box[2]).alias("max_x"), cut(F.col("y") + dy, box[1], box[3]).alias("max_y")
     )
 
 
+def generate_queries(points: DataFrame, box: tuple[float, float, float, float], count: int, ranges: tuple[float, ...], hot: DataFrame | None = None, metres: bool = False) -> DataFrame:
+    """(query_id, range, min_x, ...): boxes around the ``count`` points with the smallest draws, for each range, cut at ``box``.
+
+    With ``hot`` (gx, gy of a 10 x 10 grid), four fifths of the centres come from these squares.  ``metres``: x and y are
+    degrees and ranges metres.
+    """
+    key = ["tid", "seq"]
+    first = lambda rows, salt, n: rows.orderBy(uniform(salt, *key), *key).limit(n)
+    if hot is None:
+        return _around(first(points, "centre", count), box, ranges, metres)
+    at = lambda c, low, high: F.least(F.lit(9), F.floor((F.col(c) - low) / (high - low) * 10)).cast("int")
+    placed = points.withColumns({"gx": at("x", box[0], box[2]), "gy": at("y", box[1], box[3])})
+    crowded = first(placed.join(F.broadcast(hot.select("gx", "gy")), ["gx", "gy"]).select(points.columns), "hot", count * 4 // 5)
+    return _around(crowded.union(first(points, "all", count - count * 4 // 5)), box, ranges, metres)
+
+
+def generate_gaussian_queries(spark, about: tuple[float, float, float, float], box: tuple[float, float, float, float], count: int, ranges: tuple[float, ...], metres: bool = True) -> DataFrame:
+    """Boxes around normally distributed centres; ``about``: mean and deviation of x and of y; centres are cut at ``box``."""
+    keep = lambda v, low, high: F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), v))
+    rows = spark.range(count).select(F.col("id").alias("tid"), F.lit(0).alias("seq"))
+    x, y = keep(about[0] + about[1] * normal("qx", "tid"), box[0], box[2]), keep(about[2] + about[3] * normal("qy", "tid"), box[1], box[3])
+    return _around(rows.select("tid", "seq", x.alias("x"), y.alias("y")), box, ranges, metres)
+
+
 def split_sets(items: DataFrame, key: str, train: float, validation: float) -> DataFrame:
     """Add ``part`` (train, validation, test) by position in hash order (a query set is small)."""
     order, everything = Window.orderBy(F.md5(F.col(key).cast("string")), key), Window.partitionBy()

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from wayquad.functions import codes
-from wayquad.functions.geometry import Grid, box, cell_box
+from wayquad.functions.geometry import Grid, box, cell_box, meet_once, tiled
 
 TINY, TINY_LOG = 1e-6, 1e-8
 
@@ -19,7 +18,8 @@ def trajectory_statistics(trajectories: DataFrame, cells: DataFrame, grid: Grid)
     a = box()
     meets = (F.col("c2") >= a[0]) & (F.col("c0") <= a[2]) & (F.col("c3") >= a[1]) & (F.col("c1") <= a[3])
     covers = (F.col("c0") <= a[0]) & (F.col("c2") >= a[2]) & (F.col("c1") <= a[1]) & (F.col("c3") >= a[3])
-    met = t.join(F.broadcast(placed.select("quad_code", "c0", "c1", "c2", "c3")), meets)
+    there = tiled(placed.select("quad_code", "c0", "c1", "c2", "c3"), grid, tuple(map(F.col, ("c0", "c1", "c2", "c3"))), "b_")
+    met = tiled(t, grid, a, "a_").join(there, ["tx", "ty"]).where(meet_once("a_", "b_") & meets)
     counts = met.groupBy("quad_code").agg(F.count(F.lit(1)).alias("n_int"), F.count_if(covers).alias("n_cov"))
     density = trajectories.groupBy("quad_code").agg(F.avg((F.col("min_x") + F.col("max_x")) / 2).alias("dx"), F.avg((F.col("min_y") + F.col("max_y")) / 2).alias("dy"))
     joined = placed.join(counts, "quad_code", "left").join(density, "quad_code", "left")
@@ -50,13 +50,17 @@ def static_features(stats: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame
             "area": F.log((x1 - x0) * (y1 - y0) + TINY_LOG),
         }
     )
-    everything = Window.partitionBy()
+    # One row about all cells.
+    about = rows.agg(
+        *(f(c).alias(f"{c}_{n}") for c in ("ox", "oy") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))), F.min("area").alias("low"), F.max("area").alias("high"), F.max("n_ee").alias("n_most")
+    )
+    rows = rows.join(F.broadcast(about), F.lit(True))
 
     def standard(c: str) -> Column:
-        return (F.col(c) - F.avg(c).over(everything)) / (F.stddev_pop(c).over(everything) + TINY)
+        return (F.col(c) - F.col(f"{c}_mean")) / (F.col(f"{c}_sd") + TINY)
 
-    low, high = F.min("area").over(everything), F.max("area").over(everything)
-    most = F.greatest(F.max("n_ee").over(everything), F.lit(1))
+    low, high = F.col("low"), F.col("high")
+    most = F.greatest("n_most", F.lit(1))
     features = {
         "f1": F.log1p("n_ee") / F.log1p(most),
         "f2": F.sqrt(F.col("n_ee") / (F.col("n_int") + TINY)),

@@ -116,6 +116,28 @@ def tree_stats(cells: DataFrame, grid: Grid) -> DataFrame:
     return cells.agg(F.count(F.lit(1)).alias("active_cells")).select(F.lit(total).cast("long").alias("total_cells"), "active_cells", (F.lit(total) - F.col("active_cells")).cast("long").alias("muted_cells"), F.lit(grid.levels).alias("max_level"))
 
 
+def nearest_active(cells: DataFrame, active: DataFrame) -> DataFrame:
+    """(quad_code, ancestor): the deepest cell of ``active`` that holds a cell (level, ix, iy), itself included; null if none does."""
+    up = cells.select("quad_code", F.explode(F.sequence(F.lit(0), F.col("level"))).alias("k"), "level", "ix", "iy")
+    at = lambda c: F.call_function("shiftright", F.col(c), F.col("k")).alias(c)
+    above = up.select("quad_code", (F.col("level") - F.col("k")).alias("level"), at("ix"), at("iy"))
+    found = above.join(active.select(F.col("quad_code").alias("code"), "level", "ix", "iy"), ["level", "ix", "iy"]).groupBy("quad_code").agg(F.max_by("code", "level").alias("ancestor"))
+    return cells.select("quad_code").join(found, "quad_code", "left")
+
+
+def unique_active(order: DataFrame, cells: DataFrame) -> DataFrame:
+    """(quad_code, ord): the root first if it is in ``cells``, then the others at their first place in ``order`` (quad_code, pos)."""
+    first = order.groupBy("quad_code").agg(F.min("pos").alias("pos")).join(cells.select("quad_code"), "quad_code", "left_semi")
+    root = cells.where("quad_code = 0").select("quad_code", F.lit(None).cast("long").alias("pos"))
+    listed = first.where("quad_code <> 0").select("quad_code", F.col("pos").cast("long").alias("pos")).union(root)
+    return listed.select("quad_code", (F.row_number().over(Window.orderBy(F.col("pos").asc_nulls_first(), "quad_code")) - 1).cast("long").alias("ord"))
+
+
+def reassigned(assigned: DataFrame) -> DataFrame:
+    """(tid, cells): trajectories that are given more than once, with different cells."""
+    return assigned.groupBy("tid").agg(F.count_distinct("level", "ix", "iy").alias("cells")).where("cells > 1")
+
+
 def check_prune(assigned: DataFrame, pruned: DataFrame, least: int) -> DataFrame:
     """(name, n): all 0 if pruning lost, added, repeated or left too few trajectories."""
     before, after = assigned.where("quad_code IS NOT NULL").select("tid"), pruned.select("tid")

@@ -39,8 +39,8 @@ def action_limit(base: int | None, first: float, last: float, episode: int, deca
     """How many of the most similar cells may come next; none if there is no limit."""
     if not base or base <= 0:
         return None
-    low, high = round(base * first), round(base * last)
-    return max(1, round(low + (high - low) * min(1.0, (episode - 1) / max(1, decay))))
+    low, high = max(1, round(base * first)), max(1, round(base * last))
+    return max(1, round(low + (high - low) * min(1.0, episode / max(1, decay))))
 
 
 def returns(rewards: list[float], values: list[float], done: list[bool], discount: float = 0.99, decay: float = 0.95) -> list[float]:

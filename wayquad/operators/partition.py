@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -23,10 +23,13 @@ def scores(trajectories: DataFrame, grid: Grid, options: list[tuple[int, int]],
     chosen = trajectories.withColumn("_rn", F.row_number().over(pick)).where(F.col("_rn") <= sample).drop("_rn")
     ee = cell_box(grid, F.col("level"), F.col("ix"), F.col("iy"), grid.alpha, grid.beta)
     listed = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta")) for a, b in options))
-    points = chosen.withColumns(dict(zip(("e0", "e1", "e2", "e3"), ee, strict=True))).select("quad_code", "tid", "e0", "e1", "e2", "e3", F.explode("points").alias("p"), listed.alias("options"))
-    each = points.select("*", F.explode("options").alias("o"))
-    bit = square(F.col("p.x"), F.col("e0"), F.col("e2") - F.col("e0"), F.col("o.alpha")) * F.col("o.beta") + square(F.col("p.y"), F.col("e1"), F.col("e3") - F.col("e1"), F.col("o.beta"))
-    bits = each.select("quad_code", F.col("o.alpha").alias("alpha"), F.col("o.beta").alias("beta"), bit.alias("bit"), "tid").distinct()
+    each = chosen.withColumns(dict(zip(("e0", "e1", "e2", "e3"), ee, strict=True))).select("quad_code", "points", "e0", "e1", "e2", "e3", F.explode(listed).alias("o"))
+
+    def bit(p: Column) -> Column:
+        return square(p["x"], F.col("e0"), F.col("e2") - F.col("e0"), F.col("o.alpha")) * F.col("o.beta") + square(p["y"], F.col("e1"), F.col("e3") - F.col("e1"), F.col("o.beta"))
+
+    # The bits of a trajectory are made distinct in its row.
+    bits = each.select("quad_code", F.col("o.alpha").alias("alpha"), F.col("o.beta").alias("beta"), F.explode(F.array_distinct(F.transform("points", bit))).alias("bit"))
     per_bit = bits.groupBy("quad_code", "alpha", "beta", "bit").agg(F.count(F.lit(1)).alias("k"))
     n = chosen.groupBy("quad_code").agg(F.count(F.lit(1)).alias("n"))
     counted = per_bit.join(n, "quad_code").groupBy("quad_code", "alpha", "beta", "n").agg(F.count(F.lit(1)).alias("used"), F.sum(F.col("k") * (F.col("n") - F.col("k"))).alias("apart"))

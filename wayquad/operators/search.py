@@ -1,7 +1,8 @@
 """Range queries over the index: candidates, row-key intervals, exact refinement.
 
 A breadth-first walk with pruning equals flat predicates, since a child's enlarged element lies inside its
-parent's.  Queries and cells are small tables and are broadcast; trajectories meet them by equal cell codes.
+parent's.  Tables of queries and cells are written, counted and broadcast where that count is small; trajectories
+meet them by equal cell codes, points and segments meet boxes by equal tiles.
 """
 
 from __future__ import annotations
@@ -10,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayquad.functions import codes, signature
-from wayquad.functions.geometry import Grid, box, cell_box, contains, contains_point, intersects
+from wayquad.functions.geometry import Grid, box, cell_box, contains, contains_point, intersects, meet_once, tile_of, tiled
 from wayquad.operators.cost import merge_intervals
+from wayquad.session import pin, small
 
 #: Queries of one batch that may be broadcast.
 MAX_QUERIES = 10_000
+ROOT = Grid()
 
 
 def related(queries: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
@@ -35,50 +38,57 @@ def _top(rel: DataFrame, grid: Grid) -> DataFrame:
     return inside.join(above, (F.col("query_id") == F.col("qq")) & (F.col("quad_code") > F.col("up")) & (F.col("quad_code") < F.col("up_end")), "left_anti")
 
 
-def plan(queries: DataFrame, cells: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Topmost contained cells; all cells of their subtrees; intersecting cells outside of these."""
-    rel = related(queries, cells, grid)
+Plan = tuple[DataFrame, DataFrame, DataFrame]
+
+
+def plan(queries: DataFrame, cells: DataFrame, grid: Grid) -> Plan:
+    """Topmost contained cells; all cells of their subtrees; intersecting cells outside of these.
+
+    The functions below make it themselves, or take it where several of them ask about the same queries.
+    """
+    rel = pin(related(queries, cells, grid))
     top = _top(rel, grid).select("query_id", "quad_code", "level")
     tops = top.select(F.col("query_id").alias("qq"), F.col("quad_code").alias("up"), (F.col("quad_code") + codes.subtree_size_of(F.col("level"), grid.levels)).alias("up_end"))
     same = (F.col("query_id") == F.col("qq")) & (F.col("quad_code") >= F.col("up")) & (F.col("quad_code") < F.col("up_end"))
     # Subtrees of contained cells are contained, so they are among the related cells.
     under = rel.join(tops, same, "left_semi").select("query_id", "quad_code")
     crossing = rel.where("rel = 'I'").join(tops, same, "left_anti").select("query_id", "quad_code", "qsig")
-    return top, under, crossing
+    return pin(top), small(under, 32), small(crossing, 40)
 
 
 def _matched(crossing: DataFrame, trajectories: DataFrame) -> DataFrame:
     hit = (F.col("sig") != 0) & (F.col("sig").bitwiseAND(F.col("qsig")) != 0)
-    return trajectories.select("tid", "quad_code", "sig").join(F.broadcast(crossing), "quad_code").where(hit)
+    return trajectories.select("tid", "quad_code", "sig").join(crossing, "quad_code").where(hit)
 
 
-def candidates(queries: DataFrame, trajectories: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
+def candidates(queries: DataFrame, trajectories: DataFrame, cells: DataFrame, grid: Grid, planned: Plan | None = None) -> DataFrame:
     """(query_id, tid) that the index cannot rule out."""
-    _, under, crossing = plan(queries, cells, grid)
-    whole = trajectories.select("tid", "quad_code").join(F.broadcast(under), "quad_code").select("query_id", "tid")
+    _, under, crossing = planned or plan(queries, cells, grid)
+    whole = trajectories.select("tid", "quad_code").join(under, "quad_code").select("query_id", "tid")
     return whole.union(_matched(crossing, trajectories).select("query_id", "tid")).distinct()
 
 
-def code_intervals(queries: DataFrame, trajectories: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
+def code_intervals(queries: DataFrame, trajectories: DataFrame, cells: DataFrame, grid: Grid, planned: Plan | None = None) -> DataFrame:
     """Merged scan ranges of cell codes: leaf ranges of contained subtrees, single codes of matching cells."""
-    top, _, crossing = plan(queries, cells, grid)
+    top, _, crossing = planned or plan(queries, cells, grid)
     lo, hi = codes.leaf_range(grid.levels, F.col("quad_code"), F.col("level"))
     single = _matched(crossing, trajectories).select("query_id", "quad_code").distinct()
     raw = top.select("query_id", lo.cast("long").alias("lo"), hi.alias("hi")).union(single.select("query_id", F.col("quad_code").alias("lo"), (F.col("quad_code") + 1).alias("hi")))
     return merge_intervals(raw)
 
 
-def order_intervals(queries: DataFrame, trajectories: DataFrame, cells: DataFrame, order: DataFrame, grid: Grid) -> DataFrame:
+def order_intervals(queries: DataFrame, trajectories: DataFrame, cells: DataFrame, order: DataFrame, grid: Grid, planned: Plan | None = None) -> DataFrame:
     """Merged scan ranges of positions in ``order`` (quad_code, ord)."""
-    _, under, crossing = plan(queries, cells, grid)
+    _, under, crossing = planned or plan(queries, cells, grid)
     single = _matched(crossing, trajectories).select("query_id", "quad_code").distinct()
     positions = under.union(single).join(order.select("quad_code", "ord"), "quad_code")
     return merge_intervals(positions.select("query_id", F.col("ord").alias("lo"), (F.col("ord") + 1).alias("hi")))
 
 
-def exact_points(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """(query_id, tid) with a point in the box."""
-    return points.join(F.broadcast(queries), contains_point(box(), F.col("x"), F.col("y"))).select("query_id", "tid").distinct()
+def exact_points(queries: DataFrame, points: DataFrame, grid: Grid = ROOT) -> DataFrame:
+    """(query_id, tid) with a point in the box; ``grid`` only gives the tiles by which they meet."""
+    placed = points.select("tid", "x", "y", tile_of(F.col("x"), grid.min_x, grid.width).alias("tx"), tile_of(F.col("y"), grid.min_y, grid.height).alias("ty"))
+    return placed.join(tiled(queries, grid, box(), "a_"), ["tx", "ty"]).where(contains_point(box(), F.col("x"), F.col("y"))).select("query_id", "tid").distinct()
 
 
 def segment_hits(x0: str, y0: str, x1: str, y1: str) -> str:
@@ -95,8 +105,9 @@ def segment_hits(x0: str, y0: str, x1: str, y1: str) -> str:
     return f"greatest(0D, {enter_x}, {enter_y}) <= least(1D, {leave_x}, {leave_y})"
 
 
-def exact_segments(queries: DataFrame, trajectories: DataFrame) -> DataFrame:
-    """(query_id, tid) whose polyline meets the closed box."""
+def exact_segments(queries: DataFrame, trajectories: DataFrame, grid: Grid = ROOT) -> DataFrame:
+    """(query_id, tid) whose polyline meets the closed box; ``grid`` only gives the tiles by which they meet."""
     segments = trajectories.select("tid", F.explode(F.expr("transform(sequence(1, size(points) - 1), i -> struct(points[i - 1] AS p, points[i] AS q))")).alias("s"))
-    met = segments.join(F.broadcast(queries), F.expr(segment_hits("s.p.x", "s.p.y", "s.q.x", "s.q.y")))
-    return met.select("query_id", "tid").distinct()
+    extent = (F.least("s.p.x", "s.q.x"), F.least("s.p.y", "s.q.y"), F.greatest("s.p.x", "s.q.x"), F.greatest("s.p.y", "s.q.y"))
+    met = tiled(segments, grid, extent, "a_").join(tiled(queries, grid, box(), "b_"), ["tx", "ty"])
+    return met.where(meet_once("a_", "b_") & F.expr(segment_hits("s.p.x", "s.p.y", "s.q.x", "s.q.y"))).select("query_id", "tid").distinct()

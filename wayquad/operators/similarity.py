@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wayquad.functions.geometry import Grid, box, cell_box, intersects
+from wayquad.functions.geometry import Grid, box, cell_box, intersects, meet_once, tiled
 
 
 def jaccard(trajectories: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
     """(code_a, code_b, sim) of pairs a < b that share trajectories.
 
     Each trajectory lives in one cell, so the shared ones of two cells are those of a that meet b's box and
-    those of b that meet a's.  Cells are bounded and broadcast; counts are made per ordered pair of cells.
+    those of b that meet a's.  Cells are bounded; counts are made per ordered pair of cells.
     """
     boxes = cells.withColumns(dict(zip(("c_min_x", "c_min_y", "c_max_x", "c_max_y"), cell_box(grid, F.col("level"), F.col("ix"), F.col("iy")), strict=True)))
     boxes = boxes.select(F.col("quad_code").alias("other"), "c_min_x", "c_min_y", "c_max_x", "c_max_y")
     own = trajectories.select("quad_code", "min_x", "min_y", "max_x", "max_y")
-    met = own.join(F.broadcast(boxes), intersects(box(), box("c_")) & (F.col("quad_code") != F.col("other")))
+    # Boxes meet by equal tiles, and each pair counts in one of them.
+    met = tiled(own, grid, box(), "a_").join(tiled(boxes, grid, box("c_"), "b_"), ["tx", "ty"]).where(meet_once("a_", "b_") & intersects(box(), box("c_")) & (F.col("quad_code") != F.col("other")))
     counts = met.groupBy(F.least("quad_code", "other").alias("code_a"), F.greatest("quad_code", "other").alias("code_b")).agg(F.count(F.lit(1)).alias("shared"))
     n = cells.select("quad_code", "n")
     joined = counts.join(F.broadcast(n.select(F.col("quad_code").alias("code_a"), F.col("n").alias("na"))), "code_a").join(F.broadcast(n.select(F.col("quad_code").alias("code_b"), F.col("n").alias("nb"))), "code_b")

@@ -7,6 +7,7 @@ import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(cores: str = "*", shuffle_partitions: int = 8, app: str = "wayquad") -> SparkSession:
@@ -49,6 +50,12 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, row_bytes: int = 64, max_bytes: int = 32 << 20) -> DataFrame:
+    """``df`` written to the shared folder, with a broadcast hint if its counted rows of ``row_bytes`` are at most ``max_bytes``."""
+    df = pin(df)
+    return F.broadcast(df) if df.count() * row_bytes <= max_bytes else df
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of the shared store with all that it holds."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

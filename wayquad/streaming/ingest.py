@@ -1,7 +1,6 @@
 """Ingest of trajectories as a stream: each new trajectory gets its cell and signature without state.
 
-The reference semantics of assignment are per trajectory, so the batch expressions hold for a stream as they
-are.  Pruning and orders stay batch jobs over what the stream has written.
+Assignment looks at one trajectory at a time, so the batch expressions hold for a stream as they are.  Pruning and orders stay batch jobs over what the stream has written.
 """
 
 from __future__ import annotations
