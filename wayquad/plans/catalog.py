@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -10,14 +11,16 @@ from pyspark.sql import functions as F
 
 from wayquad.functions import codes, signature
 from wayquad.functions.geometry import Grid, box, cell_box, contains, intersects
-from wayquad.operators import augment, cost, features, index, order, partition, report, search, similarity
+from wayquad.operators import augment, cost, features, index, learn, order, partition, report, search, similarity
 from wayquad.plans.oracle import ORACLE_SQL
-from wayquad.session import pin
+from wayquad.session import pin, shared_dir
+from wayquad.sources import store
 from wayquad.sources import trajectories as src
 
 GRID = Grid()
 LEAST = 4
 ROOT = (0.0, 0.0, 720.0, 600.0)
+TOWN = (115.0, 39.0, 118.0, 41.5)
 #: A batch of boxes: tiny, medium, large, thin in x, thin in y, whole root, outside, touching edge, corner, off centre.
 BOXES = (
     (1, 10.0, 10.0, 12.0, 14.0),
@@ -46,10 +49,20 @@ def assigned(spark: SparkSession, sf_dir: str, grid: Grid = GRID) -> DataFrame:
 
 
 def pruned(spark: SparkSession, sf_dir: str, grid: Grid = GRID, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Trajectories with their cells and signatures after pruning, and the active cells."""
-    moved = index.signed(index.prune(assigned(spark, sf_dir, grid), grid, least), grid)
-    moved = pin(moved)
-    return moved, pin(index.active_cells(moved, grid))
+    """Trajectories with their cells and signatures after pruning, and the active cells.
+
+    The index is stored in the shared folder, sorted by code, at the first use by an application and read from there.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, grid, least)
+    if key not in _stored:
+        path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        store.save_index(index.signed(index.prune(assigned(spark, sf_dir, grid), grid, least), grid), f"{path}/trajectories")
+        index.active_cells(store.load_index(spark, f"{path}/trajectories"), grid).write.parquet(f"{path}/cells")
+        _stored[key] = path
+    return store.load_index(spark, f"{_stored[key]}/trajectories"), spark.read.parquet(f"{_stored[key]}/cells")
+
+
+_stored: dict[tuple, str] = {}
 
 
 def sixes(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
@@ -135,9 +148,10 @@ def query_cost(spark, d):
 def compare_orders(spark, d):
     own, cells = pruned(spark, d)
     q = boxes(spark)
-    by_code = cost.query_cost(q, search.code_intervals(q, own, cells, GRID))
-    by_order = cost.query_cost(q, search.order_intervals(q, own, cells, index.z_order(cells), GRID))
-    return cost.compare(by_code, by_order, search.candidates(q, own, cells, GRID))
+    planned = search.plan(q, cells, GRID)
+    by_code = cost.query_cost(q, search.code_intervals(q, own, cells, GRID, planned))
+    by_order = cost.query_cost(q, search.order_intervals(q, own, cells, index.z_order(cells), GRID, planned))
+    return cost.compare(by_code, by_order, search.candidates(q, own, cells, GRID, planned))
 
 
 def prune_cells(spark, d):
@@ -175,7 +189,7 @@ def xz_coverage(spark, d):
 
 def _options(spark, d) -> DataFrame:
     own, _ = pruned(spark, d)
-    return partition.scores(own, GRID, [(a, b) for a, b in partition.options(GRID) if a * b <= 30], sample=1 << 30)
+    return partition.scores(own, GRID, partition.options(GRID), sample=1 << 30)
 
 
 def partition_score(spark, d):
@@ -324,15 +338,51 @@ def parse_taxi(spark, d):
     return found.select("oid", F.size("points").alias("n_points"), F.round(F.col("points")[0]["x"], 6).alias("x0"))
 
 
+#: Texts of times, as data sets have them.
+TIMES = (
+    "2024-01-02 03:04:05", "2024-01-02 03:04:05.123", "2024/01/02 03:04:05", "02/01/2024 03:04:05", "03:04:05", "20240102030405", "0", "", "soon", "1704164645", "1704164645.5", "999999999",
+    "12345678901", "2024-13-02 03:04:05", "2024-1-2 3:4:5", "31/12/1999 23:59:59", None,
+)
+
+
 def parse_time(spark, d):
-    ts = F.col("ts").cast("timestamp")
-    written = [F.date_format(ts, f) for f in src.TIME_FORMATS]
-    text = F.lit("0")
-    for k, w in enumerate(written):
-        text = F.when(F.col("event_id") % 9 == k, w).otherwise(text)
-    text = F.when(F.col("event_id") % 9 == 6, F.unix_timestamp(ts).cast("string")).when(F.col("event_id") % 9 == 7, F.lit("soon")).otherwise(text)
-    events = spark.read.parquet(f"{d}/events.parquet")
-    return events.select("event_id", F.coalesce(F.unix_timestamp(src.parse_time(text)), F.lit(-1)).cast("long").alias("seconds"))
+    rows = spark.createDataFrame(list(enumerate(TIMES)), "id long, text string")
+    return rows.select("id", F.coalesce(F.unix_millis(src.parse_time(F.col("text"))), F.lit(-1)).cast("long").alias("millis"))
+
+
+def read_part_files(spark, d):
+    folder = f"{shared_dir(spark).rstrip('/')}/raw-{uuid.uuid4().hex}"
+    src.to_lines(src.trajectories(spark, d), "raw").write.text(folder)
+    found = src.read_lines(spark, f"{folder}/part-*")
+    return found.select("tid", "oid", F.size("points").alias("n_points"), F.round(F.col("points")[0]["x"], 6).alias("x0"), F.round(F.col("points")[0]["y"], 6).alias("y0"))
+
+
+def action_limit(spark, d):
+    return spark.createDataFrame([(e, learn.action_limit(10, 2.0, 0.5, e, 7)) for e in range(12)], "episode long, cells long")
+
+
+def nearest_active(spark, d):
+    every = index.occupied(assigned(spark, d)).withColumn("quad_code", codes.encode(GRID.levels))
+    return index.nearest_active(every, pruned(spark, d)[1])
+
+
+def unique_active(spark, d):
+    cells = pruned(spark, d)[1]
+    z = index.z_order(cells)
+    twice = z.select("quad_code", (-F.col("ord")).alias("pos")).union(z.select("quad_code", F.col("ord") - 50)).union(spark.range(1).selectExpr("-5L", "-9999L"))
+    return index.unique_active(twice, cells)
+
+
+def reassigned(spark, d):
+    own = assigned(spark, d)
+    return index.reassigned(own.union(own.where("tid % 7 = 0")).union(own.where("tid % 5 = 0").withColumn("ix", F.col("ix") + 1)))
+
+
+def scan_queries(spark, d):
+    own = index.mbr(src.trajectories(spark, d)).select(*(F.floor(c).alias(c) for c in ("min_x", "min_y", "max_x", "max_y")), (F.col("tid") % 100).alias("query_id"))
+    lines = own.groupBy("query_id").agg(F.array_join(F.collect_list(F.concat_ws(", ", "min_x", "min_y", "max_x", "max_y")), ";").alias("value"))
+    broken = spark.createDataFrame([("1, 2; a, b, c, d;",)], "value string")
+    return src.scan_queries(lines.select("value").union(broken)).agg(F.count(F.lit(1)).alias("n"), F.sum("min_x").alias("min_x"), F.sum("max_y").alias("max_y"))
 
 
 def format_wkt(spark, d):
@@ -371,7 +421,7 @@ def meters_to_degrees(spark, d):
 
 
 def augment_set(spark, d):
-    made = augment.augment(src.trajectories(spark, d), 0.5)
+    made = augment.augment(src.trajectories(spark, d), 1.5)
     return made.select("tid", "oid", F.size("points").alias("n_points"))
 
 
@@ -388,6 +438,15 @@ def gen_queries_skewed(spark, d):
     return augment.generate_queries(own, ROOT, 100, (5.0, 10.0, 20.0), report.hotspots(own, ROOT))
 
 
+def gen_queries_meters(spark, d):
+    """Points as degrees around a town, ranges in metres."""
+    return augment.generate_queries(report.normalise(points(spark, d), TOWN), TOWN, 100, (100.0, 500.0, 2500.0), metres=True)
+
+
+def gen_queries_gaussian(spark, d):
+    return augment.generate_gaussian_queries(spark, (116.4, 0.3, 39.9, 0.2), TOWN, 200, (100.0, 500.0, 2500.0))
+
+
 def split_queries(spark, d):
     items = spark.range(500).withColumnRenamed("id", "query_id")
     return augment.split_sets(items, "query_id", 0.7, 0.15)
@@ -401,7 +460,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         subtree_orders, xz_coverage, partition_score, partition_choice, partition_choice_sampled, order_merge, order_metadata, complete_order, cell_jaccard, similarity_stats,
         signature_jaccard, topk_similar, eight_neighbours, traj_statistics, static_features, greedy_order, level_histogram, level_summary, cell_load_buckets, fill_rate_cdf,
         dataset_report, length_bins, path_length, sampling_intervals, moving_average, point_centre, hotspot_grid, normalize_traj, global_bounds, clean_filter, parse_raw, parse_taxi,
-        parse_time, format_wkt, parse_queries, interpolate, rotate, scale, mix, meters_to_degrees, augment_set, synthetic_walks, gen_queries, gen_queries_skewed, split_queries,
+        parse_time, format_wkt, parse_queries, interpolate, rotate, scale, mix, meters_to_degrees, augment_set, synthetic_walks, gen_queries, gen_queries_skewed, gen_queries_meters, gen_queries_gaussian, split_queries,
+        read_part_files, action_limit, nearest_active, unique_active, reassigned, scan_queries,
     )
 }
 QUERIES |= {"parse_txt": _round_trip("txt", src.parse_txt), "parse_geojson": _round_trip("geojson", src.parse_geojson), "parse_wkt": _round_trip("wkt", src.parse_wkt)}

@@ -124,7 +124,7 @@ def costs(name: str, out: str) -> str:
   FROM q LEFT JOIN (SELECT query_id, count(*) AS m FROM {name} GROUP BY query_id) USING (query_id) LEFT JOIN {out}_h USING (query_id))"""
 
 
-OPTIONS = [(a, b) for a in range(A, 9) for b in range(B, 9) if a * b <= 30]
+OPTIONS = [(a, b) for a in range(A, 9) for b in range(B, 9)]
 RATED = f"""{PRUNED},
 opts(alpha, beta) AS (VALUES {", ".join(f"({a}, {b})" for a, b in OPTIONS)}),
 bits AS (SELECT DISTINCT quad_code, alpha, beta, tid, {bit("x", "y", "c0", "c1", "c2", "c3", "alpha", "beta")} AS b FROM own JOIN pts USING (tid), opts),
@@ -194,6 +194,26 @@ def segments_sql() -> str:
 SELECT DISTINCT query_id, tid FROM s, q WHERE nx IS NOT NULL AND greatest(0, {x_in}, {y_in}) <= least(1, {x_out}, {y_out})"""
 
 
+def draw(salt: str, *keys: str) -> str:
+    """A number in [0, 1) from a salt and keys."""
+    text = " || ':' || ".join([f"'{salt}'", *keys])
+    return f"(('0x' || substr(md5({text}), 1, 12))::BIGINT::DOUBLE / 281474976710656e0)"
+
+
+def gauss(salt: str, *keys: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {draw(salt + 'a', *keys)})) * cos(2 * pi() * {draw(salt + 'b', *keys)}))"
+
+
+def around(centres: str, ranges: tuple[int, ...], metres: bool = False) -> str:
+    """Boxes of all ranges around the centres, cut at the root box, or in degrees at the town's."""
+    box = (115, 39, 118, 41.5) if metres else (0, 0, 720, 600)
+    dx, dy = ("range / 2 / (111000e0 * cos(radians(y)))", "range / 2 / 111000e0") if metres else ("range / 2", "range / 2")
+    side = lambda v, low, high: f"round(least({high}::DOUBLE, greatest({low}::DOUBLE, {v})), 6)"
+    return f"""each AS (SELECT *, unnest([{", ".join(f"{r}e0" for r in ranges)}]) AS range FROM {centres})
+SELECT (row_number() OVER (ORDER BY range, tid, seq))::INT AS query_id, range, {side(f"x - {dx}", box[0], box[2])} AS min_x, {side(f"y - {dy}", box[1], box[3])} AS min_y,
+  {side(f"x + {dx}", box[0], box[2])} AS max_x, {side(f"y + {dy}", box[1], box[3])} AS max_y FROM each"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "range_exact_segments": segments_sql(),
     "traj_mbr": f"WITH {MBR} SELECT tid, k::INT AS n_points, min_x, min_y, max_x, max_y FROM mbr",
@@ -268,7 +288,30 @@ r AS (SELECT *, row_number() OVER (ORDER BY n DESC, gx, gy) AS rn, count(*) OVER
     "parse_raw": f"""WITH {PTS}, n AS (SELECT tid, tid || '-' || tid || '_0' AS oid, count(*)::INT AS n_points, round(arg_min(x, seq), 6) AS x0, round(arg_min(y, seq), 6) AS y0 FROM pts GROUP BY tid)
 SELECT list_reduce([0::BIGINT] || list_transform(range(1, 33), lambda i: ('0x' || substr(md5(oid), i, 1))::BIGINT), lambda a, c: (a * 16 + c) % 1000000000) AS tid, oid, n_points, x0, y0 FROM n""",
     "parse_taxi": f"WITH {PTS} SELECT CASE WHEN tid % 2 = 0 THEN tid::VARCHAR ELSE 't' || tid END AS oid, count(*)::INT AS n_points, round(arg_min(x, seq), 6) AS x0 FROM pts GROUP BY tid",
-    "parse_time": "SELECT event_id, CASE event_id % 9 WHEN 7 THEN -1 WHEN 8 THEN -1 WHEN 3 THEN epoch_us(ts) // 60000000 * 60 WHEN 5 THEN epoch_us(ts) // 60000000 * 60 ELSE epoch_us(ts) // 1000000 END::BIGINT AS seconds FROM events",
+    "parse_time": "SELECT * FROM (VALUES (0::BIGINT, 1704164645000::BIGINT), (1, 1704164645123), (2, 1704164645000), (3, 1704164645000), (4, -2208977755000), (5, 1704164645000), (6, -1), (7, -1), (8, -1), (9, 1704164645000), (10, 1704164645500), (11, -1), (12, 12345678901000), (13, -1), (14, 1704164645000), (15, 946684799000), (16, -1)) AS v(id, millis)",
+    "action_limit": "SELECT e AS episode, greatest(1, round(20 - 15 * least(1, e / 7)))::BIGINT AS cells FROM range(12) AS v(e)",
+    "nearest_active": f"""WITH {PRUNED}, o AS (SELECT DISTINCT quad_code, level, ix, iy FROM asg WHERE level IS NOT NULL)
+SELECT o.quad_code, arg_max(c.quad_code, c.level) AS ancestor FROM o LEFT JOIN cells c ON c.level <= o.level AND c.ix = (o.ix >> (o.level - c.level)) AND c.iy = (o.iy >> (o.level - c.level)) GROUP BY o.quad_code""",
+    "unique_active": f"""WITH {PRUNED}, zo AS (SELECT quad_code, row_number() OVER (ORDER BY quad_code) - 1 AS ord FROM cells)
+SELECT quad_code, row_number() OVER (ORDER BY quad_code <> 0, least(-ord, ord - 50), quad_code) - 1 AS ord FROM zo""",
+    "reassigned": f"WITH {ASG} SELECT tid, 2::BIGINT AS cells FROM asg WHERE tid % 5 = 0 AND level IS NOT NULL",
+    "scan_queries": f"WITH {MBR} SELECT count(*) AS n, sum(floor(min_x)) AS min_x, sum(floor(max_y)) AS max_y FROM mbr",
+    "augment_set": f"""WITH {PTS}, t AS (SELECT tid, count(*) AS k FROM pts GROUP BY tid), top AS (SELECT max(tid) AS top FROM t),
+c AS (SELECT tid, k, unnest(range(1, 2 + ({draw("pick", "tid")} < 0.5e0)::INT)) AS n FROM t),
+u AS (SELECT *, {draw("method", "tid", "n")} AS m, {draw("factor", "tid", "n")} AS f FROM c)
+SELECT tid, tid::VARCHAR AS oid, k::INT AS n_points FROM t
+UNION ALL SELECT tid + n * (top + 1), tid || '_aug', CASE WHEN m < 0.4e0 THEN k WHEN m < 0.6000000000000001e0 THEN (k - 1) * CASE WHEN f < 0.5e0 THEN 2 ELSE 3 END + 1 WHEN m < 0.78e0 THEN k
+  WHEN m < 0.9e0 AND k < 10 THEN (k - 1) * ceil(10e0 / k)::INT + 1 ELSE k END::INT FROM u, top""",
+    "gen_queries": f"WITH {events(3, 'allp')}, c AS (SELECT * FROM allp ORDER BY {draw('centre', 'tid', 'seq')}, tid, seq LIMIT 100), {around('c', (5, 10, 20))}",
+    "gen_queries_skewed": f"""WITH {events(3, "allp")}, b AS (SELECT *, least(9, floor(x / {W} * 10))::INT AS gx, least(9, floor(y / {H} * 10))::INT AS gy FROM allp),
+g AS (SELECT gx, gy, count(*) AS n FROM b WHERE x BETWEEN 0 AND 720 AND y BETWEEN 0 AND 600 GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (ORDER BY n DESC, gx, gy) AS rn, count(*) OVER () AS total FROM g), h AS (SELECT gx, gy FROM r WHERE rn <= greatest(1, floor(0.2e0 * total))),
+c AS (SELECT tid, seq, x, y FROM (SELECT b.* FROM b JOIN h USING (gx, gy) ORDER BY {draw("hot", "tid", "seq")}, tid, seq LIMIT 80) UNION ALL SELECT tid, seq, x, y FROM (SELECT * FROM allp ORDER BY {draw("all", "tid", "seq")}, tid, seq LIMIT 20)), {around("c", (5, 10, 20))}""",
+    "gen_queries_meters": f"""WITH {events(3, "allp")}, e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM allp),
+n AS (SELECT tid, seq, 115e0 + (x - x0) / (x1 - x0) * 3e0 AS x, 39e0 + (y - y0) / (y1 - y0) * 2.5e0 AS y FROM allp, e),
+c AS (SELECT * FROM n ORDER BY {draw("centre", "tid", "seq")}, tid, seq LIMIT 100), {around("c", (100, 500, 2500), True)}""",
+    "gen_queries_gaussian": f"""WITH r AS (SELECT range AS tid, 0 AS seq FROM range(200)),
+c AS (SELECT tid, seq, least(118e0, greatest(115e0, 116.4e0 + 0.3e0 * {gauss("qx", "tid")})) AS x, least(41.5e0, greatest(39e0, 39.9e0 + 0.2e0 * {gauss("qy", "tid")})) AS y FROM r), {around("c", (100, 500, 2500), True)}""",
     "format_wkt": f"WITH {PTS} SELECT tid || ',' || tid || ',0,LINESTRING(' || string_agg(floor(x)::BIGINT || ' ' || floor(y)::BIGINT, ', ' ORDER BY seq) || ')' AS value FROM pts GROUP BY tid",
     "parse_queries": f"WITH {MBR} SELECT tid % 5 * 500 AS range_meters, count(*) AS n, sum(floor(min_x)) AS min_x, sum(floor(max_y)) AS max_y FROM mbr GROUP BY 1",
     "interpolate": f"""WITH {PTS}, s AS (SELECT tid, seq, x, y, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM pts WINDOW w AS (PARTITION BY tid ORDER BY seq)), k AS (SELECT * FROM (VALUES (0), (1), (2)) AS v(j))
@@ -282,3 +325,4 @@ FROM pts a LEFT JOIN pts b ON b.tid = a.tid + 1 AND b.seq = a.seq WHERE a.tid +
     "meters_to_degrees": "SELECT event_id, round(500e0 / (111000e0 * cos(radians(value % 60))), 12) AS lon_deg, round(500e0 / 111000e0, 12) AS lat_deg FROM events",
     "split_queries": "WITH i AS (SELECT unnest(range(500)) AS query_id), r AS (SELECT query_id, (row_number() OVER (ORDER BY md5(query_id::VARCHAR), query_id) - 1) / count(*) OVER () AS p FROM i) SELECT query_id, CASE WHEN p < 0.7e0 THEN 'train' WHEN p < 0.7e0 + 0.15e0 THEN 'validation' ELSE 'test' END AS part FROM r",
 }
+ORACLE_SQL["read_part_files"] = ORACLE_SQL["parse_raw"]
