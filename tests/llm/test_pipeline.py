@@ -51,7 +51,7 @@ def toxic_scores(docs, found, totals):
     x = np.array([judges[half[t]].figures([toxicity.normal(t)])[0] for _, _, t in found])
     y = np.array([r[1] for r in found])
     order = np.lexsort((y, x[:, 1], x[:, 0]))
-    weights = toxicity.logistic(x[order], y[order])
+    weights = toxicity.logistic(x[order], y[order], toxicity.RIDGE)
     model = toxicity.Model(totals[1] / totals.sum(), toxicity.KneserNey(keys, n[:, :2] + n[:, 2:], runs), weights)
     return model.scores([t or "" for _, t in docs])
 

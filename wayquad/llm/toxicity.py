@@ -38,6 +38,8 @@ from wayquad.llm.labelled import learn_rows, logistic, sample, usable
 
 ORDER, SHARED, DISCOUNT = 5, 2, 0.9
 PER_CLASS = (3000, 3000)
+#: Ridge of the logistic function: classes lie far apart, so little of it.
+RIDGE = 1e-4
 MODULUS, HELD = 4, 2
 THRESHOLD = 0.3
 #: Runs of a text that are looked at together.
@@ -288,7 +290,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: tup
     taken = np.array([(y == 0).sum(), (y == 1).sum()])
     if not taken.all():
         return Model(share)
-    weights = logistic(x, y)
+    weights = logistic(x, y, RIDGE)
     weights[-1] += np.log(totals[1] / totals[0]) - np.log(taken[1] / taken[0])
     return Model(share, KneserNey(keys, n[:, :2] + n[:, 2:], shared), weights)
 
