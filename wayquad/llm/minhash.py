@@ -364,7 +364,8 @@ def grouped(docs: DataFrame, n: int, num: int, den: int, k: int) -> DataFrame:
     joined = components(links(docs, classes, n, num, den, k)).withColumnRenamed("v", "cls")
     several = classes.select("cls", "name", "copies").join(joined, "cls", "left").where("copies > 1 OR root IS NOT NULL").select("cls", "name", F.coalesce("root", "cls").alias("component"))
     several = pin(several)
-    several = pin(several.join(several.groupBy("component").agg(F.min("name").alias("first")), "component").select("cls", "component", "first"))
+    firsts = pin(several.groupBy("component").agg(F.min("name").alias("first")))
+    several = pin(several.join(small(firsts, firsts.count(), 64), "component").select("cls", "component", "first"))
     rows = found.select("doc_id", "body_md5", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls"))
     return rows.join(small(several, several.count(), 64), "cls", "left").drop("cls")
 
@@ -381,9 +382,9 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, k: int
     Of rows that repeat an id and its text one stays; rows without an id or without words all stay.
     """
     rows = pin(grouped(docs, n, num, den, k).where("component IS NOT NULL").groupBy("component", "doc_id", "body_md5").agg(F.count(F.lit(1)).alias("n")))
-    first = rows.groupBy("component").agg(F.min(F.struct("doc_id", "body_md5")).alias("stays"))
+    first = pin(rows.groupBy("component").agg(F.min(F.struct("doc_id", "body_md5")).alias("stays")))
     md5, stays, repeated = (fresh(docs, c) for c in ("_md5", "_stays", "_repeated"))
-    fate = rows.join(first, "component").select(
+    fate = rows.join(small(first, first.count(), 96), "component").select(
         "doc_id", F.col("body_md5").alias(md5), ((F.col("stays.doc_id") == F.col("doc_id")) & (F.col("stays.body_md5") == F.col("body_md5"))).alias(stays), (F.col("n") > 1).alias(repeated)
     )
     fate = pin(fate.where(f"NOT {stays} OR {repeated}"))
