@@ -3,6 +3,7 @@
 import json
 import math
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,7 +170,7 @@ def test_order_file_round_trip_and_greedy(spark, tmp_path):
     path = str(tmp_path / "order.json")
     order.write_order(order.entries(ordered, grid), path, grid)
     assert json.loads((tmp_path / "order.json").read_text())["metadata"]["quadtree_max_level"] == 4
-    back = {(r["quad_code"], r["ord"], r["level"], r["ix"], r["iy"]) for r in order.read_order(spark, path, grid).collect()}
+    back = {(r["quad_code"], r["ord"], r["level"], r["ix"], r["iy"]) for r in order.read_order(spark, path).collect()}
     assert back == {(r["quad_code"], r["ord"], r["level"], r["ix"], r["iy"]) for r in ordered.collect()}
     sims = {(r["code_a"], r["code_b"]): r["sim"] for r in similarity.jaccard(own, cells, grid).collect()}
     listed = [r.asDict() for r in cells.collect()]
@@ -179,6 +180,62 @@ def test_order_file_round_trip_and_greedy(spark, tmp_path):
     assert all(0 < s <= 1 for s in sims.values())
 
 
+def test_order_file_with_coverage(spark, tmp_path):
+    grid = Grid(0, 0, 100, 100, levels=4, alpha=2, beta=2)
+    own = index.signed(index.prune(index.assign(rows_of(spark, *walks(150)), grid), grid, 3), grid)
+    cells = index.active_cells(own, grid)
+    ordered = index.z_order(cells)
+    q = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 10.0, 5.0, 70.0, 60.0), (3, -9.0, -9.0, 300.0, 300.0), (4, 200.0, 200.0, 300.0, 300.0)], "query_id int, min_x double, min_y double, max_x double, max_y double")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "lo", "hi").collect()))
+    wanted = rows(search.order_intervals(q, own, cells, ordered, grid))
+    for source, covered in (("pruned_default_xz_order", True), ("learned", False)):
+        path = str(tmp_path / f"{source}.json")
+        order.write_order(order.entries(ordered, grid), path, grid, source, {"min_trajs": 3})
+        meta = order.read_metadata(spark, path)
+        assert (meta["order_source"], order.covers(meta)) == (source, covered)
+        data = json.loads(Path(path).read_text())
+        assert data["metadata"]["min_trajs"] == 3
+        assert all(("effective_subtree_orders" in e["coverage"]) != covered for e in data["ordering"])
+        assert rows(search.coverage_intervals(q, own, cells, order.read_order(spark, path), grid)) == wanted
+    # An order with a gap in a subtree is not marked as contiguous, whatever its name.
+    swapped = order.entries(ordered, grid).withColumn("ord", F.when(F.col("ord") < 1, F.lit(10_000)).otherwise(F.col("ord")))
+    order.write_order(swapped, str(tmp_path / "s.json"), grid, "xz")
+    assert not order.covers(order.read_metadata(spark, str(tmp_path / "s.json")))
+
+
+def test_order_file_odd_entries(spark, tmp_path):
+    path = tmp_path / "odd.json"
+    ordering = [{"quad_code": [1, 2], "order": 5}, {"quad_code": 3, "order": 1, "coverage": {"effective_subtree_count": 4}}, {"order": 2}, {"quad_code": 4}, {"quad_code": "x", "order": 3}, {"quad_code": 99, "order": 4}, {"quad_code": 3, "order": 0}]
+    path.write_text(json.dumps({"ordering": ordering, "metadata": {"quadtree_max_level": 1}}))
+    got = {(r["quad_code"], r["ord"], r["level"], r["effective_subtree_count"]) for r in order.read_order(spark, str(path)).collect()}
+    assert got == {(1, 5, 1, None), (2, 5, 1, None), (3, 0, 1, None)}
+    assert not order.covers(order.read_metadata(spark, str(path)))
+    for text in ('{"ordering": []}', '{"metadata": {"quadtree_max_level": 1}}', '{"ordering": [], "metadata": {}}'):
+        path.write_text(text)
+        with pytest.raises(ValueError, match="order file"):
+            order.read_order(spark, str(path))
+    with pytest.raises(ValueError, match="not an order file"):
+        order.read_order(spark, str(tmp_path / "odd.csv"))
+
+
+def test_adapted_grids_lose_nothing(spark):
+    grid = Grid(0, 0, 100, 100, levels=4, alpha=2, beta=2)
+    own = index.signed(index.prune(index.assign(rows_of(spark, *walks(150)), grid), grid, 3), grid)
+    cells = index.active_cells(own, grid)
+    chosen = own.select("quad_code").distinct().select("quad_code", (F.col("quad_code") % 7 + 2).cast("int").alias("alpha"), F.when(F.col("quad_code") % 2 == 0, 8).otherwise(3).alias("beta"))
+    fine, sized = partition.adapted(own, cells, chosen, grid)
+    assert fine.count() == own.count()
+    assert fine.where("sig = 0").count() == 0
+    q = spark.createDataFrame([(i, x, y, x + w, y + w) for i, (x, y, w) in enumerate([(0.0, 0.0, 9.0), (30.0, 40.0, 5.0), (50.0, 50.0, 50.0), (-5.0, 20.0, 60.0), (97.0, 97.0, 1.0)])], "query_id int, min_x double, min_y double, max_x double, max_y double")
+    pairs = lambda df: set(map(tuple, df.select("query_id", "tid").collect()))
+    found = pairs(search.candidates(q, fine, sized, grid))
+    points = own.select("tid", F.explode("points").alias("p")).select("tid", "p.x", "p.y")
+    assert pairs(search.exact_points(q, points, grid)) <= found
+    counts = partition.shrunk(sized, Grid(0, 0, 100, 100, levels=4, alpha=4, beta=4)).first()
+    listed = [(r["alpha"], r["beta"]) for r in sized.collect()]
+    assert tuple(counts) == (sum(a < 4 for a, _ in listed), sum(b < 4 for _, b in listed), sum(a < 4 and b < 4 for a, b in listed))
+
+
 def test_augmentation(spark):
     t = rows_of(spark, (1, [(0, 0), (3, 6)]), (2, [(1, 1), (2, 2), (5, 1)]))
     pts = {r["tid"]: [(p["x"], p["y"]) for p in r["p"]] for r in t.select("tid", augment.interpolate("points", 3).alias("p")).collect()}

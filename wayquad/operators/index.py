@@ -41,8 +41,8 @@ def assign(trajectories: DataFrame, grid: Grid) -> DataFrame:
     return mbr(trajectories).withColumn("_cell", F.when(inside, cell)).select("*", "_cell.level", "_cell.ix", "_cell.iy", "_cell.quad_code").drop("_cell")
 
 
-def signed(assigned: DataFrame, grid: Grid, alpha: int | None = None, beta: int | None = None) -> DataFrame:
-    """Add ``sig``, the signature in the enlarged element of the trajectory's cell."""
+def signed(assigned: DataFrame, grid: Grid, alpha: int | str | None = None, beta: int | str | None = None) -> DataFrame:
+    """Add ``sig``, the signature in the enlarged element of the trajectory's cell; ``alpha`` and ``beta`` may name columns."""
     ee = cell_box(grid, F.col("level"), F.col("ix"), F.col("iy"), grid.alpha, grid.beta)
     named = assigned.withColumns(dict(zip(("_a", "_b", "_c", "_d"), ee, strict=True)))
     return named.withColumn("sig", signature.of_points("points", ("_a", "_b", "_c", "_d"), alpha or grid.alpha, beta or grid.beta)).drop("_a", "_b", "_c", "_d")

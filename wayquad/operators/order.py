@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import json
 import math
 
@@ -46,31 +47,87 @@ def metadata(cells: DataFrame, trajectories: DataFrame, partitions: DataFrame, g
     return joined.withColumns({"min_trajectories": F.lit(least), "max_level": F.lit(grid.levels)})
 
 
-def write_order(entry_rows: DataFrame, path: str, grid: Grid, source: str = "z") -> None:
-    """The order file: a table of cells is bounded, so the driver writes it."""
+def write_order(entry_rows: DataFrame, path: str, grid: Grid, source: str = "z", facts: dict | None = None) -> None:
+    """The order file: a table of cells is bounded, so the driver writes it.
+
+    Orders whose ``source`` names xz are marked as contiguous if every subtree follows its cell without a gap;
+    all others list the positions of their subtrees.  ``facts`` are more metadata, such as the row of ``metadata``.
+    """
     rows = entry_rows.orderBy("ord").collect()
+    by_code = sorted((r["quad_code"], r["ord"]) for r in rows)
+    at = [c for c, _ in by_code]
+
+    def below(r) -> list[int]:
+        end = r["quad_code"] + codes.subtree_size(r["level"], grid.levels)
+        return sorted(o for _, o in by_code[bisect.bisect_right(at, r["quad_code"]) : bisect.bisect_left(at, end)])
+
+    subtrees = [below(r) for r in rows]
+    contiguous = "xz" in source.lower() and all(s == list(range(r["ord"] + 1, r["ord"] + 1 + len(s))) for r, s in zip(rows, subtrees, strict=True))
     ordering = [
         {
             "quad_code": r["quad_code"],
             "order": r["ord"],
             "parent": {"alpha": r["alpha"], "beta": r["beta"], "level": r["level"], "element_code": r["quad_code"], "xmin": r["xmin"], "ymin": r["ymin"]},
-            "coverage": {"effective_subtree_count": r["effective_subtree_count"]},
+            "coverage": {"effective_subtree_count": len(s)} | ({} if contiguous else {"effective_subtree_orders": s}),
         }
-        for r in rows
+        for r, s in zip(rows, subtrees, strict=True)
     ]
-    meta = {"version": "1.4", "order_source": source, "quadtree_max_level": grid.levels, "total_cells": len(rows), "bbox": [grid.min_x, grid.min_y, grid.max_x, grid.max_y]}
+    meta = {
+        **(facts or {}),
+        "version": "1.4",
+        "order_source": source,
+        "effective_subtree_contiguous": contiguous,
+        "quadtree_max_level": grid.levels,
+        "total_cells": codes.subtree_size(0, grid.levels),
+        "active_cells": len(rows),
+        "spatial_boundary": dict(zip(("xmin", "ymin", "xmax", "ymax"), (grid.min_x, grid.min_y, grid.max_x, grid.max_y), strict=True)),
+        "global_alpha": grid.alpha,
+        "global_beta": grid.beta,
+        "max_partition": max((r["alpha"] * r["beta"] for r in rows), default=grid.alpha * grid.beta),
+    }
     with open(path, "w", encoding="utf-8") as file:
         json.dump({"ordering": ordering, "metadata": meta}, file)
 
 
-def read_order(spark, path: str, grid: Grid) -> DataFrame:
-    """(quad_code, ord, level, ix, iy) of an order file; entries without a valid code fall out, later repeats too."""
-    data = spark.read.json(path, multiLine=True)
-    if not {"ordering", "metadata"} <= set(data.columns):
-        raise ValueError("an order file has ordering and metadata")
-    rows = data.select(F.explode("ordering").alias("e")).select(F.col("e.quad_code").cast("long").alias("quad_code"), F.col("e.order").cast("long").alias("ord"))
-    first = rows.groupBy("quad_code").agg(F.min("ord").alias("ord"))
-    return first.withColumn("c", codes.decode(grid.levels)).where("c IS NOT NULL").select("quad_code", "ord", "c.level", "c.ix", "c.iy")
+#: The parts of an order file that are read.  Codes and positions are cast one by one, so a bad one costs its entry only.
+ORDER_FILE = (
+    "ordering array<struct<quad_code:string,`order`:string,coverage:struct<effective_subtree_count:bigint>>>,"
+    " metadata struct<quadtree_max_level:int,order_source:string,effective_subtree_contiguous:boolean>"
+)
+
+
+def _order_file(spark, path: str) -> DataFrame:
+    if not path.endswith(".json"):
+        raise ValueError(f"not an order file: {path}")
+    return spark.read.schema(ORDER_FILE).json(path, multiLine=True)
+
+
+def read_metadata(spark, path: str) -> dict:
+    """quadtree_max_level, order_source and effective_subtree_contiguous (None where absent) of an order file."""
+    row = _order_file(spark, path).first()
+    if row is None or row["ordering"] is None or row["metadata"] is None or row["metadata"]["quadtree_max_level"] is None:
+        raise ValueError("an order file has ordering and metadata with quadtree_max_level")
+    return row["metadata"].asDict()
+
+
+def covers(meta: dict) -> bool:
+    """May ``search.coverage_intervals`` be used with the order of this file?"""
+    return "xz" in (meta["order_source"] or "").lower() and meta["effective_subtree_contiguous"] is True
+
+
+def read_order(spark, path: str) -> DataFrame:
+    """(quad_code, ord, level, ix, iy, effective_subtree_count) of an order file.
+
+    An entry names one code or a list of them.  Entries without a position or a code that a cell of the file's tree
+    has fall out; of repeated codes the smallest position counts.  The count is null where the file has none.
+    """
+    levels = read_metadata(spark, path)["quadtree_max_level"]
+    rows = _order_file(spark, path).select(F.explode("ordering").alias("e"))
+    named = rows.select(F.explode(F.split(F.translate("e.quad_code", "[] ", ""), ",")).alias("code"), F.expr("try_cast(e.`order` AS BIGINT)").alias("ord"), "e.coverage.effective_subtree_count")
+    valid = named.withColumn("quad_code", F.expr("try_cast(code AS BIGINT)")).where("quad_code IS NOT NULL AND ord IS NOT NULL")
+    first = valid.groupBy("quad_code").agg(F.min(F.struct("ord", "effective_subtree_count")).alias("m"))
+    placed = first.withColumn("c", codes.decode(levels)).where("c IS NOT NULL")
+    return placed.select("quad_code", "m.ord", "c.level", "c.ix", "c.iy", "m.effective_subtree_count")
 
 
 def complete_order(prefix: DataFrame, default: DataFrame) -> DataFrame:

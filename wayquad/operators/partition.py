@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wayquad.functions.geometry import Grid, cell_box
-from wayquad.functions.signature import square
+from wayquad.functions.signature import LARGEST, square
+from wayquad.operators import index
+from wayquad.session import small
 
 OCCUPANCY_WEIGHT, DISCRIMINATION_WEIGHT = 0.3, 0.7
-SAMPLE, GAIN, LARGEST = 64, 1.1, 8
+SAMPLE, GAIN = 64, 1.1
 
 
 def scores(trajectories: DataFrame, grid: Grid, options: list[tuple[int, int]], sample: int = SAMPLE) -> DataFrame:
@@ -49,3 +51,21 @@ def choose(rated: DataFrame) -> DataFrame:
 
 def options(grid: Grid, largest: int = LARGEST) -> list[tuple[int, int]]:
     return [(a, b) for a in range(min(grid.alpha, largest), largest + 1) for b in range(min(grid.beta, largest), largest + 1)]
+
+
+def adapted(trajectories: DataFrame, cells: DataFrame, chosen: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
+    """Both tables with each cell's own grid: the cells get alpha and beta, the trajectories new signatures.
+
+    ``chosen`` is (quad_code, alpha, beta) with sides of ``LARGEST`` at most; other cells keep the grid of all.
+    Enlarged elements stay those of the grid of all.  Trajectories without a cell fall out.
+    """
+    own = chosen.select("quad_code", F.col("alpha").alias("_a"), F.col("beta").alias("_b"))
+    sized = small(cells.drop("alpha", "beta").join(own, "quad_code", "left").withColumns({"alpha": F.coalesce("_a", F.lit(grid.alpha)), "beta": F.coalesce("_b", F.lit(grid.beta))}).drop("_a", "_b"))
+    placed = trajectories.drop("sig", "alpha", "beta").join(sized.select("quad_code", "alpha", "beta"), "quad_code")
+    return index.signed(placed, grid, "alpha", "beta").drop("alpha", "beta"), sized
+
+
+def shrunk(cells: DataFrame, grid: Grid) -> DataFrame:
+    """One row (shrunk_alpha, shrunk_beta, both_shrunk): how many cells have a coarser grid than that of all."""
+    a, b = F.col("alpha") < grid.alpha, F.col("beta") < grid.beta
+    return cells.agg(F.count_if(a).alias("shrunk_alpha"), F.count_if(b).alias("shrunk_beta"), F.count_if(a & b).alias("both_shrunk"))

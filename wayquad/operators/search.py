@@ -21,14 +21,18 @@ ROOT = Grid()
 
 
 def related(queries: DataFrame, cells: DataFrame, grid: Grid) -> DataFrame:
-    """Queries with the cells whose enlarged elements they contain ('C') or intersect ('I'), and the box's signature there."""
+    """Queries with the cells whose enlarged elements they contain ('C') or intersect ('I'), and the box's signature there.
+
+    The signature is in the cell's own grid where ``cells`` has alpha and beta, as the trajectories' must be then.
+    """
+    parts = (F.col("alpha"), F.col("beta")) if {"alpha", "beta"} <= set(cells.columns) else (grid.alpha, grid.beta)
     ee = cell_box(grid, F.col("level"), F.col("ix"), F.col("iy"), grid.alpha, grid.beta)
     placed = cells.withColumns(dict(zip(("ee_min_x", "ee_min_y", "ee_max_x", "ee_max_y"), ee, strict=True)))
     if queries.limit(MAX_QUERIES + 1).count() > MAX_QUERIES:
         raise ValueError(f"more than {MAX_QUERIES} queries in one batch")
     met = placed.join(F.broadcast(queries), contains(box(), box("ee_")) | intersects(box(), box("ee_")))
     held = contains(box(), box("ee_"))
-    return met.select("query_id", "quad_code", "level", "n", F.when(held, "C").otherwise("I").alias("rel"), signature.of_box(box(), box("ee_"), grid.alpha, grid.beta).alias("qsig"))
+    return met.select("query_id", "quad_code", "level", "n", F.when(held, "C").otherwise("I").alias("rel"), signature.of_box(box(), box("ee_"), *parts, rows=max(grid.alpha, signature.LARGEST)).alias("qsig"))
 
 
 def _top(rel: DataFrame, grid: Grid) -> DataFrame:
@@ -85,6 +89,24 @@ def order_intervals(queries: DataFrame, trajectories: DataFrame, cells: DataFram
     return merge_intervals(positions.select("query_id", F.col("ord").alias("lo"), (F.col("ord") + 1).alias("hi")))
 
 
+def coverage_intervals(queries: DataFrame, trajectories: DataFrame, cells: DataFrame, order: DataFrame, grid: Grid, planned: Plan | None = None) -> DataFrame:
+    """Merged scan ranges of positions in an order whose subtrees are contiguous (``order.covers`` of its file).
+
+    ``order`` is (quad_code, ord, effective_subtree_count): a contained cell stands for one range over its subtree.
+    Contained cells without a position or a count give the positions of their subtrees one by one.
+    """
+    top, under, crossing = planned or plan(queries, cells, grid)
+    counted = order.where("ord IS NOT NULL AND effective_subtree_count IS NOT NULL")
+    whole = top.join(counted.select("quad_code", "ord", "effective_subtree_count"), "quad_code")
+    bare = top.join(counted.select("quad_code"), "quad_code", "left_anti")
+    ends = bare.select(F.col("query_id").alias("qq"), F.col("quad_code").alias("up"), (F.col("quad_code") + codes.subtree_size_of(F.col("level"), grid.levels)).alias("up_end"))
+    rest = under.join(ends, (F.col("query_id") == F.col("qq")) & (F.col("quad_code") >= F.col("up")) & (F.col("quad_code") < F.col("up_end")), "left_semi")
+    single = _matched(crossing, trajectories).select("query_id", "quad_code").distinct()
+    units = rest.select("query_id", "quad_code").union(single).join(order.select("quad_code", "ord"), "quad_code")
+    raw = whole.select("query_id", F.col("ord").alias("lo"), (F.col("ord") + F.col("effective_subtree_count") + 1).alias("hi"))
+    return merge_intervals(raw.union(units.select("query_id", F.col("ord").alias("lo"), (F.col("ord") + 1).alias("hi"))))
+
+
 def exact_points(queries: DataFrame, points: DataFrame, grid: Grid = ROOT) -> DataFrame:
     """(query_id, tid) with a point in the box; ``grid`` only gives the tiles by which they meet."""
     placed = points.select("tid", "x", "y", tile_of(F.col("x"), grid.min_x, grid.width).alias("tx"), tile_of(F.col("y"), grid.min_y, grid.height).alias("ty"))

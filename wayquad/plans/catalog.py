@@ -205,6 +205,22 @@ def partition_choice_sampled(spark, d):
     return partition.choose(partition.scores(own, GRID, partition.options(GRID)))
 
 
+def range_candidates_adaptive(spark, d):
+    own, cells = partition.adapted(*pruned(spark, d), partition_choice(spark, d), GRID)
+    return search.candidates(boxes(spark), own, cells, GRID)
+
+
+def traj_signature_adaptive(spark, d):
+    return partition.adapted(*pruned(spark, d), partition_choice(spark, d), GRID)[0].select("tid", "quad_code", "sig")
+
+
+def xz_intervals(spark, d):
+    """Ranges of the Z order with coverage, but for every seventh cell, whose count is missing."""
+    own, cells = pruned(spark, d)
+    listed = order.subtree_orders(index.z_order(cells), GRID).withColumn("effective_subtree_count", F.when(F.col("ord") % 7 != 0, F.col("effective_subtree_count")))
+    return search.coverage_intervals(boxes(spark), own, cells, listed, GRID)
+
+
 def order_merge(spark, d):
     own, cells = pruned(spark, d)
     rows = order.entries(index.z_order(cells), GRID, partition.choose(_options(spark, d)))
@@ -461,7 +477,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         signature_jaccard, topk_similar, eight_neighbours, traj_statistics, static_features, greedy_order, level_histogram, level_summary, cell_load_buckets, fill_rate_cdf,
         dataset_report, length_bins, path_length, sampling_intervals, moving_average, point_centre, hotspot_grid, normalize_traj, global_bounds, clean_filter, parse_raw, parse_taxi,
         parse_time, format_wkt, parse_queries, interpolate, rotate, scale, mix, meters_to_degrees, augment_set, synthetic_walks, gen_queries, gen_queries_skewed, gen_queries_meters, gen_queries_gaussian, split_queries,
-        read_part_files, action_limit, nearest_active, unique_active, reassigned, scan_queries,
+        range_candidates_adaptive, traj_signature_adaptive, xz_intervals, read_part_files, action_limit, nearest_active, unique_active, reassigned, scan_queries,
     )
 }
 QUERIES |= {"parse_txt": _round_trip("txt", src.parse_txt), "parse_geojson": _round_trip("geojson", src.parse_geojson), "parse_wkt": _round_trip("wkt", src.parse_wkt)}

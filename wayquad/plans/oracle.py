@@ -29,16 +29,21 @@ def bit(x: str, y: str, e0: str, e1: str, e2: str, e3: str, a: str | int = A, b:
     return f"({at(x, e0, e2, a)} * {b} + {at(y, e1, e3, b)})::INT"
 
 
-def qsig(e0: str = "c0", e1: str = "c1", e2: str = "c2", e3: str = "c3") -> str:
+def one(n: str) -> str:
+    """A number whose bit ``n``, of 0 to 63, is set."""
+    return f"CASE WHEN {n} >= 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << least({n}, 62) END"
+
+
+def qsig(e0: str = "c0", e1: str = "c1", e2: str = "c2", e3: str = "c3", a: str | int = A, b: str | int = B, sides: tuple[int, int] = (A, B)) -> str:
     lo = lambda q, s, e, n: f"greatest(0, floor(({q} - {s} + 1e-12) / (({e} - {s}) / ({n} + 1e-12))))"
     hi = lambda q, s, e, n: f"least({n} - 1, floor(({q} - {s} - 1e-12) / (({e} - {s}) / ({n} + 1e-12))))"
     parts = []
-    for i in range(A):
-        for j in range(B):
+    for i in range(sides[0]):
+        for j in range(sides[1]):
             parts.append(
-                f"CASE WHEN {lo('q.min_x', e0, e2, A)} <= {i} AND {i} <= {hi('q.max_x', e0, e2, A)} AND {lo('q.min_y', e1, e3, B)} <= {j} AND {j} <= {hi('q.max_y', e1, e3, B)} THEN {1 << (i * B + j)} ELSE 0 END"
+                f"CASE WHEN {lo('q.min_x', e0, e2, a)} <= {i} AND {i} <= {hi('q.max_x', e0, e2, a)} AND {lo('q.min_y', e1, e3, b)} <= {j} AND {j} <= {hi('q.max_y', e1, e3, b)} THEN {one(f'({i} * {b} + {j})::INT')} ELSE 0 END"
             )
-    return "(" + " + ".join(parts) + ")::BIGINT"
+    return "(" + " | ".join(parts) + ")::BIGINT"
 
 
 def events(chunk: int, name: str) -> str:
@@ -140,6 +145,11 @@ CHOSEN = (
 listed AS (SELECT quad_code, list({'alpha': alpha, 'beta': beta, 'score': score} ORDER BY alpha, beta) AS o FROM rated GROUP BY quad_code),
 chosen AS (SELECT quad_code, list_reduce(o, lambda b, x: CASE WHEN x.score > b.score * 1.1e0 THEN x ELSE b END) AS b FROM listed)"""
 )
+#: The pruned tables with each cell's own grid.
+ADAPTED = f"""{CHOSEN},
+sized AS (SELECT cells.*, coalesce(b.alpha, {A}) AS alpha, coalesce(b.beta, {B}) AS beta FROM cells LEFT JOIN chosen USING (quad_code)),
+fine AS (SELECT own.tid, own.quad_code, bit_or({one(bit("x", "y", "c0", "c1", "c2", "c3", "alpha", "beta"))}) AS sig FROM own JOIN sized USING (quad_code) JOIN pts ON pts.tid = own.tid GROUP BY own.tid, own.quad_code)"""
+ADAPTED_PLAN = PLAN.replace("FROM cells),\nrel", "FROM sized),\nrel").replace(qsig(), qsig(a="alpha", b="beta", sides=(8, 8))).replace("JOIN own USING", "JOIN fine USING").replace("own.quad_code", "fine.quad_code")
 JACCARD = f"""{PRUNED},
 cb AS (SELECT quad_code AS other, {cell()} FROM cells),
 sh AS (SELECT least(quad_code, other) AS code_a, greatest(quad_code, other) AS code_b, count(*) AS shared FROM own q, cb WHERE quad_code <> other AND {MEETS.replace('c0', 'cb.c0').replace('c1', 'cb.c1').replace('c2', 'cb.c2').replace('c3', 'cb.c3')} GROUP BY 1, 2),
@@ -247,6 +257,9 @@ s AS (SELECT a.quad_code, count(b.ord) AS k FROM zo a LEFT JOIN zo b ON b.quad_c
 SELECT quad_code, ord, level, {A}::INT AS alpha, {B}::INT AS beta, round(ix * ({W} * pow(0.5e0, level)), 9) AS xmin, round(iy * ({H} * pow(0.5e0, level)), 9) AS ymin, k AS effective_subtree_count, ord + k + 1 AS scan_end FROM zo JOIN s USING (quad_code)""",
     "partition_score": f"WITH {RATED} SELECT * FROM rated",
     "partition_choice": f"WITH {CHOSEN} SELECT quad_code, b.alpha AS alpha, b.beta AS beta FROM chosen",
+    "range_candidates_adaptive": f"WITH {ADAPTED}, {ADAPTED_PLAN} SELECT query_id, tid FROM cands",
+    "traj_signature_adaptive": f"WITH {ADAPTED} SELECT tid, quad_code, sig FROM fine",
+    "xz_intervals": f"""WITH {PRUNED}, {PLAN}, {merged("rawo", "m")} SELECT query_id, lo, hi FROM m""",
     "order_merge": f"WITH {CHOSEN} SELECT quad_code, row_number() OVER (ORDER BY quad_code) - 1 AS ord, coalesce(b.alpha, {A}) AS alpha, coalesce(b.beta, {B}) AS beta FROM cells LEFT JOIN chosen USING (quad_code)",
     "order_metadata": f"""WITH {CHOSEN} SELECT (SELECT count(*) FROM cells) AS total_cells, (SELECT sum(n)::BIGINT FROM cells) AS total_trajectories, (SELECT max(s) FROM (SELECT count(DISTINCT sig) AS s FROM own GROUP BY quad_code)) AS max_shape_count,
   (SELECT max(b.alpha * b.beta) FROM chosen)::INT AS max_partition, {LEAST}::INT AS min_trajectories, {L}::INT AS max_level""",
