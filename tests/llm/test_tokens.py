@@ -122,3 +122,15 @@ def test_queries(spark, library, tmp_path):
         ids = [*expected(library, TEXTS[r["doc_id"]]), 2]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+
+
+def test_cut_equals_the_published_pattern():
+    """Every character by itself, doubled, and beside letters, digits, marks and spaces, within and beyond U+FFFF."""
+    m = bpe.model(PATH)
+    chars = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x10000), 0x10000, 0x10400, 0x1D7CE, 0x1F600, 0x20000)]
+    for c in chars:
+        text = f"a{c} {c}b1{c}{c} .{c}\n{c}"
+        assert m.cut(text) == m.pre.findall(text)
+    whole = "".join(chars)
+    assert m.cut(whole) == m.pre.findall(whole)
+    assert m.cut(whole[:60_000]) == m.pre.findall(whole[:60_000])
