@@ -224,3 +224,41 @@ def test_query_and_pages_of_the_usual_kind(spark, tmp_path):
     assert got.columns[:4] == ["page_id", "url", "text", "n_chars"]
     for r in got.collect():
         assert (r["text"], r["n_chars"], r["by_wrapper"]) == (want[r["page_id"]], len(want[r["page_id"]]), True)
+
+
+def test_matching_is_the_same_at_every_size(monkeypatch):
+    """However the sizes are kept, the matching is the one of a plain table."""
+    rng = random.Random(11)
+    kinds = ["<p>a</p>", "<h2>b</h2>", "<pre>c</pre>", "<div><p>a</p><h2>b</h2></div>", "<div><h2>b</h2><p>a</p><pre>c</pre></div>"]
+    cases = [["".join(rng.choice(kinds) for _ in range(rng.randint(1, 60))) for _ in range(2)] for _ in range(20)]
+    # The second page has what the first has, behind as much again of another kind.
+    same = "".join(f"<h3>t{k}</h3><p>x{k}</p>" for k in range(100))
+    cases.append([same, "<pre>c</pre><table>d</table>" * 100 + same])
+    trees = [[html.skeleton(html.parse(x)) for x in case] for case in cases]
+
+    def matchings():
+        return [(size, [(x.number, y.number) for x, y in pairs]) for size, pairs in (html.align(*t) for t in trees)]
+
+    monkeypatch.setattr(html, "WIDE", 1 << 40)
+    plain = matchings()
+    assert plain[-1][0] == 201
+    for wide, cells, kept in ((0, 1 << 21, 64), (0, 100, 3), (0, 1, 64), (1 << 40, 100, 5)):
+        for name, value in (("WIDE", wide), ("CELLS", cells), ("KEPT", kept)):
+            monkeypatch.setattr(html, name, value, raising=False)
+        assert matchings() == plain
+
+
+def test_template_of_wide_pages_and_large_tables(spark, monkeypatch):
+    """A fixed text goes from pages with any number of siblings before it, and wrappers that are not broadcast give the same."""
+    fixed = "All rights kept by the owners of this place"
+    rows, want = [], {}
+    for k in range(8):
+        head = [f"{tag} {n} of page {k}" for n in range(150 if k >= 6 else 10) for tag in ("blockquote", "pre")]
+        tail = [f"{tag} {n} of page {k}" for n in range(150) for tag in ("h3", "p")]
+        elements = lambda texts: "".join("<{0}>{1}</{0}>".format(t.split()[0], t) for t in texts)
+        rows.append((k, "http://wide.example/x", f"<html><body>{elements(head)}<address>{fixed}</address>{elements(tail)}</body></html>"))
+        want[k] = "\n".join(head + tail)
+    df = spark.createDataFrame(rows, PAGE).repartition(3)
+    for limit in (html.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(html, "BROADCAST_BYTES", limit)
+        assert {r["page_id"]: r["text"] for r in html.extract(df).collect()} == want

@@ -30,8 +30,9 @@ host otherwise.
 
 Defined results: null and empty html give the empty text; a null url counts as host ''; truncated pages and
 tags that are never closed are read like a browser does; nesting of any depth and any number of siblings are
-read (the matching of more than ``WIDE`` pairs of siblings keeps to a band of ``BAND`` beside the diagonal; nodes
-outside it are not aligned, and stay); repeated rows are extracted each.
+read, and matched exactly (many siblings in arrays, with the matching that a plain table gives); repeated rows
+are extracted each.  Sizes of pages and tables choose how something is computed, never what comes out; ``VOTERS`` is
+the least evidence for a template, counted for each text.
 """
 
 from __future__ import annotations
@@ -40,9 +41,10 @@ import json
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,7 +53,8 @@ from pyspark.sql.window import Window
 from wayquad.llm.common import pin, ready, shared_dir, slices, table
 
 CONSTANT, VOTERS, REGION, MOST, NEAR = 0.8, 3, 0.9, 0.5, 0.9
-WIDE, BAND = 1 << 16, 64
+#: Pairs of siblings from which on they are matched in arrays, and sizes and rows of them kept at once; none changes a result.
+WIDE, CELLS, KEPT = 1 << 16, 1 << 21, 64
 BROADCAST_BYTES = 8 << 20
 #: Element names of the HTML standard by their role in parsing and layout (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -363,8 +366,16 @@ def load(data: str) -> Slot:
     return numbered(done[0])
 
 
+#: A row of sizes, see Matching._rows.
+Row = list[int] | np.ndarray
+
+
 class Matching:
-    """Simple tree matching of two skeletons: the largest order-preserving matching of slots with equal tags."""
+    """Simple tree matching of two skeletons: the largest order-preserving matching of slots with equal tags.
+
+    The size of a pair follows from the two shapes, so it is counted once for each pair of shapes.  Of equally large matchings the same one
+    is taken however many siblings there are.
+    """
 
     def __init__(self, a: Slot, b: Slot):
         self.known: dict[tuple[int, int], int] = {}
@@ -376,18 +387,10 @@ class Matching:
             self.pairs.append((x, y))
             todo.extend(zip(x.children, y.children, strict=True) if x.shape == y.shape else self._matched(x, y))
 
-    @staticmethod
-    def _span(i: int, m: int, n: int) -> tuple[int, int]:
-        """The children of the second that child ``i`` (from 1) of the first may meet."""
-        if m * n <= WIDE:
-            return 1, n
-        middle = i * n // m
-        return max(1, middle - BAND), min(n, middle + BAND)
-
     def _pair(self, x: Slot, y: Slot) -> int:
         if x.label != y.label:
             return 0
-        return x.count if x.shape == y.shape else self.known.get((id(x), id(y)), -1)
+        return x.count if x.shape == y.shape else self.known.get((x.shape, y.shape), -1)
 
     def _size(self, a: Slot, b: Slot) -> int:
         todo = [(a, b)]
@@ -396,56 +399,96 @@ class Matching:
             if self._pair(x, y) >= 0:
                 todo.pop()
                 continue
-            m, n = len(x.children), len(y.children)
-            open_ = []
-            for i in range(1, m + 1):
-                low, high = self._span(i, m, n)
-                open_ += [(x.children[i - 1], y.children[j - 1]) for j in range(low, high + 1) if self._pair(x.children[i - 1], y.children[j - 1]) < 0]
-            if open_:
+            first, second = _unlike(x, y)
+            kinds = _kinds(second)
+            if open_ := [(c, d) for c in _kinds(first) for d in kinds if self._pair(c, d) < 0]:
                 todo.extend(open_)
                 continue
             todo.pop()
-            self.known[id(x), id(y)] = 1 + (self._table(x, y)[-1][1][-1] if m and n else 0)
+            row, step = self._rows(first, second)
+            for i in range(len(first)):
+                row = step(row, i)
+            self.known[x.shape, y.shape] = 1 + int(row[-1]) + sum(c.count for c in x.children[len(first) :])
         return self._pair(a, b)
 
-    def _table(self, x: Slot, y: Slot) -> list[tuple[int, list[int]]]:
-        """For each child of the first a row of sizes: its first column and the sizes from there on."""
-        m, n = len(x.children), len(y.children)
-        rows = [(0, [0] * (n + 1))]
-        for i in range(1, m + 1):
-            low, high = self._span(i, m, n)
-            row: list[int] = []
-            for j in range(low, high + 1):
-                here = max(_at(rows[-1], j), _at(rows[-1], j - 1) + self._pair(x.children[i - 1], y.children[j - 1]))
-                row.append(max(here, row[-1]) if row else here)
-            rows.append((low, row))
-        return rows
+    def _rows(self, first: list[Slot], second: list[Slot]) -> tuple[Row, Callable[[Row, int], Row]]:
+        """Sizes of the first i siblings with 0, 1, ... of the second ones: the row of i = 0, and the step from row i to the next.
+
+        A step goes as far as the row that it is given.  More than ``WIDE`` pairs of siblings are stepped in arrays, with the same sizes.
+        """
+        if len(first) * len(second) <= WIDE:
+
+            def step(row: list[int], i: int) -> list[int]:
+                out, c = [0], first[i]
+                for j in range(1, len(row)):
+                    out.append(max(out[-1], row[j], row[j - 1] + self._pair(c, second[j - 1])))
+                return out
+
+            return [0] * (len(second) + 1), step
+
+        lines, heads = _kinds(first), _kinds(second)
+        sizes = np.array([[self._pair(c, d) for d in heads] for c in lines], np.int32)
+        line = {c.shape: n for n, c in enumerate(lines)}
+        column = {d.shape: n for n, d in enumerate(heads)}
+        columns = np.array([column[d.shape] for d in second])
+        known: dict[int, np.ndarray] = {}
+
+        def array_step(row: np.ndarray, i: int) -> np.ndarray:
+            kind = line[first[i].shape]
+            if kind not in known:
+                if len(known) * len(columns) > CELLS:
+                    known.clear()
+                known[kind] = sizes[kind][columns]
+            out = np.zeros_like(row)
+            np.add(row[:-1], known[kind][: len(row) - 1], out=out[1:])
+            np.maximum(row[1:], out[1:], out=out[1:])
+            return np.maximum.accumulate(out, out=out)
+
+        return np.zeros(len(second) + 1, np.int32), array_step
 
     def _matched(self, x: Slot, y: Slot) -> Iterator[tuple[Slot, Slot]]:
-        i, j = len(x.children), len(y.children)
-        if not i or not j:
-            return
-        rows = self._table(x, y)
+        """The matched children from the last to the first.  Of more than ``CELLS`` sizes only some rows are kept, and those between are made again."""
+        first, second = _unlike(x, y)
+        i, j = len(first), len(second)
+        yield from zip(reversed(x.children[i:]), reversed(y.children[j:]), strict=True)
+        row, step = self._rows(first, second)
+        kept = [(0, row)]
         while i and j:
-            low, row = rows[i]
-            j = min(j, low + len(row) - 1)
-            if j < low:
-                i -= 1
+            low, row = kept[-1]
+            row = row[: j + 1]
+            if (i - low) * (j + 1) > CELLS and i - low > 1:
+                every = max(CELLS // (j + 1), -(-(i - low) // KEPT))
+                for k in range(low, low + (i - low - 1) // every * every):
+                    row = step(row, k)
+                    if (k + 1 - low) % every == 0:
+                        kept.append((k + 1, row))
                 continue
-            size = self._pair(x.children[i - 1], y.children[j - 1])
-            if size and row[j - low] == _at(rows[i - 1], j - 1) + size:
-                yield x.children[i - 1], y.children[j - 1]
-                i, j = i - 1, j - 1
-            elif row[j - low] == _at(rows[i - 1], j):
-                i -= 1
-            else:
-                j -= 1
-
-
-def _at(row: tuple[int, list[int]], j: int) -> int:
-    """A size of a banded row; left of the band none is known, right of it the last holds."""
-    low, sizes = row
-    return sizes[min(j - low, len(sizes) - 1)] if j >= low else 0
+            kept.pop()
+            rows = [row]
+            for k in range(low, i):
+                rows.append(step(rows[-1], k))
+            while i > low and j:
+                size, here, above = self._pair(first[i - 1], second[j - 1]), rows[i - low][j], rows[i - low - 1]
+                if size and here == above[j - 1] + size:
+                    yield first[i - 1], second[j - 1]
+                    i, j = i - 1, j - 1
+                elif here == above[j]:
+                    i -= 1
+                else:
+                    j -= 1
+
+
+def _unlike(x: Slot, y: Slot) -> tuple[list[Slot], list[Slot]]:
+    """The children of both without the last ones that are of one shape pair by pair; no matching is larger than one with these pairs."""
+    m, n = len(x.children), len(y.children)
+    while m and n and x.children[m - 1].shape == y.children[n - 1].shape:
+        m, n = m - 1, n - 1
+    return x.children[:m], y.children[:n]
+
+
+def _kinds(slots: list[Slot]) -> list[Slot]:
+    """Of the slots of each shape the last one."""
+    return list({c.shape: c for c in slots}.values())
 
 
 def align(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
